@@ -98,3 +98,56 @@ def feature_lookup(spine: DataFrame, features: DataFrame, keys: list[str] = ROUT
 def route_spine(facts: DataFrame, keys: list[str] = ROUTE_KEYS) -> DataFrame:
     """All routes observed in the facts (aggregate, not a driver-side list)."""
     return facts.select(*keys).distinct()
+
+
+# ---------------------------------------------------------------------------
+# Mergeable partial statistics.
+#
+# Several consumers (features, capacities, lanes, demands) read the same
+# facts. Aggregating the facts once at a finer grain and merging from that
+# small table scans the (large) fact input once instead of once per consumer.
+# Averages merge as sum/count; the price standard deviation merges exactly
+# with the parallel (Chan et al.) formula from (n, mean, M2).
+# ---------------------------------------------------------------------------
+_AVG_TERMS = {
+    "avg_distance_cost": lambda: costs.distance_cost(),
+    "avg_fuel_cost": lambda: costs.fuel_cost(),
+    "avg_time_cost": lambda: costs.time_cost(),
+    "avg_capacity_factor": lambda: costs.capacity_factor(),
+    "avg_seasonal_factor": lambda: F.col("seasonal_factor"),
+    "avg_priority_factor": lambda: F.col("priority_multiplier"),
+    "composite_cost": lambda: costs.composite_cost(),
+}
+
+
+def route_partials(facts: DataFrame, keys: list[str]) -> DataFrame:
+    """Partial feature statistics per ``keys`` (a refinement of the route key)."""
+    aggs = [F.count(F.lit(1)).alias("n")]
+    for name, term in _AVG_TERMS.items():
+        aggs += [F.sum(term()).alias(f"s_{name}"), F.count(term()).alias(f"c_{name}")]
+    fuel = F.col("fuel_price_per_liter")
+    aggs += [F.count(fuel).alias("fuel_n"), F.avg(fuel).alias("fuel_mean"),
+             F.coalesce(F.var_samp(fuel) * (F.count(fuel) - 1), F.lit(0.0)).alias("fuel_m2"),
+             F.min(fuel).alias("min_fuel_price"), F.max(fuel).alias("max_fuel_price"),
+             F.max("last_updated").alias("feature_timestamp")]
+    return facts.groupBy(*keys).agg(*aggs)
+
+
+def merge_partials(partials: DataFrame, keys: list[str] = ROUTE_KEYS) -> DataFrame:
+    """Feature rows (feature schema) from ``route_partials`` rows."""
+    fuel_n = F.sum("fuel_n")
+    fuel_mean = F.try_divide(F.sum(F.col("fuel_mean") * F.col("fuel_n")), fuel_n)
+    grouped = partials.groupBy(*keys).agg(
+        *[F.try_divide(F.sum(f"s_{k}"), F.sum(f"c_{k}")).alias(k) for k in _AVG_TERMS],
+        fuel_n.alias("_fuel_n"), fuel_mean.alias("_fuel_mean"),
+        F.sum("fuel_m2").alias("_m2_within"),
+        F.sum(F.col("fuel_n") * F.col("fuel_mean") * F.col("fuel_mean")).alias("_sq_means"),
+        F.min("min_fuel_price").alias("min_fuel_price"), F.max("max_fuel_price").alias("max_fuel_price"),
+        F.sum("n").alias("sample_count"), F.max("feature_timestamp").alias("feature_timestamp"),
+    )
+    # between-group part of M2: sum n_i (m_i - m)^2 = sum n_i m_i^2 - n m^2
+    m2 = F.col("_m2_within") + F.greatest(
+        F.col("_sq_means") - F.col("_fuel_n") * F.col("_fuel_mean") * F.col("_fuel_mean"), F.lit(0.0))
+    vol = F.when(F.col("_fuel_n") > 1, F.sqrt(m2 / (F.col("_fuel_n") - 1)))
+    return grouped.select(*keys, *_AVG_TERMS.keys(), vol.alias("fuel_price_volatility"),
+                          "min_fuel_price", "max_fuel_price", "sample_count", "feature_timestamp")

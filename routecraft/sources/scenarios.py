@@ -54,18 +54,22 @@ def literal_scenario(spark: SparkSession, **values) -> DataFrame:
     return spark.range(1).select(*[F.lit(v).alias(k) for k, v in values.items()])
 
 
-def warehouse_capacities(facts: DataFrame) -> DataFrame:
+# The functions below read a count table: any frame with warehouse, customer,
+# (lane_warehouse) and ``n`` = number of observations, e.g. ``route_partials``
+# of the facts, or the facts themselves with ``n = 1``.
+
+def warehouse_capacities(counts: DataFrame) -> DataFrame:
     """Capacity of each warehouse = its number of observations."""
-    return facts.groupBy("warehouse").agg(F.count(F.lit(1)).alias("capacity"))
+    return counts.groupBy("warehouse").agg(F.sum("n").cast("bigint").alias("capacity"))
 
 
-def customer_demands(facts: DataFrame, divisor: int = DEMAND_DIVISOR) -> DataFrame:
+def customer_demands(counts: DataFrame, divisor: int = DEMAND_DIVISOR) -> DataFrame:
     """Demand of each customer = floor(observations / divisor)."""
-    return facts.groupBy("customer").agg(
-        F.floor(F.count(F.lit(1)) / F.lit(divisor)).cast("bigint").alias("demand"))
+    return counts.groupBy("customer").agg(
+        F.floor(F.sum("n") / F.lit(divisor)).cast("bigint").alias("demand"))
 
 
-def warehouse_pairs(facts_with_lane: DataFrame) -> DataFrame:
+def warehouse_pairs(counts: DataFrame) -> DataFrame:
     """Pairs (warehouse_a < warehouse_b) of warehouses joined by a trade lane.
 
     A lane exists when a warehouse ships to a customer located in the nation
@@ -73,28 +77,26 @@ def warehouse_pairs(facts_with_lane: DataFrame) -> DataFrame:
     pairs are enumerated by a cross product.
     """
     w, lane = F.col("warehouse"), F.col("lane_warehouse")
-    return (facts_with_lane
-            .where(w != lane)
+    return (counts.where(w != lane)
             .select(F.least(w, lane).alias("warehouse_a"), F.greatest(w, lane).alias("warehouse_b"))
             .distinct())
 
 
-def fact_pair_scenarios(facts_with_lane: DataFrame) -> DataFrame:
+def fact_pair_scenarios(counts: DataFrame) -> DataFrame:
     """One scenario per lane pair with both ends' capacities.
 
     Both ends must be warehouses (inner joins on the capacity table, which has
     one row per warehouse).
     """
-    caps = warehouse_capacities(facts_with_lane)
-    pairs = warehouse_pairs(facts_with_lane)
+    caps = warehouse_capacities(counts)
     cap_a = caps.select(F.col("warehouse").alias("warehouse_a"), F.col("capacity").alias("warehouse_a_capacity"))
     cap_b = caps.select(F.col("warehouse").alias("warehouse_b"), F.col("capacity").alias("warehouse_b_capacity"))
-    return (pairs.join(cap_a, "warehouse_a").join(cap_b, "warehouse_b")
+    return (warehouse_pairs(counts).join(cap_a, "warehouse_a").join(cap_b, "warehouse_b")
             .select(F.concat_ws("_vs_", "warehouse_a", "warehouse_b").alias("scenario_name"),
                     "warehouse_a", "warehouse_b", "warehouse_a_capacity", "warehouse_b_capacity"))
 
 
-def fact_wide_scenarios(facts_with_lane: DataFrame, customers=FACT_WIDE_CUSTOMERS,
+def fact_wide_scenarios(counts: DataFrame, customers=FACT_WIDE_CUSTOMERS,
                         divisor: int = DEMAND_DIVISOR) -> DataFrame:
     """Two-customer scenarios: lane pairs x the demands of two customers.
 
@@ -102,11 +104,10 @@ def fact_wide_scenarios(facts_with_lane: DataFrame, customers=FACT_WIDE_CUSTOMER
     (evaluated once, merged into a single subquery), not by a join.
     """
     c1, c2 = customers
-    # one global aggregate, read by two scalar subqueries that Catalyst merges
-    counts = facts_with_lane.agg(
-        F.count_if(F.col("customer") == c1).alias("n1"),
-        F.count_if(F.col("customer") == c2).alias("n2"))
-    d1 = counts.select(F.floor(F.col("n1") / F.lit(divisor)).cast("bigint")).scalar()
-    d2 = counts.select(F.floor(F.col("n2") / F.lit(divisor)).cast("bigint")).scalar()
-    return fact_pair_scenarios(facts_with_lane).select(
+    totals = counts.agg(
+        F.sum(F.when(F.col("customer") == c1, F.col("n")).otherwise(F.lit(0))).alias("n1"),
+        F.sum(F.when(F.col("customer") == c2, F.col("n")).otherwise(F.lit(0))).alias("n2"))
+    d1 = totals.select(F.floor(F.col("n1") / F.lit(divisor)).cast("bigint")).scalar()
+    d2 = totals.select(F.floor(F.col("n2") / F.lit(divisor)).cast("bigint")).scalar()
+    return fact_pair_scenarios(counts).select(
         "*", d1.alias("customer_1_demand"), d2.alias("customer_2_demand"))
