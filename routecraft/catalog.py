@@ -80,18 +80,23 @@ def priced_pairs(stats: DataFrame, customers=scen.FACT_WIDE_CUSTOMERS) -> DataFr
 
 
 def plan_lines(stats: DataFrame) -> DataFrame:
-    """Long 2xN lines: lane pair x every customer reachable from either end."""
+    """Long 2xN lines: lane pair x every customer reachable from either end.
+
+    Each pair is expanded to its two ends (fixed fan-out 2), joined once to the
+    route features on the warehouse, and folded back per (scenario, customer).
+    """
     features = feat.merge_partials(stats).select("warehouse", "customer", "composite_cost")
-    pairs = scen.fact_pair_scenarios(stats)
-    side_a = pairs.join(features.withColumnRenamed("warehouse", "warehouse_a"), "warehouse_a") \
-        .select("scenario_name", "customer", F.col("composite_cost").alias("cost_from_a"))
-    side_b = pairs.join(features.withColumnRenamed("warehouse", "warehouse_b"), "warehouse_b") \
-        .select("scenario_name", "customer", F.col("composite_cost").alias("cost_from_b"))
-    caps = pairs.select("scenario_name", F.col("warehouse_a_capacity").alias("capacity_a"),
-                        F.col("warehouse_b_capacity").alias("capacity_b"))
-    return (side_a.join(side_b, ["scenario_name", "customer"], "full")
-            .join(scen.customer_demands(stats), "customer")
-            .join(caps, "scenario_name"))
+    ends = scen.fact_pair_scenarios(stats).select(
+        "scenario_name", F.col("warehouse_a_capacity").alias("capacity_a"),
+        F.col("warehouse_b_capacity").alias("capacity_b"),
+        F.inline(F.array(F.struct(F.col("warehouse_a").alias("warehouse"), F.lit(True).alias("is_a")),
+                         F.struct(F.col("warehouse_b").alias("warehouse"), F.lit(False).alias("is_a")))))
+    priced = ends.join(features, "warehouse")
+    return (priced.groupBy("scenario_name", "customer").agg(
+                F.max(F.when(F.col("is_a"), F.col("composite_cost"))).alias("cost_from_a"),
+                F.max(F.when(~F.col("is_a"), F.col("composite_cost"))).alias("cost_from_b"),
+                F.max("capacity_a").alias("capacity_a"), F.max("capacity_b").alias("capacity_b"))
+            .join(scen.customer_demands(stats), "customer"))
 
 
 # -- A. sources ----------------------------------------------------------------

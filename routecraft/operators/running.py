@@ -6,25 +6,36 @@ single core. Here the rows are range-partitioned on (group, order), so a hot
 group is cut into contiguous slices on several tasks; each slice computes its
 local running total, and the totals of the earlier slices of the same group
 (a table of at most groups + slices rows) are added as an offset.
+
+Whole-group totals (``totals``) are merged from the same slice table, so the
+caller needs no second aggregation and no second pass over its input.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+_MERGE = {"sum": F.sum, "max": F.max, "min": F.min}
+
 
 def running_total(df: DataFrame, group_cols: list[str], order_cols: list[str], value_col: str,
-                  out_col: str, exclusive: bool = True, slices: int | None = None,
-                  skew_safe: bool = True) -> DataFrame:
+                  out_col: str, exclusive: bool = True, totals: dict[str, tuple[str, Column]] | None = None,
+                  slices: int | None = None, skew_safe: bool = True) -> DataFrame:
     """Add ``out_col`` = sum of ``value_col`` over the rows of the same group
     that come earlier in ``order_cols`` order (``exclusive``) or up to and
     including the row. ``order_cols`` must order the rows of a group totally.
+
+    ``totals``: name -> (kind, expression) with kind in sum/max/min, added as
+    whole-group aggregates on every row.
     """
+    totals = totals or {}
     frame_end = -1 if exclusive else Window.currentRow
     if not skew_safe:
         w = Window.partitionBy(*group_cols).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, frame_end)
-        return df.withColumn(out_col, F.coalesce(F.sum(value_col).over(w), F.lit(0)))
+        wg = Window.partitionBy(*group_cols)
+        return df.select("*", F.coalesce(F.sum(value_col).over(w), F.lit(0)).alias(out_col),
+                         *[_MERGE[k](e).over(wg).alias(n) for n, (k, e) in totals.items()])
 
     ranged = (df.repartitionByRange(slices, *group_cols, *order_cols) if slices
               else df.repartitionByRange(*group_cols, *order_cols))
@@ -33,11 +44,16 @@ def running_total(df: DataFrame, group_cols: list[str], order_cols: list[str], v
     w_local = (Window.partitionBy(*group_cols, "_slice").orderBy(*order_cols)
                .rowsBetween(Window.unboundedPreceding, frame_end))
     local = ranged.withColumn("_local", F.coalesce(F.sum(value_col).over(w_local), F.lit(0)))
-    # offsets: totals of earlier slices of the same group
-    slice_sums = ranged.groupBy(*group_cols, "_slice").agg(F.sum(value_col).alias("_slice_sum"))
+    # one small table: per (group, slice) partial sums -> offsets and group totals
+    slice_sums = ranged.groupBy(*group_cols, "_slice").agg(
+        F.sum(value_col).alias("_slice_sum"),
+        *[_MERGE[k](e).alias(f"_part_{n}") for n, (k, e) in totals.items()])
     w_off = Window.partitionBy(*group_cols).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = slice_sums.select(*group_cols, "_slice",
-                                F.coalesce(F.sum("_slice_sum").over(w_off), F.lit(0)).alias("_offset"))
+    w_all = Window.partitionBy(*group_cols)
+    offsets = slice_sums.select(
+        *group_cols, "_slice",
+        F.coalesce(F.sum("_slice_sum").over(w_off), F.lit(0)).alias("_offset"),
+        *[_MERGE[k](F.col(f"_part_{n}")).over(w_all).alias(n) for n, (k, _) in totals.items()])
     return (local.join(offsets, [*group_cols, "_slice"])
             .withColumn(out_col, F.col("_offset") + F.col("_local"))
             .drop("_slice", "_local", "_offset"))

@@ -22,11 +22,10 @@ def plan_mx1(offers: DataFrame, group_col: str = "customer", skew_safe: bool = T
     base = offers.select(g, "warehouse", F.col("cost_per_unit").cast("double").alias("cost_per_unit"),
                          F.greatest(F.col("capacity").cast("double"), F.lit(0.0)).alias("capacity"),
                          F.greatest(F.col("demand").cast("double"), F.lit(0.0)).alias("demand"))
-    totals = base.groupBy(g).agg(F.sum("capacity").alias("_supply"), F.max("demand").alias("_demand"))
-    feasible = totals.select(g, (F.col("_supply") >= F.col("_demand")).alias("feasible"))
     ordered = running_total(base, [g], ["cost_per_unit", "warehouse"], "capacity", "_before",
+                            totals={"_supply": ("sum", F.col("capacity")), "_demand": ("max", F.col("demand"))},
                             skew_safe=skew_safe)
+    feasible = F.col("_supply") >= F.col("_demand")
     ship = F.greatest(F.lit(0.0), F.least(F.col("capacity"), F.col("demand") - F.col("_before")))
-    return (ordered.join(feasible, g)
-            .select(g, "warehouse", "cost_per_unit", "capacity", "demand", "feasible",
-                    F.when(F.col("feasible"), ship).otherwise(F.lit(0.0)).alias("shipment")))
+    return ordered.select(g, "warehouse", "cost_per_unit", "capacity", "demand", feasible.alias("feasible"),
+                          F.when(feasible, ship).otherwise(F.lit(0.0)).alias("shipment"))

@@ -36,26 +36,25 @@ def plan_2xn(lines: DataFrame, scenario_col: str = "scenario_name", skew_safe: b
         F.col("capacity_b").cast("double").alias("capacity_b"),
     ).withColumn("_p", F.col("cost_from_a") - F.col("cost_from_b"))
 
-    per_scenario = base.groupBy(s).agg(
-        F.sum("demand").alias("_total"),
-        F.sum(F.when(F.col("_p") < 0, F.col("demand")).otherwise(F.lit(0.0))).alias("_want"),
-        F.max("capacity_a").alias("_ka"), F.max("capacity_b").alias("_kb"),
-        F.count_if(F.col("cost_from_a").isNull() | F.col("cost_from_b").isNull()).alias("_missing"),
-        F.count_if((F.col("cost_from_a") < 0) | (F.col("cost_from_b") < 0)).alias("_negative"),
-    )
-    per_scenario = per_scenario.select(
-        s,
-        F.when(F.col("_missing") > 0, F.lit("route cost missing"))
-         .when(F.col("_negative") > 0, F.lit("negative route cost")).alias("error"),
-        ((F.col("_ka") >= 0) & (F.col("_kb") >= 0) & (F.col("_total") <= F.col("_ka") + F.col("_kb")))
-        .alias("_capacity_ok"),
-        F.least(F.greatest(F.col("_want"), F.col("_total") - F.col("_kb"), F.lit(0.0)),
-                F.col("_ka"), F.col("_total")).alias("_from_a"),
-    ).select(s, "error", (F.col("error").isNull() & F.col("_capacity_ok")).alias("feasible"), "_from_a")
-
-    ordered = running_total(base, [s], ["_p", "customer"], "demand", "_before", skew_safe=skew_safe)
+    demand, p = F.col("demand"), F.col("_p")
+    # one pass: running demand in fill order + the scenario totals it needs
+    ordered = running_total(base, [s], ["_p", "customer"], "demand", "_before", totals={
+        "_total": ("sum", demand),
+        "_want": ("sum", F.when(p < 0, demand).otherwise(F.lit(0.0))),
+        "_ka": ("max", F.col("capacity_a")), "_kb": ("max", F.col("capacity_b")),
+        "_missing": ("sum", F.when(F.col("cost_from_a").isNull() | F.col("cost_from_b").isNull(), 1).otherwise(0)),
+        "_negative": ("sum", F.when((F.col("cost_from_a") < 0) | (F.col("cost_from_b") < 0), 1).otherwise(0)),
+    }, skew_safe=skew_safe)
+    error = (F.when(F.col("_missing") > 0, F.lit("route cost missing"))
+             .when(F.col("_negative") > 0, F.lit("negative route cost")))
+    capacity_ok = ((F.col("_ka") >= 0) & (F.col("_kb") >= 0)
+                   & (F.col("_total") <= F.col("_ka") + F.col("_kb")))
+    from_a = F.least(F.greatest(F.col("_want"), F.col("_total") - F.col("_kb"), F.lit(0.0)),
+                     F.col("_ka"), F.col("_total"))
+    staged = ordered.select("*", error.alias("error"), from_a.alias("_from_a")) \
+        .withColumn("feasible", F.col("error").isNull() & capacity_ok)
     x = F.greatest(F.lit(0.0), F.least(F.col("demand"), F.col("_from_a") - F.col("_before")))
-    return (ordered.join(per_scenario, s)
+    return (staged
             .select(s, "customer", "demand", "cost_from_a", "cost_from_b", "capacity_a", "capacity_b",
                     "feasible", "error",
                     F.when(F.col("feasible"), x).otherwise(F.lit(0.0)).alias("shipment_from_a"),
