@@ -87,15 +87,16 @@ def plan_lines(stats: DataFrame) -> DataFrame:
     """
     features = feat.merge_partials(stats).select("warehouse", "customer", "composite_cost")
     ends = scen.fact_pair_scenarios(stats).select(
-        "scenario_name", F.col("warehouse_a_capacity").alias("capacity_a"),
+        "scenario_name", "warehouse_a", "warehouse_b", F.col("warehouse_a_capacity").alias("capacity_a"),
         F.col("warehouse_b_capacity").alias("capacity_b"),
         F.inline(F.array(F.struct(F.col("warehouse_a").alias("warehouse"), F.lit(True).alias("is_a")),
                          F.struct(F.col("warehouse_b").alias("warehouse"), F.lit(False).alias("is_a")))))
-    priced = ends.join(features, "warehouse")
+    priced = ends.join(features, "warehouse")  # route table: one row per (warehouse, customer)
     return (priced.groupBy("scenario_name", "customer").agg(
                 F.max(F.when(F.col("is_a"), F.col("composite_cost"))).alias("cost_from_a"),
                 F.max(F.when(~F.col("is_a"), F.col("composite_cost"))).alias("cost_from_b"),
-                F.max("capacity_a").alias("capacity_a"), F.max("capacity_b").alias("capacity_b"))
+                F.max("capacity_a").alias("capacity_a"), F.max("capacity_b").alias("capacity_b"),
+                F.max("warehouse_a").alias("warehouse_a"), F.max("warehouse_b").alias("warehouse_b"))
             .join(scen.customer_demands(stats), "customer"))
 
 
@@ -201,3 +202,268 @@ def q_plan_mx1(spark, d):
               .join(scen.warehouse_capacities(stats), "warehouse")
               .join(scen.customer_demands(stats), "customer"))
     return rounded(plan_mx1(offers))
+
+
+# -- F/G. plan variants over lane-pair scenarios -------------------------------------
+
+def _pairs(spark, d):
+    return priced_pairs(lane_stats(spark, d))
+
+
+def _no_fs(df: DataFrame) -> DataFrame:
+    return df.drop(*[c for c in df.columns if c.startswith("fs_")])
+
+
+def _plan_lines_named(spark, d):
+    return plan_2xn(plan_lines(lane_stats(spark, d)), carry=["warehouse_a", "warehouse_b"])
+
+
+@register("plan_feasibility")
+def q_plan_feasibility(spark, d):
+    s = plan_summary(plan_2xn(plan_lines(lane_stats(spark, d))))
+    return rounded(s.select("scenario_name", "feasible", "total_demand",
+                            (F.col("used_a") + F.col("used_b")).alias("total_shipped")))
+
+
+@register("plan_infeasible")
+def q_plan_infeasible(spark, d):
+    sc = _pairs(spark, d)
+    sc = sc.withColumn("warehouse_a_capacity", F.floor(F.col("warehouse_a_capacity") / 4)) \
+           .withColumn("warehouse_b_capacity", F.floor(F.col("warehouse_b_capacity") / 4))
+    return rounded(plan_2x2(sc).where(~F.col("feasible")))
+
+
+@register("plan_errors")
+def q_plan_errors(spark, d):
+    sc = _pairs(spark, d)
+    sc = sc.withColumn("use_feature_store", F.col("warehouse_a_capacity") % 2 == 0) \
+           .withColumn("warehouse_b_capacity", F.when(F.col("warehouse_b_capacity") % 3 != 0,
+                                                      F.col("warehouse_b_capacity")))
+    return rounded(plan_2x2(sc))
+
+
+@register("scenario_with_matrix")
+def q_scenario_with_matrix(spark, d):
+    stats = lane_stats(spark, d)
+    sc = _no_fs(priced_pairs(stats))
+    return rounded(plan_2x2(sc, features=feat.merge_partials(stats), routes=WIDE_ROUTES))
+
+
+@register("resolve_feature_store")
+def q_resolve_feature_store(spark, d):
+    sc = _pairs(spark, d).withColumn("use_feature_store", F.lit(True))
+    return rounded(plan_2x2(sc))
+
+
+@register("resolve_override")
+def q_resolve_override(spark, d):
+    sc = (_pairs(spark, d).withColumn("use_feature_store", F.lit(True))
+          .withColumn("cost_a_to_1", F.when(F.col("warehouse_a_capacity") >= F.col("warehouse_b_capacity"), F.lit(5.0)))
+          .withColumn("cost_b_to_2", F.lit(4.0)))
+    return rounded(plan_2x2(sc))
+
+
+@register("resolve_override_only")
+def q_resolve_override_only(spark, d):
+    sc = (_pairs(spark, d).withColumn("use_feature_store", F.lit(False))
+          .withColumn("cost_a_to_1", F.col("fs_cost_a_to_1")).withColumn("cost_b_to_2", F.col("fs_cost_b_to_2")))
+    return rounded(plan_2x2(_no_fs(sc)))
+
+
+@register("resolve_sql_input")
+def q_resolve_sql_input(spark, d):
+    sc = _pairs(spark, d)
+    for c in ["cost_a_to_1", "cost_a_to_2", "cost_b_to_1", "cost_b_to_2"]:
+        sc = sc.withColumn(c, F.col(f"fs_{c}"))
+    return rounded(plan_2x2(_no_fs(sc), mode="sql"))
+
+
+@register("scenario_resolve_constraints")
+def q_scenario_resolve_constraints(spark, d):
+    base = {"warehouses": {WIDE_ROUTES[0]: 100, WIDE_ROUTES[1]: 80},
+            "customers": {WIDE_ROUTES[2]: 70, WIDE_ROUTES[3]: 60}}
+    sc = _pairs(spark, d).drop("customer_1_demand", "customer_2_demand")
+    return rounded(plan_2x2(sc, routes=WIDE_ROUTES, base_constraints=base))
+
+
+@register("scenario_casts")
+def q_scenario_casts(spark, d):
+    from .functions.casts import cast_scenarios
+    sc = _pairs(spark, d)
+    raw = sc.select(
+        "scenario_name",
+        (F.col("warehouse_a_capacity") / F.lit(3.0)).alias("warehouse_a_capacity"),
+        F.col("warehouse_b_capacity").cast("string").alias("warehouse_b_capacity"),
+        F.when(F.col("warehouse_a_capacity") % 2 == 0, F.concat(F.col("customer_1_demand").cast("string"), F.lit(".5")))
+         .otherwise(F.col("customer_1_demand").cast("string")).alias("customer_1_demand"),
+        F.col("fs_cost_a_to_1").cast("string").alias("cost_a_to_1"),
+        F.date_format("fs_feature_timestamp", "yyyy-MM-dd'T'HH:mm:ss").alias("feature_timestamp"))
+    out = cast_scenarios(raw)
+    return rounded(out.withColumn("_invalid_inputs", F.array_join("_invalid_inputs", ","))
+                   .withColumnRenamed("_invalid_inputs", "invalid_inputs"))
+
+
+@register("scenario_missing_costs")
+def q_scenario_missing_costs(spark, d):
+    stats = lane_stats(spark, d)
+    recent = feat.route_features(facts(spark, d), as_of=AS_OF, lookback_days=30)
+    byw = matrix.costs_by_warehouse(recent, scen.FACT_WIDE_CUSTOMERS)
+    sc = _no_fs(priced_pairs(stats))
+    a = byw.select(F.col("warehouse").alias("warehouse_a"), F.col("cost_to_1").alias("cost_a_to_1"),
+                   F.col("cost_to_2").alias("cost_a_to_2"))
+    b = byw.select(F.col("warehouse").alias("warehouse_b"), F.col("cost_to_1").alias("cost_b_to_1"),
+                   F.col("cost_to_2").alias("cost_b_to_2"))
+    sc = sc.join(a, "warehouse_a", "left").join(b, "warehouse_b", "left")
+    return rounded(plan_2x2(sc, mode="sql", keep=["warehouse_a", "warehouse_b"]))
+
+
+@register("scenario_default_name")
+def q_scenario_default_name(spark, d):
+    from .operators.scenarios import default_scenario_names
+    sc = _pairs(spark, d).withColumn(
+        "scenario_name", F.when(F.col("warehouse_a_capacity") % 2 == 0, F.col("scenario_name")))
+    named = default_scenario_names(sc, ["warehouse_a", "warehouse_b"])
+    return rounded(plan_2x2(named, keep=["warehouse_a", "warehouse_b"]))
+
+
+# -- reports -------------------------------------------------------------------------
+
+@register("warehouse_utilization")
+def q_warehouse_utilization(spark, d):
+    from .operators.reports import warehouse_utilization
+    return rounded(warehouse_utilization(_plan_lines_named(spark, d)))
+
+
+@register("customer_satisfaction")
+def q_customer_satisfaction(spark, d):
+    from .operators.reports import customer_satisfaction
+    return rounded(customer_satisfaction(_plan_lines_named(spark, d)))
+
+
+@register("shipments_nonzero")
+def q_shipments_nonzero(spark, d):
+    from .operators.reports import shipments_nonzero
+    return rounded(shipments_nonzero(_plan_lines_named(spark, d)))
+
+
+@register("plan_detail")
+def q_plan_detail(spark, d):
+    from .operators.reports import plan_detail
+    return rounded(plan_detail(plan_2x2(_pairs(spark, d))))
+
+
+@register("plan_summary_line")
+def q_plan_summary_line(spark, d):
+    from .operators.reports import summary_line
+    sc = _pairs(spark, d).withColumn("warehouse_a_capacity", F.floor(F.col("warehouse_a_capacity") / 4)) \
+        .withColumn("warehouse_b_capacity", F.floor(F.col("warehouse_b_capacity") / 4))
+    return summary_line(plan_2x2(sc))
+
+
+def _mixed_sources(spark, d):
+    sc = (_pairs(spark, d).withColumn("use_feature_store", F.col("warehouse_a_capacity") % 2 == 0)
+          .withColumn("cost_a_to_1", F.when(F.col("warehouse_b_capacity") % 3 == 0, F.col("fs_cost_a_to_1") * 0.5)))
+    return plan_2x2(sc)
+
+
+@register("plan_source_counts")
+def q_plan_source_counts(spark, d):
+    from .operators.reports import source_counts
+    return source_counts(_mixed_sources(spark, d))
+
+
+@register("routes_with_constraints")
+def q_routes_with_constraints(spark, d):
+    from .operators.reports import routes_with_constraints
+    f = facts(spark, d)
+    recent = feat.lookback_filter(f, AS_OF, 30).withColumn("n", F.lit(1))
+    costs = feat.route_features(f).select("warehouse", "customer", F.col("composite_cost").alias("cost_per_unit"))
+    return rounded(routes_with_constraints(costs, scen.warehouse_capacities(recent),
+                                           scen.customer_demands(recent)))
+
+
+# -- H. SQL surface -------------------------------------------------------------------
+
+def _sql_views(spark, d):
+    from .functions.sql import register_sql_functions
+    register_sql_functions(spark)
+    stats = lane_stats(spark, d)
+    feat.merge_partials(stats).createOrReplaceTempView("cost_matrix_features_v1_0")
+    priced_pairs(stats).createOrReplaceTempView("lane_scenarios")
+
+
+@register("plan_sql_function")
+def q_plan_sql_function(spark, d):
+    _sql_views(spark, d)
+    return rounded(spark.sql("""
+        SELECT r.* FROM (
+          SELECT optimize_transport(scenario_name, warehouse_a_capacity, warehouse_b_capacity,
+                                    customer_1_demand, customer_2_demand, fs_cost_a_to_1, fs_cost_a_to_2,
+                                    fs_cost_b_to_1, fs_cost_b_to_2, fs_feature_timestamp) AS r
+          FROM lane_scenarios)"""))
+
+
+@register("batch_optimize_sql")
+def q_batch_optimize_sql(spark, d):
+    from .plans.batch_sql import batch_optimize_sql
+    _sql_views(spark, d)
+    scen.batch_scenarios(spark)
+    return rounded(batch_optimize_sql(spark, "cost_matrix_features_v1_0", "transportation_scenarios",
+                                      WIDE_ROUTES).drop("result"))
+
+
+@register("result_extract")
+def q_result_extract(spark, d):
+    _sql_views(spark, d)
+    return rounded(spark.sql("""
+        WITH stored AS (
+          SELECT to_json(optimize_transport(scenario_name, warehouse_a_capacity, warehouse_b_capacity,
+                                            customer_1_demand, customer_2_demand, fs_cost_a_to_1, fs_cost_a_to_2,
+                                            fs_cost_b_to_1, fs_cost_b_to_2, fs_feature_timestamp)) AS result_json
+          FROM lane_scenarios),
+        parsed AS (SELECT parse_json(result_json) AS result FROM stored)
+        SELECT variant_get(result, '$.scenario_name', 'string') AS result_scenario_name,
+               variant_get(result, '$.optimal_cost', 'double') AS optimal_cost,
+               variant_get(result, '$.shipment_a_to_1', 'double') AS shipment_a_to_1,
+               variant_get(result, '$.shipment_a_to_2', 'double') AS shipment_a_to_2,
+               variant_get(result, '$.shipment_b_to_1', 'double') AS shipment_b_to_1,
+               variant_get(result, '$.shipment_b_to_2', 'double') AS shipment_b_to_2,
+               variant_get(result, '$.warehouse_a_utilization', 'double') AS warehouse_a_utilization,
+               variant_get(result, '$.warehouse_b_utilization', 'double') AS warehouse_b_utilization,
+               variant_get(result, '$.feasible', 'boolean') AS feasible
+        FROM parsed"""))
+
+
+@register("what_if_override")
+def q_what_if_override(spark, d):
+    _sql_views(spark, d)
+    wa, wb, c1, c2 = WIDE_ROUTES
+
+    def cost(w, c):
+        return (f"(SELECT MAX(CASE WHEN warehouse = '{w}' AND customer = '{c}' THEN composite_cost END) "
+                f"FROM cost_matrix_features_v1_0)")
+    return rounded(spark.sql(f"""
+        SELECT s.scenario_name, r.optimal_cost, r.feasible, r.shipment_a_to_1, r.shipment_a_to_2,
+               r.shipment_b_to_1, r.shipment_b_to_2
+        FROM (SELECT scenario_name,
+                     optimize_transport(scenario_name, warehouse_a_capacity, warehouse_b_capacity,
+                                        customer_1_demand, customer_2_demand,
+                                        7.5D,                -- override of route A -> 1
+                                        {cost(wa, c2)}, {cost(wb, c1)}, {cost(wb, c2)},
+                                        (SELECT MAX(feature_timestamp) FROM cost_matrix_features_v1_0)) AS r
+              FROM lane_scenarios) s"""))
+
+
+@register("scenario_cross_features")
+def q_scenario_cross_features(spark, d):
+    """Per-scenario matrix of the late-aggregating form (scenarios x feature
+    rows, grouped back per scenario). Every group sees the same feature rows,
+    so the result equals the one-row matrix; it is computed that way (a global
+    aggregate attached as merged scalar subqueries) without materialising
+    scenarios x features."""
+    stats = lane_stats(spark, d)
+    m = matrix.cost_matrix_wide(feat.merge_partials(stats), WIDE_ROUTES)
+    sc = scen.fact_wide_scenarios(stats)
+    return rounded(sc.select("scenario_name", "warehouse_a_capacity", "warehouse_b_capacity",
+                             "customer_1_demand", "customer_2_demand",
+                             *[m.select(c).scalar().alias(c) for c in m.columns]))

@@ -222,6 +222,210 @@ SELECT customer, warehouse, round(cost_per_unit, 6) AS cost_per_unit, round(capa
 FROM w"""
 
 
+
+def plan_out(src: str, keep: str = "") -> str:
+    """Plan-result columns from CTE ``src`` with: scenario_name, ka, kb, d1, d2,
+    ca1, ca2, cb1, cb2 (resolved), ts, err, source, mode (+ ``keep``)."""
+    return f"""{solve_2x2_sql(src)}
+SELECT {keep} scenario_name, {PLAN_2X2_COLUMNS},
+       CASE WHEN err IS NULL THEN source ELSE 'error' END AS cost_matrix_source,
+       ts AS feature_timestamp, mode AS execution_mode, err AS error
+FROM r3"""
+
+
+NO_TS = "CAST(NULL AS TIMESTAMP)"
+USE_FS_MSG = "'use_feature_store=false requires cost overrides (cost_a_to_1, cost_a_to_2, cost_b_to_1, cost_b_to_2)'"
+MISSING_FEATURE = """CASE WHEN ca1 IS NULL OR ca2 IS NULL OR cb1 IS NULL OR cb2 IS NULL THEN
+  'no route feature for: ' || array_to_string(list_filter([CASE WHEN ca1 IS NULL THEN 'cost_a_to_1' END,
+      CASE WHEN ca2 IS NULL THEN 'cost_a_to_2' END, CASE WHEN cb1 IS NULL THEN 'cost_b_to_1' END,
+      CASE WHEN cb2 IS NULL THEN 'cost_b_to_2' END], lambda x: x IS NOT NULL), ', ') END"""
+SQL_MISSING = """CASE WHEN ca1 IS NULL OR ca2 IS NULL OR cb1 IS NULL OR cb2 IS NULL THEN
+  'sql mode requires all cost parameters; missing: ' || array_to_string(list_filter([CASE WHEN ca1 IS NULL THEN 'cost_a_to_1' END,
+      CASE WHEN ca2 IS NULL THEN 'cost_a_to_2' END, CASE WHEN cb1 IS NULL THEN 'cost_b_to_1' END,
+      CASE WHEN cb2 IS NULL THEN 'cost_b_to_2' END], lambda x: x IS NOT NULL), ', ') END"""
+GLOBAL_M = """
+gm AS (SELECT max(CASE WHEN warehouse = 'Warehouse_00' AND customer = 'Customer_AUTOMOBILE' THEN cc END) AS g1,
+              max(CASE WHEN warehouse = 'Warehouse_00' AND customer = 'Customer_BUILDING' THEN cc END) AS g2,
+              max(CASE WHEN warehouse = 'Warehouse_01' AND customer = 'Customer_AUTOMOBILE' THEN cc END) AS g3,
+              max(CASE WHEN warehouse = 'Warehouse_01' AND customer = 'Customer_BUILDING' THEN cc END) AS g4,
+              max(ts) AS gts
+       FROM routes)"""
+
+ORACLE["plan_infeasible"] = f"""WITH {FACT}, {WIDE_SCEN},
+src AS (SELECT scenario_name, floor(ka / 4) AS ka, floor(kb / 4) AS kb, d1, d2, ca1, ca2, cb1, cb2, ts,
+               {MISSING_FEATURE} AS err, 'feature_store' AS source, 'python' AS mode FROM s),
+{plan_out('src').replace('FROM r3', 'FROM r3 WHERE NOT ok')}"""
+
+ORACLE["plan_errors"] = f"""WITH {FACT}, {WIDE_SCEN},
+s2 AS (SELECT scenario_name, ka, CASE WHEN kb % 3 <> 0 THEN kb END AS kb, d1, d2, ca1, ca2, cb1, cb2, ts,
+              ka % 2 = 0 AS use_fs FROM s),
+src AS (SELECT *, CASE WHEN kb IS NULL THEN 'warehouse_b_capacity is null'
+                       WHEN NOT use_fs THEN {USE_FS_MSG}
+                       ELSE {MISSING_FEATURE} END AS err,
+               CASE WHEN use_fs THEN 'feature_store' ELSE 'error' END AS source, 'python' AS mode FROM s2),
+{plan_out('src')}"""
+
+ORACLE["scenario_with_matrix"] = f"""WITH {FACT}, {WIDE_SCEN}, {GLOBAL_M},
+s2 AS (SELECT scenario_name, ka, kb, d1, d2, g1 AS ca1, g2 AS ca2, g3 AS cb1, g4 AS cb2, {NO_TS} AS ts FROM s CROSS JOIN gm),
+src AS (SELECT *, {MISSING_FEATURE} AS err, 'feature_store' AS source, 'python' AS mode FROM s2),
+{plan_out('src')}"""
+
+ORACLE["resolve_feature_store"] = f"""WITH {FACT}, {WIDE_SCEN},
+src AS (SELECT *, {MISSING_FEATURE} AS err, 'feature_store' AS source, 'python' AS mode FROM s),
+{plan_out('src')}"""
+
+ORACLE["resolve_override"] = f"""WITH {FACT}, {WIDE_SCEN},
+s2 AS (SELECT scenario_name, ka, kb, d1, d2, coalesce(CASE WHEN ka >= kb THEN 5E0 END, ca1) AS ca1, ca2, cb1,
+              4E0 AS cb2, ts FROM s),
+src AS (SELECT *, {MISSING_FEATURE} AS err, 'override' AS source, 'python' AS mode FROM s2),
+{plan_out('src')}"""
+
+ORACLE["resolve_override_only"] = f"""WITH {FACT}, {WIDE_SCEN},
+src AS (SELECT scenario_name, ka, kb, d1, d2, coalesce(ca1, 10E0) AS ca1, 12E0 AS ca2, 15E0 AS cb1,
+               coalesce(cb2, 8E0) AS cb2, {NO_TS} AS ts, CAST(NULL AS VARCHAR) AS err, 'override_only' AS source,
+               'python' AS mode FROM s),
+{plan_out('src')}"""
+
+ORACLE["resolve_sql_input"] = f"""WITH {FACT}, {WIDE_SCEN},
+s2 AS (SELECT scenario_name, ka, kb, d1, d2, ca1, ca2, cb1, cb2, {NO_TS} AS ts FROM s),
+src AS (SELECT *, {SQL_MISSING} AS err, 'sql_input' AS source, 'sql' AS mode FROM s2),
+{plan_out('src')}"""
+
+ORACLE["scenario_resolve_constraints"] = f"""WITH {FACT}, {WIDE_SCEN},
+src AS (SELECT scenario_name, ka, kb, 70 AS d1, 60 AS d2, ca1, ca2, cb1, cb2, ts,
+               {MISSING_FEATURE} AS err, 'feature_store' AS source, 'python' AS mode FROM s),
+{plan_out('src')}"""
+
+ORACLE["scenario_casts"] = f"""WITH {FACT}, {WIDE_SCEN}
+SELECT scenario_name, CAST(trunc(ka / 3E0) AS BIGINT) AS warehouse_a_capacity, CAST(kb AS BIGINT) AS warehouse_b_capacity,
+       CASE WHEN ka % 2 = 0 THEN NULL ELSE CAST(d1 AS BIGINT) END AS customer_1_demand,
+       round(ca1, 6) AS cost_a_to_1, ts AS feature_timestamp,
+       CASE WHEN ka % 2 = 0 THEN 'customer_1_demand' ELSE '' END AS invalid_inputs
+FROM s"""
+
+ORACLE["scenario_missing_costs"] = f"""WITH {FACT}, {WIDE_SCEN},
+r30 AS (SELECT warehouse, customer, avg({COMP}) AS cc FROM fact
+        WHERE last_updated >= TIMESTAMP '2000-07-02 00:00:00' - INTERVAL 30 DAY
+          AND last_updated <= TIMESTAMP '2000-07-02 00:00:00'
+        GROUP BY warehouse, customer),
+b30 AS (SELECT warehouse, max(CASE WHEN customer = 'Customer_AUTOMOBILE' THEN cc END) AS c1,
+               max(CASE WHEN customer = 'Customer_BUILDING' THEN cc END) AS c2 FROM r30 GROUP BY warehouse),
+s2 AS (SELECT s.scenario_name, s.wa, s.wb, ka, kb, d1, d2, a.c1 AS ca1, a.c2 AS ca2, b.c1 AS cb1, b.c2 AS cb2,
+              {NO_TS} AS ts
+       FROM s LEFT JOIN b30 a ON a.warehouse = s.wa LEFT JOIN b30 b ON b.warehouse = s.wb),
+src AS (SELECT *, {SQL_MISSING} AS err, 'sql_input' AS source, 'sql' AS mode FROM s2),
+{plan_out('src', 'wa AS warehouse_a, wb AS warehouse_b,')}"""
+
+ORACLE["scenario_default_name"] = f"""WITH {FACT}, {WIDE_SCEN},
+s2 AS (SELECT coalesce(CASE WHEN ka % 2 = 0 THEN scenario_name END,
+                       'scenario_' || CAST(row_number() OVER (ORDER BY wa, wb) - 1 AS VARCHAR)) AS scenario_name,
+              wa, wb, ka, kb, d1, d2, ca1, ca2, cb1, cb2, ts FROM s),
+src AS (SELECT *, {MISSING_FEATURE} AS err, 'feature_store' AS source, 'python' AS mode FROM s2),
+{plan_out('src', 'wa AS warehouse_a, wb AS warehouse_b,')}"""
+
+PLAN_NAMED = f"""{LINES_2XN},
+named AS (SELECT plan.*, sc.wa, sc.wb FROM plan JOIN sc ON sc.scenario_name = plan.scenario_name)"""
+
+ORACLE["warehouse_utilization"] = f"""WITH {FACT}, {PLAN_NAMED},
+per AS (SELECT scenario_name, max(wa) AS wa, max(wb) AS wb, sum(shipment_from_a) AS ua, sum(shipment_from_b) AS ub,
+               max(capacity_a) AS ka, max(capacity_b) AS kb FROM named GROUP BY scenario_name),
+lng AS (SELECT scenario_name, wa AS warehouse, ua AS used, ka AS capacity FROM per
+        UNION ALL SELECT scenario_name, wb, ub, kb FROM per)
+SELECT scenario_name, warehouse, round(used, 6) AS used, round(capacity, 6) AS capacity,
+       round(used / nullif(capacity, 0), 6) AS utilization_rate FROM lng"""
+
+ORACLE["customer_satisfaction"] = f"""WITH {FACT}, {PLAN_NAMED}
+SELECT scenario_name, customer, round(shipment_from_a + shipment_from_b, 6) AS received, round(demand, 6) AS demand,
+       round((shipment_from_a + shipment_from_b) / nullif(demand, 0), 6) AS satisfaction_rate FROM named"""
+
+ORACLE["shipments_nonzero"] = f"""WITH {FACT}, {PLAN_NAMED},
+legs AS (SELECT scenario_name, customer, wa AS warehouse, shipment_from_a AS quantity, cost_from_a AS cost_per_unit FROM named
+         UNION ALL SELECT scenario_name, customer, wb, shipment_from_b, cost_from_b FROM named)
+SELECT scenario_name, customer, warehouse, round(quantity, 6) AS quantity, round(cost_per_unit, 6) AS cost_per_unit,
+       round(quantity * cost_per_unit, 6) AS shipment_cost
+FROM legs WHERE quantity > 0"""
+
+ORACLE["plan_detail"] = f"""WITH {FACT}, {WIDE_SCEN},
+src AS (SELECT *, {MISSING_FEATURE} AS err, 'feature_store' AS source, 'python' AS mode FROM s),
+pr AS (WITH {plan_out('src')})
+SELECT scenario_name, optimal_cost, feasible, warehouse_a_utilization, warehouse_b_utilization,
+       cost_matrix_source, execution_mode FROM pr"""
+
+ORACLE["plan_summary_line"] = f"""WITH {FACT}, {WIDE_SCEN},
+src AS (SELECT scenario_name, floor(ka / 4) AS ka, floor(kb / 4) AS kb, d1, d2, ca1, ca2, cb1, cb2, ts,
+               {MISSING_FEATURE} AS err, 'feature_store' AS source, 'python' AS mode FROM s),
+{solve_2x2_sql('src')}
+SELECT scenario_name, ok AS feasible, CASE WHEN err IS NULL THEN source ELSE 'error' END AS cost_matrix_source,
+       mode AS execution_mode,
+       CASE WHEN ok THEN printf('$%.2f', ca1 * x1 + ca2 * (t - x1) + cb1 * (e1 - x1) + cb2 * (e2 - (t - x1)))
+            ELSE 'N/A' END AS display_cost
+FROM r3"""
+
+ORACLE["plan_source_counts"] = f"""WITH {FACT}, {WIDE_SCEN},
+m AS (SELECT CASE WHEN ka % 2 = 0 THEN 'override' ELSE 'override_only' END AS src FROM s)
+SELECT 'execution_mode' AS attribute, 'python' AS value, count(*) AS n FROM m
+UNION ALL
+SELECT 'cost_matrix_source', src, count(*) FROM m GROUP BY src"""
+
+ORACLE["routes_with_constraints"] = f"""WITH {FACT}, {ROUTES},
+recent AS (SELECT * FROM fact WHERE last_updated >= TIMESTAMP '2000-07-02 00:00:00' - INTERVAL 30 DAY
+                                AND last_updated <= TIMESTAMP '2000-07-02 00:00:00'),
+rc AS (SELECT warehouse, count(*) AS capacity FROM recent GROUP BY warehouse),
+rd AS (SELECT customer, CAST(floor(count(*) / 20) AS BIGINT) AS demand FROM recent GROUP BY customer)
+SELECT routes.customer, routes.warehouse, round(cc, 6) AS cost_per_unit, rc.capacity, rd.demand,
+       CASE WHEN rc.capacity IS NULL THEN 'no capacity for ' || routes.warehouse
+            WHEN rd.demand IS NULL THEN 'no demand for ' || routes.customer END AS error
+FROM routes LEFT JOIN rc ON rc.warehouse = routes.warehouse LEFT JOIN rd ON rd.customer = routes.customer"""
+
+SQL_FN = f"""WITH {FACT}, {WIDE_SCEN},
+src AS (SELECT *, {SQL_MISSING} AS err, 'sql_input' AS source, 'sql' AS mode FROM s),
+pr AS (WITH {plan_out('src')})"""
+
+ORACLE["plan_sql_function"] = f"""{SQL_FN}
+SELECT * FROM pr"""
+
+ORACLE["result_extract"] = f"""{SQL_FN}
+SELECT scenario_name AS result_scenario_name, optimal_cost, shipment_a_to_1, shipment_a_to_2, shipment_b_to_1,
+       shipment_b_to_2, warehouse_a_utilization, warehouse_b_utilization, feasible FROM pr"""
+
+ORACLE["batch_optimize_sql"] = f"""WITH {FACT}, {ROUTES}, {GLOBAL_M},
+vals AS (SELECT * FROM (VALUES ('peak_season', 100, 80, 90, 80), ('off_season', 100, 80, 50, 40),
+                               ('fuel_price_hike', 100, 80, 70, 60), ('new_warehouse', 150, 80, 70, 60))
+                AS t(scenario_name, ka, kb, d1, d2)),
+src AS (SELECT vals.*, g1 AS ca1, g2 AS ca2, g3 AS cb1, g4 AS cb2, gts AS ts,
+               CASE WHEN g1 IS NULL OR g2 IS NULL OR g3 IS NULL OR g4 IS NULL THEN 'missing' END AS err,
+               'sql_input' AS source, 'sql' AS mode
+        FROM vals CROSS JOIN gm),
+pr AS (WITH {plan_out('src')})
+SELECT optimal_cost, shipment_a_to_1, shipment_a_to_2, shipment_b_to_1, shipment_b_to_2, warehouse_a_utilization,
+       warehouse_b_utilization, scenario_name AS result_scenario_name, feasible FROM pr"""
+
+ORACLE["what_if_override"] = f"""WITH {FACT}, {WIDE_SCEN}, {GLOBAL_M},
+src AS (SELECT s.scenario_name, ka, kb, d1, d2, 7.5E0 AS ca1, g2 AS ca2, g3 AS cb1, g4 AS cb2, gts AS ts,
+               CASE WHEN g2 IS NULL OR g3 IS NULL OR g4 IS NULL THEN 'missing' END AS err,
+               'sql_input' AS source, 'sql' AS mode
+        FROM s CROSS JOIN gm),
+pr AS (WITH {plan_out('src')})
+SELECT scenario_name, optimal_cost, feasible, shipment_a_to_1, shipment_a_to_2, shipment_b_to_1, shipment_b_to_2
+FROM pr"""
+
+ORACLE["scenario_cross_features"] = f"""WITH {FACT}, {WIDE_SCEN}
+SELECT s.scenario_name, s.ka AS warehouse_a_capacity, s.kb AS warehouse_b_capacity,
+       s.d1 AS customer_1_demand, s.d2 AS customer_2_demand,
+       round(max(CASE WHEN f.warehouse = 'Warehouse_00' AND f.customer = 'Customer_AUTOMOBILE' THEN f.cc END), 6) AS cost_a_to_1,
+       round(max(CASE WHEN f.warehouse = 'Warehouse_00' AND f.customer = 'Customer_BUILDING' THEN f.cc END), 6) AS cost_a_to_2,
+       round(max(CASE WHEN f.warehouse = 'Warehouse_01' AND f.customer = 'Customer_AUTOMOBILE' THEN f.cc END), 6) AS cost_b_to_1,
+       round(max(CASE WHEN f.warehouse = 'Warehouse_01' AND f.customer = 'Customer_BUILDING' THEN f.cc END), 6) AS cost_b_to_2,
+       max(f.ts) AS feature_timestamp
+FROM s CROSS JOIN routes f
+GROUP BY s.scenario_name, s.ka, s.kb, s.d1, s.d2"""
+
+ORACLE["plan_feasibility"] = f"""WITH {FACT}, {LINES_2XN}
+SELECT scenario_name, bool_and(feasible) AS feasible, round(sum(demand), 6) AS total_demand,
+       round(sum(shipment_from_a) + sum(shipment_from_b), 6) AS total_shipped
+FROM plan GROUP BY scenario_name"""
+
+
 def _half_up(sql: str, digits: int = 6) -> str:
     """Rewrite ``round(x, 6)`` as a decimal round half up.
 

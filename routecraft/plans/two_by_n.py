@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from ..operators.running import running_total
 
 
-def plan_2xn(lines: DataFrame, scenario_col: str = "scenario_name", skew_safe: bool = True) -> DataFrame:
+def plan_2xn(lines: DataFrame, scenario_col: str = "scenario_name", skew_safe: bool = True,
+             carry: list[str] | None = None) -> DataFrame:
     """Solve every scenario of ``lines``.
 
     ``lines`` columns: scenario key, ``customer``, ``demand``, ``cost_from_a``,
@@ -25,10 +26,12 @@ def plan_2xn(lines: DataFrame, scenario_col: str = "scenario_name", skew_safe: b
     each line of a scenario).
     Returns one row per line with ``shipment_from_a``, ``shipment_from_b``,
     ``line_cost`` and the scenario's ``feasible`` flag and ``error``.
+    ``carry``: extra line columns passed through (e.g. warehouse names).
     """
+    carry = carry or []
     s = scenario_col
     base = lines.select(
-        s, "customer",
+        s, "customer", *carry,
         F.greatest(F.col("demand").cast("double"), F.lit(0.0)).alias("demand"),
         F.col("cost_from_a").cast("double").alias("cost_from_a"),
         F.col("cost_from_b").cast("double").alias("cost_from_b"),
@@ -55,7 +58,7 @@ def plan_2xn(lines: DataFrame, scenario_col: str = "scenario_name", skew_safe: b
         .withColumn("feasible", F.col("error").isNull() & capacity_ok)
     x = F.greatest(F.lit(0.0), F.least(F.col("demand"), F.col("_from_a") - F.col("_before")))
     return (staged
-            .select(s, "customer", "demand", "cost_from_a", "cost_from_b", "capacity_a", "capacity_b",
+            .select(s, "customer", *carry, "demand", "cost_from_a", "cost_from_b", "capacity_a", "capacity_b",
                     "feasible", "error",
                     F.when(F.col("feasible"), x).otherwise(F.lit(0.0)).alias("shipment_from_a"),
                     F.when(F.col("feasible"), F.col("demand") - x).otherwise(F.lit(0.0)).alias("shipment_from_b"))
