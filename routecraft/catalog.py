@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .operators import asof
 from .operators import features as feat
 from .operators import matrix
 from .plans.merit_order import plan_mx1
@@ -467,3 +468,50 @@ def q_scenario_cross_features(spark, d):
     return rounded(sc.select("scenario_name", "warehouse_a_capacity", "warehouse_b_capacity",
                              "customer_1_demand", "customer_2_demand",
                              *[m.select(c).scalar().alias(c) for c in m.columns]))
+
+
+# -- C4/C5/G8/B7. point in time ----------------------------------------------------------
+
+@register("features_on_date")
+def q_features_on_date(spark, d):
+    snaps = asof.monthly_snapshots(facts(spark, d))
+    return rounded(feat.day_filter(snaps, "2000-07-01", ts_col="snapshot_ts"))
+
+
+@register("feature_asof")
+def q_feature_asof(spark, d):
+    f = facts(spark, d)
+    snaps = asof.monthly_snapshots(f).select("warehouse", "customer", "snapshot_ts", "composite_cost", "sample_count")
+    spine = f.select("warehouse", "customer", (F.col("last_updated") + F.expr("INTERVAL 10 DAYS")).alias("ts")).distinct()
+    return rounded(asof.asof_join(spine, snaps, ["warehouse", "customer"]))
+
+
+@register("feature_recompute_asof")
+def q_feature_recompute_asof(spark, d):
+    f = facts(spark, d)
+    spine = f.select("warehouse", "customer",
+                     (F.date_trunc("month", "last_updated").cast("timestamp_ntz")
+                      + F.expr("INTERVAL 14 DAYS 12 HOURS")).alias("ts")).distinct()
+    return rounded(asof.recompute_asof(spine, f))
+
+
+@register("resolve_asof")
+def q_resolve_asof(spark, d):
+    """Scenarios priced with the features as of their own timestamp."""
+    f = facts(spark, d, with_lane=True)
+    stats = lane_stats(spark, d)
+    sc = scen.fact_wide_scenarios(stats).withColumn(
+        "feature_timestamp", F.lit("1996-01-01").cast("timestamp_ntz")
+        + F.make_dt_interval(F.col("warehouse_a_capacity") % 1500))
+    c1, c2 = scen.FACT_WIDE_CUSTOMERS
+    spine = sc.select("scenario_name", F.col("feature_timestamp").alias("ts"), F.inline(F.array(
+        F.struct(F.lit("cost_a_to_1").alias("slot"), F.col("warehouse_a").alias("warehouse"), F.lit(c1).alias("customer")),
+        F.struct(F.lit("cost_a_to_2").alias("slot"), F.col("warehouse_a").alias("warehouse"), F.lit(c2).alias("customer")),
+        F.struct(F.lit("cost_b_to_1").alias("slot"), F.col("warehouse_b").alias("warehouse"), F.lit(c1).alias("customer")),
+        F.struct(F.lit("cost_b_to_2").alias("slot"), F.col("warehouse_b").alias("warehouse"), F.lit(c2).alias("customer")))))
+    snaps = asof.monthly_snapshots(f).select("warehouse", "customer", "snapshot_ts", "composite_cost")
+    found = asof.asof_join(spine, snaps, ["warehouse", "customer"])
+    costs = found.groupBy("scenario_name").agg(
+        *[F.max(F.when(F.col("slot") == c, F.col("composite_cost"))).alias(f"fs_{c}")
+          for c in ["cost_a_to_1", "cost_a_to_2", "cost_b_to_1", "cost_b_to_2"]])
+    return rounded(plan_2x2(sc.join(costs, "scenario_name", "left"), keep=["warehouse_a", "warehouse_b"]))

@@ -426,6 +426,58 @@ SELECT scenario_name, bool_and(feasible) AS feasible, round(sum(demand), 6) AS t
 FROM plan GROUP BY scenario_name"""
 
 
+SNAPS = """
+cand AS (SELECT *, unnest([date_trunc('month', last_updated),
+                           date_trunc('month', last_updated) + INTERVAL 1 MONTH,
+                           date_trunc('month', last_updated) + INTERVAL 2 MONTH]) AS snapshot_ts FROM fact),
+snaps AS (SELECT * FROM cand WHERE snapshot_ts >= last_updated AND snapshot_ts <= last_updated + INTERVAL 30 DAY)"""
+
+ORACLE["features_on_date"] = f"""WITH {FACT}, {SNAPS}
+{FEATURE_SELECT.replace('FROM fact', 'FROM snaps').replace('SELECT warehouse, customer,', 'SELECT warehouse, customer, snapshot_ts,')}
+WHERE snapshot_ts >= TIMESTAMP '2000-07-01' AND snapshot_ts < TIMESTAMP '2000-07-02'
+GROUP BY warehouse, customer, snapshot_ts"""
+
+ORACLE["feature_asof"] = f"""WITH {FACT}, {SNAPS},
+hist AS (SELECT warehouse, customer, snapshot_ts, avg({COMP}) AS composite_cost, count(*) AS sample_count
+         FROM snaps GROUP BY warehouse, customer, snapshot_ts),
+spine AS (SELECT DISTINCT warehouse, customer, last_updated + INTERVAL 10 DAY AS ts FROM fact)
+SELECT spine.warehouse, spine.customer, spine.ts, hist.snapshot_ts, round(hist.composite_cost, 6) AS composite_cost,
+       hist.sample_count
+FROM spine ASOF LEFT JOIN hist
+  ON spine.warehouse = hist.warehouse AND spine.customer = hist.customer AND spine.ts >= hist.snapshot_ts"""
+
+ORACLE["feature_recompute_asof"] = f"""WITH {FACT},
+spine AS (SELECT DISTINCT warehouse, customer, date_trunc('month', last_updated) + INTERVAL 14 DAY + INTERVAL 12 HOUR AS ts
+          FROM fact),
+m AS (SELECT spine.ts, fact.* FROM spine JOIN fact
+        ON fact.warehouse = spine.warehouse AND fact.customer = spine.customer
+       AND fact.last_updated >= spine.ts - INTERVAL 30 DAY AND fact.last_updated <= spine.ts)
+{FEATURE_SELECT.replace('FROM fact', 'FROM m').replace('SELECT warehouse, customer,', 'SELECT warehouse, customer, ts,')}
+GROUP BY warehouse, customer, ts
+UNION ALL
+SELECT spine.warehouse, spine.customer, spine.ts, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL
+FROM spine WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.warehouse = spine.warehouse AND m.customer = spine.customer
+                                               AND m.ts = spine.ts)"""
+
+ORACLE["resolve_asof"] = f"""WITH {FACT}, {WIDE_SCEN}, {SNAPS},
+hist AS (SELECT warehouse, customer, snapshot_ts, avg({COMP}) AS cc FROM snaps GROUP BY warehouse, customer, snapshot_ts),
+sts AS (SELECT s.*, TIMESTAMP '1996-01-01' + to_days(CAST(ka % 1500 AS INTEGER)) AS fts FROM s),
+spine AS (SELECT scenario_name, fts AS ts, 'a1' AS slot, wa AS warehouse, 'Customer_AUTOMOBILE' AS customer FROM sts
+          UNION ALL SELECT scenario_name, fts, 'a2', wa, 'Customer_BUILDING' FROM sts
+          UNION ALL SELECT scenario_name, fts, 'b1', wb, 'Customer_AUTOMOBILE' FROM sts
+          UNION ALL SELECT scenario_name, fts, 'b2', wb, 'Customer_BUILDING' FROM sts),
+found AS (SELECT spine.scenario_name, spine.slot, hist.cc FROM spine ASOF LEFT JOIN hist
+            ON spine.warehouse = hist.warehouse AND spine.customer = hist.customer AND spine.ts >= hist.snapshot_ts),
+piv AS (SELECT scenario_name, max(CASE WHEN slot = 'a1' THEN cc END) AS x1c, max(CASE WHEN slot = 'a2' THEN cc END) AS x2c,
+               max(CASE WHEN slot = 'b1' THEN cc END) AS y1c, max(CASE WHEN slot = 'b2' THEN cc END) AS y2c
+        FROM found GROUP BY scenario_name),
+s2 AS (SELECT sts.scenario_name, wa, wb, ka, kb, d1, d2, piv.x1c AS ca1, piv.x2c AS ca2, piv.y1c AS cb1, piv.y2c AS cb2,
+              fts AS ts
+       FROM sts LEFT JOIN piv ON piv.scenario_name = sts.scenario_name),
+src AS (SELECT *, {MISSING_FEATURE} AS err, 'feature_store' AS source, 'python' AS mode FROM s2),
+{plan_out('src', 'wa AS warehouse_a, wb AS warehouse_b,')}"""
+
+
 def _half_up(sql: str, digits: int = 6) -> str:
     """Rewrite ``round(x, 6)`` as a decimal round half up.
 
