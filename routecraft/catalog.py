@@ -515,3 +515,98 @@ def q_resolve_asof(spark, d):
         *[F.max(F.when(F.col("slot") == c, F.col("composite_cost"))).alias(f"fs_{c}")
           for c in ["cost_a_to_1", "cost_a_to_2", "cost_b_to_1", "cost_b_to_2"]])
     return rounded(plan_2x2(sc.join(costs, "scenario_name", "left"), keep=["warehouse_a", "warehouse_b"]))
+
+
+# -- A. files, feature store, streaming ---------------------------------------------------
+
+def _scratch(spark, d, name):
+    import os
+    from .session import shared_path
+    return shared_path(spark, "routecraft", f"{os.path.basename(os.path.normpath(d))}-{name}")
+
+
+@register("constraints_json")
+def q_constraints_json(spark, d):
+    from .sources.files import read_constraints_json, write_constraints_json
+    counts = facts(spark, d).withColumn("n", F.lit(1))
+    path = _scratch(spark, d, "constraints_json")
+    write_constraints_json(scen.warehouse_capacities(counts), scen.customer_demands(counts), path)
+    caps, dems = read_constraints_json(spark, path)
+    return (caps.select(F.lit("warehouse").alias("party"), F.col("warehouse").alias("name"),
+                        F.col("capacity").alias("value"))
+            .unionByName(dems.select(F.lit("customer").alias("party"), F.col("customer").alias("name"),
+                                     F.col("demand").alias("value"))))
+
+
+@register("route_costs_csv")
+def q_route_costs_csv(spark, d):
+    from .sources.files import read_route_costs_csv, write_route_costs_csv
+    costs = feat.route_features(facts(spark, d)).select(
+        "warehouse", "customer", F.col("composite_cost").alias("cost_per_unit"))
+    path = _scratch(spark, d, "route_costs_csv")
+    write_route_costs_csv(costs, path)
+    return rounded(read_route_costs_csv(spark, path))
+
+
+@register("feature_publish")
+def q_feature_publish(spark, d):
+    from .sources.files import publish_features, read_features
+    base = _scratch(spark, d, "feature_store")
+    publish_features(feat.route_features(facts(spark, d)), base)
+    return rounded(read_features(spark, base))
+
+
+@register("feature_read")
+def q_feature_read(spark, d):
+    from .sources.files import publish_features
+    base = _scratch(spark, d, "feature_store_read")
+    view = publish_features(feat.route_features(facts(spark, d)), base)
+    return rounded(spark.table(view).drop("version"))
+
+
+@register("feature_lookup")
+def q_feature_lookup(spark, d):
+    """Spine of (customer-nation warehouse, customer) routes; routes without
+    features keep null feature values."""
+    f = facts(spark, d, with_lane=True)
+    spine = f.select(F.col("lane_warehouse").alias("warehouse"), "customer").distinct()
+    return rounded(feat.feature_lookup(spine, feat.route_features(f)))
+
+
+@register("rolling_features_30d")
+def q_rolling_features_30d(spark, d):
+    from .streaming.daily import daily_partials, rolling_features
+    return rounded(rolling_features(daily_partials(facts(spark, d))))
+
+
+@register("stream_daily_features")
+def q_stream_daily_features(spark, d):
+    """Facts written as files, then consumed by the streaming job (available-now
+    trigger). The last day(s) stay open behind the watermark, so the row count
+    is below the batch daily count; checked rows-only."""
+    import uuid
+    from .schemas import FACT_SCHEMA
+    from .sources.fact import create_fact_table
+    from .streaming.daily import run_daily_partials
+    run = _scratch(spark, d, f"stream_daily-{uuid.uuid4().hex[:8]}")
+    create_fact_table(facts(spark, d), f"{run}/facts", partition_by_day=False)
+    run_daily_partials(spark, f"{run}/facts", FACT_SCHEMA, f"{run}/daily", f"{run}/checkpoint")
+    return rounded(spark.read.parquet(f"{run}/daily"))
+
+
+@register("stream_scenarios")
+def q_stream_scenarios(spark, d):
+    """Lane-pair scenarios arriving as a file stream, planned against static
+    per-warehouse feature costs; checked rows-only."""
+    import uuid
+    from .streaming.daily import stream_plans
+    run = _scratch(spark, d, f"stream_scen-{uuid.uuid4().hex[:8]}")
+    stats = lane_stats(spark, d)
+    sc = scen.fact_wide_scenarios(stats)
+    sc.write.mode("overwrite").parquet(f"{run}/scenarios")
+    costs = matrix.costs_by_warehouse(feat.merge_partials(stats), scen.FACT_WIDE_CUSTOMERS)
+    stream = spark.readStream.schema(sc.schema).parquet(f"{run}/scenarios")
+    q = (stream_plans(stream, costs).writeStream.format("parquet").option("path", f"{run}/plans")
+         .option("checkpointLocation", f"{run}/checkpoint").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return rounded(spark.read.parquet(f"{run}/plans"))

@@ -478,6 +478,49 @@ src AS (SELECT *, {MISSING_FEATURE} AS err, 'feature_store' AS source, 'python'
 {plan_out('src', 'wa AS warehouse_a, wb AS warehouse_b,')}"""
 
 
+ORACLE["constraints_json"] = f"""WITH {FACT}
+SELECT 'warehouse' AS party, warehouse AS name, CAST(count(*) AS DOUBLE) AS value FROM fact GROUP BY warehouse
+UNION ALL
+SELECT 'customer', customer, CAST(floor(count(*) / 20) AS DOUBLE) FROM fact GROUP BY customer"""
+
+ORACLE["route_costs_csv"] = f"""WITH {FACT}, {ROUTES}
+SELECT warehouse, customer, round(cc, 6) AS cost_per_unit FROM routes"""
+
+ORACLE["feature_publish"] = f"""WITH {FACT}
+SELECT f.*, '1.0' AS version FROM ({FEATURE_SELECT} GROUP BY warehouse, customer) f"""
+
+ORACLE["feature_read"] = ORACLE["features_all"]
+
+ORACLE["feature_lookup"] = f"""WITH {FACT},
+feats AS ({FEATURE_SELECT} GROUP BY warehouse, customer),
+spine AS (SELECT DISTINCT lane_warehouse AS warehouse, customer FROM fact)
+SELECT spine.warehouse, spine.customer, avg_distance_cost, avg_fuel_cost, avg_time_cost, avg_capacity_factor,
+       avg_seasonal_factor, avg_priority_factor, composite_cost, fuel_price_volatility, min_fuel_price,
+       max_fuel_price, sample_count, feature_timestamp
+FROM spine LEFT JOIN feats ON feats.warehouse = spine.warehouse AND feats.customer = spine.customer"""
+
+ORACLE["rolling_features_30d"] = f"""WITH {FACT},
+daily AS (SELECT warehouse, customer, CAST(last_updated AS DATE) AS day, count(*) AS n,
+                 sum({COMP}) AS s_comp, count({COMP}) AS c_comp,
+                 sum(fuel_price_per_liter) AS s1, sum(fuel_price_per_liter * fuel_price_per_liter) AS s2,
+                 count(fuel_price_per_liter) AS c1, min(fuel_price_per_liter) AS mn, max(fuel_price_per_liter) AS mx,
+                 max(last_updated) AS ts
+          FROM fact GROUP BY warehouse, customer, CAST(last_updated AS DATE)),
+roll AS (SELECT warehouse, customer, day,
+                sum(s_comp) OVER w / sum(c_comp) OVER w AS composite_cost,
+                sum(c1) OVER w AS k, sum(s1) OVER w AS t1, sum(s2) OVER w AS t2,
+                min(mn) OVER w AS min_fuel_price, max(mx) OVER w AS max_fuel_price,
+                sum(n) OVER w AS sample_count, max(ts) OVER w AS feature_timestamp
+         FROM daily
+         WINDOW w AS (PARTITION BY warehouse, customer ORDER BY day
+                      RANGE BETWEEN INTERVAL 30 DAY PRECEDING AND CURRENT ROW))
+SELECT warehouse, customer, day, round(composite_cost, 6) AS composite_cost,
+       round(CASE WHEN k > 1 THEN sqrt(greatest((t2 - t1 * t1 / k) / (k - 1), 0)) END, 6) AS fuel_price_volatility,
+       round(min_fuel_price, 6) AS min_fuel_price, round(max_fuel_price, 6) AS max_fuel_price,
+       CAST(sample_count AS BIGINT) AS sample_count, feature_timestamp
+FROM roll"""
+
+
 def _half_up(sql: str, digits: int = 6) -> str:
     """Rewrite ``round(x, 6)`` as a decimal round half up.
 
