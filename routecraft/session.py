@@ -43,12 +43,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     On a cluster the setting names a shared (distributed) folder and is used as
     is. Only when it is unset, as in local tests, a scratch folder is created.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None) or \
-        spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    try:
+        context = spark.sparkContext
+    except Exception:  # remote (Connect) sessions expose no SparkContext
+        context = None
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured and context is not None:
+        configured = context.getConf().get("spark.checkpoint.dir", None)
     if not configured:
         configured = tempfile.mkdtemp(prefix="routecraft-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
-    spark.sparkContext.setCheckpointDir(configured)
+    if context is not None:
+        context.setCheckpointDir(configured)
     return configured
 
 
