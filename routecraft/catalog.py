@@ -21,6 +21,7 @@ from .operators import matrix
 from .plans.merit_order import plan_mx1
 from .plans.two_by_n import plan_2xn, plan_summary
 from .plans.two_by_two import plan_2x2
+from .session import run_path
 from .sources import scenarios as scen
 from .sources.fact import fact_from_tpch
 
@@ -519,17 +520,11 @@ def q_resolve_asof(spark, d):
 
 # -- A. files, feature store, streaming ---------------------------------------------------
 
-def _scratch(spark, d, name):
-    import os
-    from .session import shared_path
-    return shared_path(spark, "routecraft", f"{os.path.basename(os.path.normpath(d))}-{name}")
-
-
 @register("constraints_json")
 def q_constraints_json(spark, d):
     from .sources.files import read_constraints_json, write_constraints_json
     counts = facts(spark, d).withColumn("n", F.lit(1))
-    path = _scratch(spark, d, "constraints_json")
+    path = run_path(spark, "constraints_json")
     write_constraints_json(scen.warehouse_capacities(counts), scen.customer_demands(counts), path)
     caps, dems = read_constraints_json(spark, path)
     return (caps.select(F.lit("warehouse").alias("party"), F.col("warehouse").alias("name"),
@@ -543,7 +538,7 @@ def q_route_costs_csv(spark, d):
     from .sources.files import read_route_costs_csv, write_route_costs_csv
     costs = feat.route_features(facts(spark, d)).select(
         "warehouse", "customer", F.col("composite_cost").alias("cost_per_unit"))
-    path = _scratch(spark, d, "route_costs_csv")
+    path = run_path(spark, "route_costs_csv")
     write_route_costs_csv(costs, path)
     return rounded(read_route_costs_csv(spark, path))
 
@@ -551,7 +546,7 @@ def q_route_costs_csv(spark, d):
 @register("feature_publish")
 def q_feature_publish(spark, d):
     from .sources.files import publish_features, read_features
-    base = _scratch(spark, d, "feature_store")
+    base = run_path(spark, "feature_store")
     publish_features(feat.route_features(facts(spark, d)), base)
     return rounded(read_features(spark, base))
 
@@ -559,7 +554,7 @@ def q_feature_publish(spark, d):
 @register("feature_read")
 def q_feature_read(spark, d):
     from .sources.files import publish_features
-    base = _scratch(spark, d, "feature_store_read")
+    base = run_path(spark, "feature_store_read")
     view = publish_features(feat.route_features(facts(spark, d)), base)
     return rounded(spark.table(view).drop("version"))
 
@@ -584,11 +579,10 @@ def q_stream_daily_features(spark, d):
     """Facts written as files, then consumed by the streaming job (available-now
     trigger). The last day(s) stay open behind the watermark, so the row count
     is below the batch daily count; checked rows-only."""
-    import uuid
     from .schemas import FACT_SCHEMA
     from .sources.fact import create_fact_table
     from .streaming.daily import run_daily_partials
-    run = _scratch(spark, d, f"stream_daily-{uuid.uuid4().hex[:8]}")
+    run = run_path(spark, "stream_daily")
     create_fact_table(facts(spark, d), f"{run}/facts", partition_by_day=False)
     run_daily_partials(spark, f"{run}/facts", FACT_SCHEMA, f"{run}/daily", f"{run}/checkpoint")
     return rounded(spark.read.parquet(f"{run}/daily"))
@@ -598,9 +592,8 @@ def q_stream_daily_features(spark, d):
 def q_stream_scenarios(spark, d):
     """Lane-pair scenarios arriving as a file stream, planned against static
     per-warehouse feature costs; checked rows-only."""
-    import uuid
     from .streaming.daily import stream_plans
-    run = _scratch(spark, d, f"stream_scen-{uuid.uuid4().hex[:8]}")
+    run = run_path(spark, "stream_scenarios")
     stats = lane_stats(spark, d)
     sc = scen.fact_wide_scenarios(stats)
     sc.write.mode("overwrite").parquet(f"{run}/scenarios")

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -20,7 +20,8 @@ ENGINE_CONF = {
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
                   app_name: str = "routecraft", extra: dict | None = None) -> SparkSession:
-    """A local session for tests and benchmarks (UI off, loopback driver)."""
+    """A local session for tests and benchmarks (UI off, loopback driver). Being
+    local, it may use a scratch folder of this machine as its shared folder."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app_name)
@@ -28,38 +29,55 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.driver.host", "127.0.0.1")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", "8g")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="routecraft-shared-"))
     )
     for key, value in {**ENGINE_CONF, **(extra or {})}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+def apply_engine_conf(spark: SparkSession) -> list[str]:
+    """Set the engine's settings on a given session; returns the settings that
+    did not take (static in this deployment or locked by the caller)."""
+    refused = []
+    for key, value in ENGINE_CONF.items():
+        try:
+            spark.conf.set(key, value)
+        except Exception:  # noqa: BLE001 - reported to the caller, not hidden
+            refused.append(key)
+            continue
+        if spark.conf.get(key, None) != value:
+            refused.append(key)
+    return refused
 
-    On a cluster the setting names a shared (distributed) folder and is used as
-    is. Only when it is unset, as in local tests, a scratch folder is created.
-    """
-    try:
-        context = spark.sparkContext
-    except Exception:  # remote (Connect) sessions expose no SparkContext
-        context = None
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured and context is not None:
-        configured = context.getConf().get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="routecraft-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", configured)
-    if context is not None:
-        context.setCheckpointDir(configured)
-    return configured
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and every executor see: ``spark.checkpoint.dir``,
+    else ``spark.sql.warehouse.dir``. A path without a scheme, or with ``file:``,
+    is accepted as it stands when it was set (clusters may mount one shared
+    file system); the default warehouse, a folder of the driver's machine, is
+    accepted on a local master only."""
+    context = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
+    if configured:
+        return configured.rstrip("/")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir")
+    given = context.getConf().get("spark.sql.warehouse.dir", None)
+    if not context.master.startswith("local") and (not given or given.startswith("file:")):
+        raise RuntimeError(
+            "no shared folder: set spark.checkpoint.dir to a folder that the driver and all executors can reach "
+            f"(the warehouse {warehouse} is local to one machine)")
+    return warehouse.rstrip("/")
 
 
 def shared_path(spark: SparkSession, *parts: str) -> str:
-    """A path below the shared checkpoint folder (for written hand-off tables,
-    streaming checkpoints and sinks)."""
-    base = ensure_checkpoint_dir(spark)
-    return os.path.join(base, *parts) if "://" not in base else "/".join([base.rstrip("/"), *parts])
+    """A path below the shared folder, as given (not unique)."""
+    return "/".join([shared_folder(spark), "routecraft", *parts])
+
+
+def run_path(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder, unique to this call, so that runs
+    side by side never touch each other's files."""
+    return shared_path(spark, f"{name}-{uuid.uuid4().hex}")
