@@ -25,16 +25,18 @@ def bitmap_words(df: DataFrame, key: str, cells: int) -> DataFrame:
             .groupBy("word").agg(F.bit_or("b").alias("bits")))
 
 
-def bitmap_column(df: DataFrame, key: str, cells: int) -> Column:
-    """The bitmap as a scalar array column, for use in any other frame."""
-    spark = df.sparkSession
-    n = -(-cells // WORD_BITS)
-    dense = (spark.range(n).select(F.col("id").cast("int").alias("word"))
-             .join(bitmap_words(df, key, cells), "word", "left")
-             .select("word", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")))
+def dense_cells(rows: DataFrame, size: int) -> DataFrame:
+    """Rows (word, bits) as one row with an array ``cells`` of ``size`` longs, 0 where no row is."""
+    dense = (rows.sparkSession.range(size).select(F.col("id").cast("int").alias("word"))
+             .join(rows, "word", "left").select("word", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")))
     chunk = (dense.groupBy(F.floor(F.col("word") / 1024).cast("int").alias("chunk"))
              .agg(F.array_sort(F.collect_list(F.struct("word", "bits")))["bits"].alias("part")))
-    return chunk.agg(F.flatten(F.array_sort(F.collect_list(F.struct("chunk", "part")))["part"]).alias("bitmap")).scalar()
+    return chunk.agg(F.flatten(F.array_sort(F.collect_list(F.struct("chunk", "part")))["part"]).alias("cells"))
+
+
+def bitmap_column(df: DataFrame, key: str, cells: int) -> Column:
+    """The bitmap as a scalar array column, for use in any other frame."""
+    return dense_cells(bitmap_words(df, key, cells), -(-cells // WORD_BITS)).scalar()
 
 
 def in_bitmap(bitmap: Column, key: Column, cells: int) -> Column:

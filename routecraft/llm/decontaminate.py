@@ -6,14 +6,14 @@
    with a term that the corpus never has cannot occur and goes.
 3. The index stores the postings (term, document, position) of the terms that
    any window is looked up by, as a table in the shared folder.
-4. The lists of a window's rarest terms, each moved back by the term's offset,
-   are intersected per (document, window, start): equal starts give candidate
-   phrases, starts within ``SLOP`` words give proximity matches.
+4. A document's lists of a window's rarest terms, each moved back by the term's
+   offset, are intersected: equal starts give candidate phrases, starts within
+   ``SLOP`` words give proximity matches.
 5. Candidate phrases are verified on the document's own words, all of them.
 
 Between the passes only bitmaps of a fixed size reach the tasks; everything
 that grows with benchmark or corpus is joined by key. A hot term or passage
-only adds rows that are spread by (document, window, start).
+only adds rows that are spread by (document, window).
 
 Defined results: null or empty texts have no words and no hits; an item without
 words or without id is skipped; equal items count by their ids; rows equal in id
@@ -34,7 +34,7 @@ from .common import fresh, hand_off, row_key
 from .textnum import _BASE2, Block, blocks, ngrams, prefix, span_hash, strings
 
 WINDOW = 10
-PIVOTS = 2        # rarest terms of a window that are looked up in the index
+PIVOTS = 2        # rarest terms of a window that are looked up in the index (two lists are intersected)
 SLOP = 3          # words by which the looked-up terms may be off in a proximity match
 VOCAB_CELLS = 1 << 22
 
@@ -141,19 +141,19 @@ def build_index(docs: DataFrame, windows: DataFrame) -> tuple[DataFrame, DataFra
 
 
 def lookup(postings: DataFrame, pivots: DataFrame) -> DataFrame:
-    """key, win, len, start, phrase: candidate phrases (phrase) and proximity matches (not phrase)."""
-    shifts = F.when(F.col("rank") == 0, F.array(F.lit(0))).otherwise(F.sequence(F.lit(-SLOP), F.lit(SLOP)))
+    """key, win, len, starts, near: the documents that have all looked-up terms of a
+    window, with the starts at which their moved lists meet (candidate phrases) and
+    whether they come within ``SLOP`` words. The lists are those of one document."""
     moved = (postings.join(pivots, "term")
-             .select("key", "win", "len", "n_pivots", "rank", (F.col("pos") - F.col("offset")).alias("_at"),
-                     F.explode(shifts).alias("d"))
-             .select("key", "win", "len", "n_pivots", (F.col("_at") + F.col("d")).alias("start"),
-                     F.call_function("shiftleft", F.lit(1), F.col("rank")).alias("bit"), (F.col("d") == 0).alias("exact")))
-    # which ranks are there, exactly and nearly; repeated rows change nothing
-    every = F.call_function("shiftleft", F.lit(1), F.col("n_pivots")) - 1
-    return (moved.groupBy("key", "win", "len", "n_pivots", "start")
-            .agg(F.bit_or(F.when(F.col("exact"), F.col("bit")).otherwise(0)).alias("e"), F.bit_or("bit").alias("m"))
-            .where(F.col("m") == every)
-            .select("key", "win", "len", "start", (F.col("e") == every).alias("phrase")))
+             .select("key", "win", "len", "n_pivots", "rank", (F.col("pos") - F.col("offset")).alias("start")))
+    lists = (moved.groupBy("key", "win", "len", "n_pivots")
+             .agg(*[F.collect_list(F.when(F.col("rank") == r, F.col("start"))).alias(f"s{r}") for r in range(PIVOTS)])
+             .where((F.size("s0") > 0) & ((F.col("n_pivots") == 1) | (F.size("s1") > 0))))
+    widened = F.flatten(F.transform("s1", lambda s: F.sequence(s - SLOP, s + SLOP)))
+    return lists.select(
+        "key", "win", "len",
+        F.when(F.col("n_pivots") == 1, F.array_distinct("s0")).otherwise(F.array_intersect("s0", "s1")).alias("starts"),
+        ((F.col("n_pivots") > 1) & F.arrays_overlap("s0", widened)).alias("near")).where((F.size("starts") > 0) | F.col("near"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -162,7 +162,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     windows = hand_off(test_windows(benchmark), "decontaminate-windows")
     postings, pivots = build_index(docs, windows)
     matches = hand_off(lookup(postings, pivots), "decontaminate-matches")
-    per_doc = (matches.where("phrase").groupBy("key")
+    per_doc = (matches.select("key", "win", "len", F.explode("starts").alias("start")).groupBy("key")
                .agg(F.collect_list(F.struct("start", "len", "win")).alias("cand")))
     checked = (docs.select("doc_id", "text", row_key().alias("_key"))
                .join(per_doc.withColumnRenamed("key", "_key"), "_key", "left")
@@ -173,7 +173,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     of_win = windows.select("win", "item").distinct()
     exact = (checked.where(F.size("wins") > 0).select(F.col("_key").alias("key"), F.explode("wins").alias("win")).distinct()
              .withColumn("phrase", F.lit(True)))
-    near = matches.where(~F.col("phrase")).select("key", "win").distinct().withColumn("phrase", F.lit(False))
+    near = matches.where("near").select("key", "win").withColumn("phrase", F.lit(False))
     items = (exact.unionByName(near).join(of_win, "win")
              .groupBy("key", "item").agg(F.max("phrase").alias("phrase"))
              .groupBy("key").agg(

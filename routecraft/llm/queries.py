@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, repetition
+from . import decontaminate, language, lines, pieces, repetition, shingles, toxicity, urls
 from .common import table
 
 LLM_REGISTRY: dict = {}
@@ -85,3 +85,79 @@ LLM_ORACLE["op9_decontaminate"] = rf"""
     SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
            sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
     FROM words LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)"""
+
+
+@register
+def op10_ngram_join(spark, sf_dir):
+    return shingles.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+LLM_ORACLE["op10_ngram_join"] = rf"""
+    WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                          'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+    sh AS (SELECT DISTINCT doc_id, hash(array_to_string(ws[i:i + 4], ' '), len(ws[i:i + 4])) AS s
+           FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM words WHERE len(ws) > 0)),
+    size AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+    shared AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM sh x JOIN sh y USING (s) WHERE x.doc_id < y.doc_id GROUP BY ALL),
+    links AS (SELECT a, b FROM shared JOIN size p ON a = p.doc_id JOIN size q ON b = q.doc_id WHERE 100 * c >= 75 * (p.n + q.n - c)),
+    edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+    walk AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT w.a, e.b FROM walk w JOIN edges e ON w.b = e.a)
+    SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, c.component_id
+    FROM documents d LEFT JOIN size USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM walk GROUP BY 1) c USING (doc_id)"""
+
+
+@register
+def op3_line_dedup(spark, sf_dir):
+    r = lines.line_dedup(table(spark, sf_dir, "documents"))
+    return r.select("doc_id", "n_lines", F.size("removed").alias("n_removed"),
+                    F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed_lines"))
+
+
+# Lines of equal shingle sets are one class; classes are linked, and their lines come in document order.
+LLM_ORACLE["op3_line_dedup"] = r"""
+    WITH RECURSIVE split AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+    line AS (SELECT doc_id, unnest(range(0, len(ls))) AS line_no, unnest(ls) AS line FROM split),
+    words AS (SELECT doc_id, line_no, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                     'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM line),
+    sh AS (SELECT DISTINCT doc_id, line_no, hash(array_to_string(ws[i:i + 4], ' '), len(ws[i:i + 4])) AS s
+           FROM (SELECT *, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM words WHERE len(ws) > 0)),
+    sets AS (SELECT doc_id, line_no, list_sort(list(s)) AS ss FROM sh GROUP BY ALL),
+    class AS (SELECT ss, len(ss) AS n, row_number() OVER () AS k FROM (SELECT DISTINCT ss FROM sets)),
+    tok AS (SELECT k, n, unnest(ss) AS s FROM class),
+    shared AS (SELECT x.k AS a, y.k AS b, x.n AS n1, y.n AS n2, count(*) AS c FROM tok x JOIN tok y USING (s) WHERE x.k < y.k GROUP BY ALL),
+    links AS (SELECT a, b FROM shared WHERE 100 * c >= 75 * (n1 + n2 - c)),
+    edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+    walk AS (SELECT a, a AS b FROM edges UNION SELECT w.a, e.b FROM walk w JOIN edges e ON w.b = e.a),
+    grp AS (SELECT k, coalesce(min(b), k) AS g FROM class LEFT JOIN walk ON a = k GROUP BY k),
+    placed AS (SELECT doc_id, line_no, row_number() OVER (PARTITION BY g ORDER BY doc_id, line_no) AS nth
+               FROM sets JOIN class USING (ss) JOIN grp USING (k)),
+    gone AS (SELECT doc_id, count(*) AS c, string_agg(line_no::VARCHAR, ',' ORDER BY line_no) AS ids FROM placed WHERE nth > 1 GROUP BY 1)
+    SELECT doc_id, coalesce(len(ls), 0)::INTEGER AS n_lines, coalesce(c, 0)::INTEGER AS n_removed, coalesce(ids, '') AS removed_lines
+    FROM split LEFT JOIN gone USING (doc_id)"""
+
+
+def piece_model() -> str:
+    import public_tokenizers
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+@register
+def op8_sentencepiece(spark, sf_dir):
+    return pieces.digests(pieces.encode_documents(table(spark, sf_dir, "documents"), piece_model()))
+
+
+@register
+def op4_toxicity(spark, sf_dir):
+    r = toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    spans = F.array_join(F.transform("offending", lambda s: F.concat(s["start"].cast("string"), F.lit(":"), s["end"].cast("string"))), ",")
+    return r.select("doc_id", "held_out", "score", "predicted", "n_sentences", spans.alias("offending"))
+
+
+@register
+def op5_language(spark, sf_dir):
+    return language.predict_languages(table(spark, sf_dir, "documents"))
+
+
+@register
+def op7_url_ratio(spark, sf_dir):
+    return urls.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
