@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, lines, pieces, repetition, shingles, toxicity, urls
+from . import cotraining, decontaminate, language, lines, pieces, pii, repetition, shingles, toxicity, urls
 from .common import table
 
 LLM_REGISTRY: dict = {}
@@ -161,3 +161,17 @@ def op5_language(spark, sf_dir):
 @register
 def op7_url_ratio(spark, sf_dir):
     return urls.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+@register
+def op6_pii(spark, sf_dir):
+    r = pii.find_spans(table(spark, sf_dir, "documents"))
+
+    def count(kind):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return r.select("doc_id", *map(count, pii.KINDS), F.sha2(pii.joined("base"), 256).alias("base_sha256"), pii.joined("spans").alias("spans"))
+
+
+@register
+def op1_cotraining(spark, sf_dir):
+    return cotraining.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

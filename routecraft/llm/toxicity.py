@@ -1,9 +1,9 @@
 """Toxicity by multiple-instance learning (operator 4).
 
 A document is a bag of sentences. A sentence's score is a logistic function of
-its words; the document's is their noisy-or, 1 - prod(1 - p). Weights are
-trained on document labels alone, so that sentence scores tell where the
-offending sentences are.
+which words and four-character parts of words it has; the document's is their
+noisy-or, 1 - prod(1 - p). Weights are trained on document labels alone, so that
+sentence scores tell where the offending sentences are.
 
 The model is fitted on a bounded sample of labelled rows (``MAX_POSITIVE`` and
 ``MAX_NEGATIVE``, by the order of a hash of the id); every row is scored whole,
@@ -26,18 +26,19 @@ from pyspark.sql import functions as F
 from .textnum import Block, blocks, span_hash, strings
 
 MAX_POSITIVE, MAX_NEGATIVE = 2000, 4000
-CELLS = 1 << 16         # hashed words
-MIN_DOCS = 6            # sample documents that a word needs to get a weight
-STEPS, RATE, DECAY = 250, 0.08, 1e-3
+CELLS = 1 << 18         # hashed words and parts
+PART = 4
+MIN_DOCS, MIN_LIFT = 8, 3.0  # a feature gets a weight if so many positive sample documents have it, so many times as often as negative ones
+STEPS, RATE, DECAY = 200, 0.1, 1e-4
 RESULT = "struct<score: double, n_sentences: int, offending: array<struct<start: int, end: int>>>"
 
 
 def sentences(texts: list[str]):
-    """Word cells, each word's sentence (numbered through the block), each sentence's
-    document, and each sentence's start and end in its text."""
+    """Feature cells, each feature's sentence (numbered through the block), each
+    sentence's document, and each sentence's start and end in its text."""
     b = Block(texts, fold=True)
     starts, ends = b.alnum_words()
-    cell = (span_hash(b.char_prefix(), starts, ends) & np.uint64(CELLS - 1)).astype(np.int64)
+    pre = b.char_prefix()
     stop = (b.cp == 46) | (b.cp == 33) | (b.cp == 63) | (b.cp == 10)
     doc = b.doc_of(starts)
     place = np.cumsum(stop)[starts] + doc if len(starts) else np.zeros(0, np.int64)
@@ -46,7 +47,20 @@ def sentences(texts: list[str]):
     first = np.flatnonzero(new)
     last = np.concatenate([first[1:], [len(starts)]])[: len(first)] - 1
     of = doc[first]
-    return cell, number, of, starts[first] - b.start[of], ends[last] - b.start[of]
+    # parts: every position of a word from which PART characters are left in it
+    room = np.maximum(ends - starts - PART + 1, 0)
+    word = np.repeat(np.arange(len(starts)), room)
+    at = starts[word] + np.arange(len(word)) - np.repeat(np.cumsum(room) - room, room)
+    hashes = np.concatenate([span_hash(pre, starts, ends), span_hash(pre, at, at + PART) ^ np.uint64(0x5851F42D4C957F2D)])
+    cell = (hashes & np.uint64(CELLS - 1)).astype(np.int64)
+    return cell, np.concatenate([number, number[word]]), of, starts[first] - b.start[of], ends[last] - b.start[of]
+
+
+def _present(cell, number, weighted):
+    """Each weighted feature once for each sentence that has it."""
+    keep = weighted[cell]
+    both = np.unique(number[keep] * np.int64(CELLS) + cell[keep])
+    return both % CELLS, both // CELLS
 
 
 def _logistic(z):
@@ -57,26 +71,32 @@ def fit(texts: list[str], label: np.ndarray) -> np.ndarray | None:
     """Word weights and the bias (last) that maximise the noisy-or likelihood of the labels."""
     if not len(texts) or label.min() == label.max():
         return None
+    have = np.zeros((2, CELLS), np.int64)  # negative and positive documents with the feature
+    for lo, hi in blocks(texts):
+        cell, number, of, _, _ = sentences(texts[lo:hi])
+        pair = np.unique(of[number] * np.int64(CELLS) + cell)
+        for c in (0, 1):
+            have[c] += np.bincount((pair % CELLS)[label[lo:hi][pair // CELLS] == c], minlength=CELLS)
+    n_pos, n_neg = (label > 0).sum(), (label == 0).sum()
+    known = (have[1] >= MIN_DOCS) & (have[1] * n_neg >= MIN_LIFT * n_pos * (have[0] + 1))
     cells, numbers, ofs, base_s, base_d = [], [], [], 0, 0
     for lo, hi in blocks(texts):
         cell, number, of, _, _ = sentences(texts[lo:hi])
+        cell, number = _present(cell, number, known)
         cells.append(cell), numbers.append(number + base_s), ofs.append(of + base_d)
         base_s, base_d = base_s + len(of), base_d + hi - lo
     cell, number, of = map(np.concatenate, (cells, numbers, ofs))
-    pairs = np.unique(of[number] * np.int64(CELLS) + cell) % CELLS
-    known = np.bincount(pairs, minlength=CELLS) >= MIN_DOCS
-    keep = known[cell]
-    cell, number = cell[keep], number[keep]
     y, w = label.astype(np.float64), np.zeros(CELLS + 1)
-    w[-1] = -5.0
+    w[-1] = -2.0
+    some = np.bincount(number, minlength=base_s) > 0  # a sentence without any weighted feature scores 0
     m, v = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, STEPS + 1):
-        p = _logistic(np.bincount(number, w[cell], base_s) + w[-1])
+        p = _logistic(np.bincount(number, w[cell], base_s) + w[-1]) * some
         none = np.exp(np.bincount(of, np.log1p(-np.minimum(p, 1 - 1e-9)), base_d))
         bag = np.maximum(1 - none, 1e-9)
         slope = p * np.where(y > 0, -none / bag, 1.0)[of]
         g = np.append(np.bincount(cell, slope[number], CELLS), slope.sum()) / base_d
-        g[:-1] += DECAY * w[:-1] / CELLS ** 0.5
+        g[:-1] += DECAY * w[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= RATE * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8)
     w[:-1][~known] = 0
@@ -93,7 +113,8 @@ def score_column(w: np.ndarray | None):
             count[lo:hi] = np.bincount(of, minlength=hi - lo)
             if w is None or not len(of):
                 continue
-            p = _logistic(np.bincount(number, w[cell], len(of)) + w[-1])
+            cell, number = _present(cell, number, w[:-1] != 0)
+            p = _logistic(np.bincount(number, w[cell], len(of)) + w[-1]) * (np.bincount(number, minlength=len(of)) > 0)
             none = np.bincount(of, np.log1p(-np.minimum(p, 1 - 1e-12)), hi - lo)
             score[lo:hi] = 1 - np.exp(none)
             for i in np.flatnonzero(p >= 0.5):
