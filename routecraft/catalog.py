@@ -28,8 +28,6 @@ from .sources.fact import fact_from_tpch
 DIGITS = 6
 AS_OF = "2000-07-02"                      # look-back end used by the windowed queries
 WIDE_ROUTES = ("Warehouse_00", "Warehouse_01", "Customer_AUTOMOBILE", "Customer_BUILDING")
-CUSTOMERS = ["Customer_AUTOMOBILE", "Customer_BUILDING", "Customer_FURNITURE",
-             "Customer_HOUSEHOLD", "Customer_MACHINERY"]
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -149,12 +147,12 @@ def q_cost_matrix_wide(spark, d):
 
 @register("cost_matrix_pivot")
 def q_cost_matrix_pivot(spark, d):
-    return rounded(matrix.cost_matrix_pivot(feat.route_features(facts(spark, d)), CUSTOMERS))
+    return rounded(matrix.cost_matrix_pivot(feat.route_features(facts(spark, d))))
 
 
 @register("cost_matrix_long")
 def q_cost_matrix_long(spark, d):
-    wide = matrix.cost_matrix_pivot(feat.route_features(facts(spark, d)), CUSTOMERS)
+    wide = matrix.cost_matrix_pivot(feat.route_features(facts(spark, d)))
     return rounded(matrix.cost_matrix_long(wide))
 
 
@@ -475,8 +473,11 @@ def q_scenario_cross_features(spark, d):
 
 @register("features_on_date")
 def q_features_on_date(spark, d):
-    snaps = asof.monthly_snapshots(facts(spark, d))
-    return rounded(feat.day_filter(snaps, "2000-07-01", ts_col="snapshot_ts"))
+    # only observations that the day's snapshot can cover: the range reaches the orders scan
+    seen = F.col("last_updated")
+    day = feat.ts_literal("2000-07-01")
+    near = facts(spark, d).where((seen >= day - F.make_dt_interval(F.lit(feat.LOOKBACK_DAYS))) & (seen < day + F.expr("INTERVAL 1 DAY")))
+    return rounded(feat.day_filter(asof.monthly_snapshots(near), "2000-07-01", ts_col="snapshot_ts"))
 
 
 @register("feature_asof")
@@ -576,22 +577,22 @@ def q_rolling_features_30d(spark, d):
 
 @register("stream_daily_features")
 def q_stream_daily_features(spark, d):
-    """Facts written as files, then consumed by the streaming job (available-now
-    trigger). The last day(s) stay open behind the watermark, so the row count
-    is below the batch daily count; checked rows-only."""
+    """Facts written as files, consumed by the streaming job (available-now
+    trigger); the days still open behind the watermark are merged in."""
     from .schemas import FACT_SCHEMA
     from .sources.fact import create_fact_table
-    from .streaming.daily import run_daily_partials
+    from .streaming.daily import run_daily_partials, with_open_days
     run = run_path(spark, "stream_daily")
     create_fact_table(facts(spark, d), f"{run}/facts", partition_by_day=False)
     run_daily_partials(spark, f"{run}/facts", FACT_SCHEMA, f"{run}/daily", f"{run}/checkpoint")
-    return rounded(spark.read.parquet(f"{run}/daily"))
+    written = spark.read.schema(FACT_SCHEMA).parquet(f"{run}/facts")
+    return rounded(with_open_days(spark.read.parquet(f"{run}/daily"), written))
 
 
 @register("stream_scenarios")
 def q_stream_scenarios(spark, d):
     """Lane-pair scenarios arriving as a file stream, planned against static
-    per-warehouse feature costs; checked rows-only."""
+    per-warehouse feature costs."""
     from .streaming.daily import stream_plans
     run = run_path(spark, "stream_scenarios")
     stats = lane_stats(spark, d)

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..schemas import CAPACITY_COLUMNS, COST_COLUMNS, DEMAND_COLUMNS
+
 
 def to_units(col: Column) -> Column:
     """Truncating conversion to a whole number of units (bigint): -7.9 -> -7;
@@ -33,7 +35,7 @@ def to_timestamp_ntz(col: Column, dtype: T.DataType) -> Column:
 def cast_scenarios(df: DataFrame) -> DataFrame:
     """Apply the scenario conversions to whichever scenario columns exist.
 
-    Adds ``_raw_invalid`` listing the columns whose non-null input failed to
+    Adds ``_invalid_inputs`` listing the columns whose non-null input failed to
     convert, so the planner can turn them into error rows.
     """
     types = {f.name: f.dataType for f in df.schema.fields}
@@ -41,9 +43,9 @@ def cast_scenarios(df: DataFrame) -> DataFrame:
     bad = []
     for name, dtype in types.items():
         c = F.col(name)
-        if name.endswith("_capacity") or name.endswith("_demand"):
+        if name in CAPACITY_COLUMNS or name in DEMAND_COLUMNS:
             conv = to_units(c)
-        elif name.startswith("cost_"):
+        elif name in COST_COLUMNS:
             conv = to_cost(c)
         elif name == "feature_timestamp":
             conv = to_timestamp_ntz(c, dtype)

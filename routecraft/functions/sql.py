@@ -58,7 +58,7 @@ RETURNS {RESULT_TYPE}
 RETURN rc_plan_fill(
     scenario_name, CAST(warehouse_a_capacity AS DOUBLE), CAST(warehouse_b_capacity AS DOUBLE),
     greatest(CAST(customer_1_demand AS DOUBLE), 0D), greatest(CAST(customer_2_demand AS DOUBLE), 0D),
-    cost_a_to_1, cost_a_to_2, cost_b_to_1, cost_b_to_2,
+    nanvl(cost_a_to_1, NULL), nanvl(cost_a_to_2, NULL), nanvl(cost_b_to_1, NULL), nanvl(cost_b_to_2, NULL),
     least(greatest(
             (CASE WHEN cost_a_to_1 - cost_b_to_1 < 0 THEN greatest(CAST(customer_1_demand AS DOUBLE), 0D) ELSE 0D END)
           + (CASE WHEN cost_a_to_2 - cost_b_to_2 < 0 THEN greatest(CAST(customer_2_demand AS DOUBLE), 0D) ELSE 0D END),
@@ -71,10 +71,10 @@ RETURN rc_plan_fill(
       WHEN warehouse_a_capacity IS NULL OR warehouse_b_capacity IS NULL
            OR customer_1_demand IS NULL OR customer_2_demand IS NULL
         THEN 'capacity or demand is null'
-      WHEN cost_a_to_1 IS NULL OR cost_a_to_2 IS NULL OR cost_b_to_1 IS NULL OR cost_b_to_2 IS NULL
+      WHEN nanvl(cost_a_to_1 + cost_a_to_2 + cost_b_to_1 + cost_b_to_2, NULL) IS NULL
         THEN concat('sql mode requires all cost parameters; missing: ', array_join(array_compact(array(
-               CASE WHEN cost_a_to_1 IS NULL THEN 'cost_a_to_1' END, CASE WHEN cost_a_to_2 IS NULL THEN 'cost_a_to_2' END,
-               CASE WHEN cost_b_to_1 IS NULL THEN 'cost_b_to_1' END, CASE WHEN cost_b_to_2 IS NULL THEN 'cost_b_to_2' END)),
+               CASE WHEN nanvl(cost_a_to_1, NULL) IS NULL THEN 'cost_a_to_1' END, CASE WHEN nanvl(cost_a_to_2, NULL) IS NULL THEN 'cost_a_to_2' END,
+               CASE WHEN nanvl(cost_b_to_1, NULL) IS NULL THEN 'cost_b_to_1' END, CASE WHEN nanvl(cost_b_to_2, NULL) IS NULL THEN 'cost_b_to_2' END)),
              ', '))
       WHEN least(cost_a_to_1, cost_a_to_2, cost_b_to_1, cost_b_to_2) < 0 THEN 'negative cost'
     END)

@@ -35,16 +35,13 @@ def monthly_snapshots(facts: DataFrame, lookback_days: int = LOOKBACK_DAYS,
     """Feature snapshots at every calendar-month start ``snapshot_ts``, each
     over the observations in [snapshot_ts - lookback, snapshot_ts].
 
-    An observation at t belongs to the month starts in [t, t + lookback]: at
-    most two for a look-back under 59 days, so the fan-out is fixed.
+    An observation at t belongs to the month starts in [t, t + lookback], a
+    number fixed by the look-back.
     """
-    if lookback_days >= 59:
-        raise ValueError("monthly_snapshots supports look-backs under 59 days")
     t = F.col("last_updated")
     start = F.date_trunc("month", t).cast("timestamp_ntz")
-    candidates = F.array(start, F.add_months(start, 1).cast("timestamp_ntz"),
-                         F.add_months(start, 2).cast("timestamp_ntz"))
     limit = t + F.make_dt_interval(F.lit(lookback_days))
+    candidates = F.sequence(start, limit, F.expr("INTERVAL 1 MONTH"))
     tagged = facts.select("*", F.explode(F.filter(candidates, lambda m: (m >= t) & (m <= limit)))
                           .alias("snapshot_ts"))
     return tagged.groupBy(*keys, "snapshot_ts").agg(*feature_aggregates())
@@ -96,7 +93,8 @@ def recompute_asof(spine: DataFrame, facts: DataFrame, keys: list[str] = ROUTE_K
     parts = route_partials(facts, [*keys, "last_updated"]).withColumn("_day", F.to_date("last_updated"))
     end = F.col(spine_ts)
     start = end - F.make_dt_interval(F.lit(lookback_days))
-    days = spine.select("*", F.explode(F.sequence(F.to_date(start), F.to_date(end))).alias("_day"))
+    # equal spine rows ask for one and the same feature row
+    days = spine.select(*keys, spine_ts).distinct().select("*", F.explode(F.sequence(F.to_date(start), F.to_date(end))).alias("_day"))
     matched = (days.join(parts, [*keys, "_day"])
                .where((F.col("last_updated") >= start) & (F.col("last_updated") <= end)))
     feats = merge_partials(matched.drop("_day"), [*keys, spine_ts])

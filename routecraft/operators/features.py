@@ -133,21 +133,33 @@ def route_partials(facts: DataFrame, keys: list[str]) -> DataFrame:
     return facts.groupBy(*keys).agg(*aggs)
 
 
+def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
+    out = F.lit(True)
+    for k in keys:
+        out = out & left[k].eqNullSafe(right[f"_k_{k}"])
+    return out
+
+
 def merge_partials(partials: DataFrame, keys: list[str] = ROUTE_KEYS) -> DataFrame:
     """Feature rows (feature schema) from ``route_partials`` rows."""
-    fuel_n = F.sum("fuel_n")
-    fuel_mean = F.try_divide(F.sum(F.col("fuel_mean") * F.col("fuel_n")), fuel_n)
     grouped = partials.groupBy(*keys).agg(
         *[F.try_divide(F.sum(f"s_{k}"), F.sum(f"c_{k}")).alias(k) for k in _AVG_TERMS],
-        fuel_n.alias("_fuel_n"), fuel_mean.alias("_fuel_mean"),
-        F.sum("fuel_m2").alias("_m2_within"),
-        F.sum(F.col("fuel_n") * F.col("fuel_mean") * F.col("fuel_mean")).alias("_sq_means"),
+        F.sum("fuel_n").alias("_fuel_n"), F.sum("fuel_m2").alias("_m2_within"),
+        F.try_divide(F.sum(F.col("fuel_mean") * F.col("fuel_n")), F.sum("fuel_n")).alias("_fuel_mean"),
         F.min("min_fuel_price").alias("min_fuel_price"), F.max("max_fuel_price").alias("max_fuel_price"),
         F.sum("n").alias("sample_count"), F.max("feature_timestamp").alias("feature_timestamp"),
     )
-    # between-group part of M2: sum n_i (m_i - m)^2 = sum n_i m_i^2 - n m^2
-    m2 = F.col("_m2_within") + F.greatest(
-        F.col("_sq_means") - F.col("_fuel_n") * F.col("_fuel_mean") * F.col("_fuel_mean"), F.lit(0.0))
+    # between-group part of M2, sum n_i (m_i - m)^2: a second pass over the small partials, as
+    # the difference of two large sums would cancel
+    means = grouped.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_fuel_mean").alias("_m"))
+    joined = partials.join(means, _same(partials, means, keys))
+    between = joined.groupBy(*keys).agg(F.sum(F.col("fuel_n") * F.pow(F.col("fuel_mean") - F.col("_m"), 2)).alias("_m2_between"))
+    between = between.select(*[F.col(k).alias(f"_b_{k}") for k in keys], "_m2_between")
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_b_{k}"))
+    grouped = grouped.join(between, same, "left")
+    m2 = F.col("_m2_within") + F.coalesce("_m2_between", F.lit(0.0))
     vol = F.when(F.col("_fuel_n") > 1, F.sqrt(m2 / (F.col("_fuel_n") - 1)))
     return grouped.select(*keys, *_AVG_TERMS.keys(), vol.alias("fuel_price_volatility"),
                           "min_fuel_price", "max_fuel_price", "sample_count", "feature_timestamp")

@@ -65,9 +65,12 @@ def cost_matrix_pivot(features: DataFrame, customers: list[str] | None = None,
                       value: str = "composite_cost") -> DataFrame:
     """Warehouse x customer matrix (one column per customer).
 
-    Give ``customers`` to skip the extra job that discovers the pivot values.
-    Duplicate routes would be ambiguous: check with ``duplicate_routes`` first.
+    Every customer of ``features`` gets a column; ``customers`` picks some instead.
+    A route that occurs more than once would be ambiguous and is an error.
     """
+    twice = duplicate_routes(features).first()
+    if twice is not None:
+        raise ValueError(f"route ({twice['warehouse']}, {twice['customer']}) occurs {twice['n']} times")
     return features.groupBy("warehouse").pivot("customer", customers).agg(F.max(value))
 
 

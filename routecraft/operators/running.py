@@ -7,6 +7,10 @@ group is cut into contiguous slices on several tasks; each slice computes its
 local running total, and the totals of the earlier slices of the same group
 (a table of at most groups + slices rows) are added as an offset.
 
+The slice number of a row is stored with the row: two evaluations of a range
+partitioning need not cut alike, so the cut is made once, written to the shared
+folder, and both the local totals and the offsets read it from there.
+
 Whole-group totals (``totals``) are merged from the same slice table, so the
 caller needs no second aggregation and no second pass over its input.
 """
@@ -16,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import hand_off
+
 _MERGE = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
@@ -39,7 +45,7 @@ def running_total(df: DataFrame, group_cols: list[str], order_cols: list[str], v
 
     ranged = (df.repartitionByRange(slices, *group_cols, *order_cols) if slices
               else df.repartitionByRange(*group_cols, *order_cols))
-    ranged = ranged.withColumn("_slice", F.spark_partition_id())
+    ranged = hand_off(ranged.withColumn("_slice", F.spark_partition_id()), "slices")
     # local totals inside each (group, slice); a slice is a contiguous run
     w_local = (Window.partitionBy(*group_cols, "_slice").orderBy(*order_cols)
                .rowsBetween(Window.unboundedPreceding, frame_end))
@@ -54,6 +60,10 @@ def running_total(df: DataFrame, group_cols: list[str], order_cols: list[str], v
         *group_cols, "_slice",
         F.coalesce(F.sum("_slice_sum").over(w_off), F.lit(0)).alias("_offset"),
         *[_MERGE[k](F.col(f"_part_{n}")).over(w_all).alias(n) for n, (k, _) in totals.items()])
-    return (local.join(offsets, [*group_cols, "_slice"])
-            .withColumn(out_col, F.col("_offset") + F.col("_local"))
-            .drop("_slice", "_local", "_offset"))
+    l, o = local.alias("l"), offsets.alias("o")
+    same = F.col("l._slice") == F.col("o._slice")
+    for c in group_cols:  # a null group is a group
+        same = same & F.col(f"l.{c}").eqNullSafe(F.col(f"o.{c}"))
+    return l.join(o, same).select(
+        "l.*", *[F.col(f"o.{n}") for n in totals], (F.col("o._offset") + F.col("l._local")).alias(out_col)
+    ).drop("_slice", "_local")

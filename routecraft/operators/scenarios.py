@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import hand_off
+
 
 def with_position(df: DataFrame, order_cols: list[str], out_col: str = "_position") -> DataFrame:
     """0-based position of each row in ``order_cols`` order, computed without
@@ -12,9 +14,10 @@ def with_position(df: DataFrame, order_cols: list[str], out_col: str = "_positio
 
     Rows are range-partitioned (a sorted layout over many tasks), each slice
     numbers its rows, and the slice sizes (one row per slice) give the offsets.
-    ``order_cols`` must be unique.
+    ``order_cols`` must be unique. The cut is made once and stored with the rows,
+    so that numbers and offsets speak of the same slices.
     """
-    ranged = df.repartitionByRange(*order_cols).withColumn("_slice", F.spark_partition_id())
+    ranged = hand_off(df.repartitionByRange(*order_cols).withColumn("_slice", F.spark_partition_id()), "positions")
     local = ranged.withColumn(
         "_local", F.row_number().over(Window.partitionBy("_slice").orderBy(*order_cols)) - 1)
     sizes = ranged.groupBy("_slice").agg(F.count(F.lit(1)).alias("_size"))

@@ -551,3 +551,17 @@ def _half_up(sql: str, digits: int = 6) -> str:
 
 
 ORACLE = {name: _half_up(sql) for name, sql in ORACLE.items()}
+
+
+# The stream's day rows with the open days merged in, and the streamed scenarios: the batch results.
+ORACLE["stream_daily_features"] = f"""WITH {FACT},
+daily AS (SELECT warehouse, customer, CAST(last_updated AS DATE) AS day, count(*) AS n,
+                 sum({COMP}) AS s_comp, count({COMP}) AS c_comp,
+                 sum(fuel_price_per_liter) AS s1, sum(fuel_price_per_liter * fuel_price_per_liter) AS s2,
+                 count(fuel_price_per_liter) AS c1, min(fuel_price_per_liter) AS mn, max(fuel_price_per_liter) AS mx,
+                 max(last_updated) AS ts
+          FROM fact GROUP BY warehouse, customer, CAST(last_updated AS DATE))
+SELECT warehouse, customer, day, n, CAST(round(CAST(s_comp AS DECIMAL(38, 9)), 6) AS DOUBLE) AS s_composite, c_comp AS c_composite, CAST(round(CAST(s1 AS DECIMAL(38, 9)), 6) AS DOUBLE) AS s_fuel,
+       CAST(round(CAST(s2 AS DECIMAL(38, 9)), 6) AS DOUBLE) AS s_fuel2, c1 AS c_fuel, CAST(round(CAST(mn AS DECIMAL(38, 9)), 6) AS DOUBLE) AS min_fuel_price, CAST(round(CAST(mx AS DECIMAL(38, 9)), 6) AS DOUBLE) AS max_fuel_price, ts AS feature_timestamp
+FROM daily"""
+ORACLE["stream_scenarios"] = ORACLE["plan_2x2"]

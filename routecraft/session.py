@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every plan in the package assumes. Timestamps are NTZ and the
 # comparisons against the SQL oracle need a fixed zone.
@@ -15,6 +15,8 @@ ENGINE_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.ansi.enabled": "true",
+    # rows of long texts go to Python: a batch of the default 10,000 would be large
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
 }
 
 
@@ -81,3 +83,12 @@ def run_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder, unique to this call, so that runs
     side by side never touch each other's files."""
     return shared_path(spark, f"{name}-{uuid.uuid4().hex}")
+
+
+def hand_off(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet below the shared folder and read it back: every
+    consumer sees the same rows, and the lineage is cut on storage that outlives
+    any executor."""
+    path = run_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -26,27 +26,19 @@ def read_route_costs_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_constraints_json(capacities: DataFrame, demands: DataFrame, path: str) -> None:
-    """One constraint document {warehouses: {name: {capacity}}, customers: {name: {demand}}}.
-
-    The document has one entry per warehouse and customer (dimension sized),
-    assembled by a global aggregate.
-    """
-    wh = capacities.agg(F.map_from_entries(F.collect_list(F.struct(
-        F.col("warehouse"), F.struct(F.col("capacity").cast("double").alias("capacity"),
-                                     F.concat(F.lit("Maximum units that can be shipped from "), F.col("warehouse"))
-                                     .alias("description"))))).alias("warehouses"))
-    cu = demands.agg(F.map_from_entries(F.collect_list(F.struct(
-        F.col("customer"), F.struct(F.col("demand").cast("double").alias("demand"),
-                                    F.concat(F.lit("Minimum units that must be delivered to "), F.col("customer"))
-                                    .alias("description"))))).alias("customers"))
-    doc = wh.select("warehouses", cu.select("customers").scalar().alias("customers"))
-    doc.coalesce(1).write.mode("overwrite").json(path)
-
-
-def read_constraints_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Constraint documents {warehouses: {name: {capacity}}, customers: {name: {demand}}},
+    one line for each party, written by as many tasks as hold the rows."""
+    limit = lambda name, value, text: F.create_map(F.col(name), F.struct(
+        F.col(value).cast("double").alias(value), F.concat(F.lit(text), F.col(name)).alias("description")))
+    capacities.select(limit("warehouse", "capacity", "Shipping limit of ").alias("warehouses")).write.mode("overwrite").json(path)
+    demands.select(limit("customer", "demand", "Units owed to ").alias("customers")).write.mode("append").json(path)
+
+
+def read_constraints_json(spark: SparkSession, path: str, pretty: bool = False) -> tuple[DataFrame, DataFrame]:
     """Capacities (warehouse, capacity) and demands (customer, demand) from
-    constraint documents (one per line, or pretty-printed with multiLine)."""
-    doc = spark.read.schema(CONSTRAINTS_SCHEMA).option("multiLine", True).json(path)
+    constraint documents: one per line, or one pretty-printed document per file
+    (``pretty``)."""
+    doc = spark.read.schema(CONSTRAINTS_SCHEMA).option("multiLine", pretty).json(path)
     caps = doc.select(F.explode("warehouses").alias("warehouse", "v")).select(
         "warehouse", F.col("v.capacity").alias("capacity"))
     dems = doc.select(F.explode("customers").alias("customer", "v")).select(
@@ -64,8 +56,8 @@ def publish_features(features: DataFrame, base_path: str, name: str = FEATURE_VI
     ``version`` with dynamic partition overwrite (other versions stay), plus a
     temp view ``<name>_v<version>`` over the published partition."""
     spark = features.sparkSession
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     features.withColumn("version", F.lit(version)).write.mode("overwrite") \
+        .option("partitionOverwriteMode", "dynamic") \
         .partitionBy("version").parquet(f"{base_path}/{name}")
     view = view_name(name, version)
     read_features(spark, base_path, name, version).createOrReplaceTempView(view)

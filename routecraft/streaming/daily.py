@@ -55,6 +55,15 @@ def run_daily_partials(spark, source_path: str, schema, sink_path: str, checkpoi
     query.awaitTermination()
 
 
+def with_open_days(sink: DataFrame, facts: DataFrame, keys: list[str] = ROUTE_KEYS) -> DataFrame:
+    """The days that the stream has emitted, and those still open behind the watermark,
+    aggregated from the facts after the last emitted day."""
+    last = sink.agg(F.max("day").alias("d")).first()["d"]
+    tail = facts if last is None else facts.where(
+        F.col("last_updated") >= F.lit(last).cast("timestamp_ntz") + F.expr("INTERVAL 1 DAY"))
+    return sink.unionByName(daily_partials(tail, keys))
+
+
 def rolling_features(daily: DataFrame, lookback_days: int = LOOKBACK_DAYS,
                      keys: list[str] = ROUTE_KEYS) -> DataFrame:
     """Per route and day: features over the days [day - lookback, day]."""
@@ -77,8 +86,9 @@ def stream_plans(scenario_stream: DataFrame, warehouse_costs: DataFrame) -> Data
     """Plan streamed two-customer scenarios against static per-warehouse costs
     (stream-static equi-joins, then the stateless 2x2 projection)."""
     a = warehouse_costs.select(F.col("warehouse").alias("warehouse_a"), F.col("cost_to_1").alias("fs_cost_a_to_1"),
-                               F.col("cost_to_2").alias("fs_cost_a_to_2"))
+                               F.col("cost_to_2").alias("fs_cost_a_to_2"), F.col("feature_timestamp").alias("_ts_a"))
     b = warehouse_costs.select(F.col("warehouse").alias("warehouse_b"), F.col("cost_to_1").alias("fs_cost_b_to_1"),
-                               F.col("cost_to_2").alias("fs_cost_b_to_2"))
-    priced = scenario_stream.join(a, "warehouse_a", "left").join(b, "warehouse_b", "left")
+                               F.col("cost_to_2").alias("fs_cost_b_to_2"), F.col("feature_timestamp").alias("_ts_b"))
+    priced = scenario_stream.join(a, "warehouse_a", "left").join(b, "warehouse_b", "left") \
+        .withColumn("fs_feature_timestamp", F.greatest("_ts_a", "_ts_b")).drop("_ts_a", "_ts_b")
     return plan_2x2(priced, keep=["warehouse_a", "warehouse_b"])
