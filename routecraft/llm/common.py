@@ -5,22 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import run_path
+from ..session import hand_off
+
+__all__ = ["fold_ascii", "fresh", "hand_off", "row_key", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def hand_off(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet below the shared folder and read it back: cuts the
-    lineage on storage that outlives any executor."""
-    spark = df.sparkSession
-    path = run_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     """Identity of a row: its id and whole text. Rows equal in both are one and
     get one decision; rows that share an id but not the text stay apart."""
