@@ -109,7 +109,7 @@ def similar(entities: DataFrame, full_sets: Callable[[DataFrame], DataFrame]) ->
     def check(pairs: DataFrame, name: str) -> DataFrame:
         pairs = hand_off(plausible(pairs), f"pairs-{name}")
         keys = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct()
-        return hand_off(verified(pairs, hand_off(full_sets(keys), f"sets-{name}")), f"links-{name}")
+        return hand_off(verified(pairs, full_sets(keys)), f"links-{name}")
 
     led = (members.where("k <> lo").groupBy("k", "lo").agg(F.count(F.lit(1)).alias("votes"))
            .groupBy("k").agg(F.max(F.struct("votes", "lo"))["lo"].alias("a")).select("a", F.col("k").alias("b")))
