@@ -102,7 +102,7 @@ def similar(entities: DataFrame, full_sets: Callable[[DataFrame], DataFrame]) ->
         side = lambda k, i: info.select(*[F.col(c).alias(k if c == "k" else f"{c}{i}") for c in info.columns])
         p = pairs.join(side("a", 1), "a").join(side("b", 2), "b").where(_sizes_fit(F.col("n1"), F.col("n2")))
         if "hist" in info.columns:
-            apart = F.aggregate(F.zip_with("hist1", "hist2", lambda x, y: F.abs(x - y).cast("int")), F.lit(0), lambda s, x: s + x)
+            apart = F.aggregate(F.zip_with("hist1", "hist2", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda s, x: s + x)
             p = p.where(apart <= F.col("n1") + F.col("n2") - 2 * _needed(F.col("n1"), F.col("n2")))
         return p.select("a", "b")
 
