@@ -3,9 +3,10 @@
 A line's tokens are its distinct five-word shingles (A-Z lower-cased words; a
 line of fewer words is one token), ordered by rarity over the whole corpus.
 Lines whose token sets have a Jaccard similarity of 0.75 or more match (prefix,
-positional and length filters, then verification: ``setjoin``). Matches are
-closed transitively, and of each group the line that comes first, by document
-id, then text, then line number, stays; the later ones go.
+positional and length filters, then verification: ``setjoin``). Lines come in the
+order of document id, then text, then line number; a line goes if it matches an
+earlier line itself, whether that one stays or goes. Matches are not closed
+transitively: a line that only matches later ones stays.
 
 Defined results: lines without words have no tokens and always stay; null and
 empty texts have no lines with words; a null id comes before all others; rows
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .bitmaps import bitmap_column, dense_cells, in_bitmap
 from .common import fresh, hand_off, row_key
-from .setjoin import LEVEL_CELLS, LEVEL_SHIFT, prefix_size, similar
+from .setjoin import LEVEL_CELLS, LEVEL_SHIFT, matched_earlier, prefix_size
 
 N = 5
 TEXT_CELLS = 1 << 22
@@ -70,8 +71,10 @@ def _rare_first(tokens: DataFrame, level: Column) -> DataFrame:
             .withColumn("k", F.xxhash64("s")).withColumn("n", F.size("s")))
 
 
-def _groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Every line with words as (doc_id, rid, line_no, k), and its components (k, comp)."""
+def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every line with words as (doc_id, rid, line_no, k), and the classes of equal sets
+    as (k, first, c, matched): the first line's place, the number of lines, and whether
+    the first line matches an earlier one of another class."""
     text_hash = F.xxhash64("line").alias("lh")
     # explode would also test h below the projections, by evaluating it once more for each element
     counts = (_tokens(_lines(docs)).select(F.explode_outer("h").alias("h")).groupBy(_cell(F.col("h")).alias("word"))
@@ -83,23 +86,29 @@ def _groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     entities = hand_off(_rare_first(_tokens(lines), level).select(
         "doc_id", "rid", "line_no", "lh", "k", "n", F.slice("s", 1, prefix_size(F.col("n"))).alias("pref")), "line-sets")
 
+    place = ("doc_id", "rid", "line_no")
+    one = entities.groupBy("k").agg(F.min(F.struct(*place, "lh", "n", "pref")).alias("m"), F.count(F.lit(1)).alias("c"))
+    # o: ids in the order of the first lines
+    classes = hand_off(one.select("k", "m.*", "c").orderBy(*place).withColumn("o", F.monotonically_increasing_id()), "line-classes")
+
     def full_sets(keys: DataFrame) -> DataFrame:
-        one = entities.select("k", "lh").join(keys, "k", "left_semi").groupBy("k").agg(F.min("lh").alias("lh"))
-        asked = lines.where(in_bitmap(bitmap_column(one, "lh", TEXT_CELLS), F.col("lh"), TEXT_CELLS))
+        own = classes.select("o", "k", "lh").join(keys.select(F.col("k").alias("o")), "o", "left_semi")
+        asked = lines.where(in_bitmap(bitmap_column(own, "lh", TEXT_CELLS), F.col("lh"), TEXT_CELLS))
         return (_rare_first(_tokens(asked), level).select("k", F.col("s").alias("toks"))
-                .join(keys, "k", "left_semi").groupBy("k").agg(F.first("toks").alias("toks")))
+                .join(own.select("k", "o"), "k").groupBy(F.col("o").alias("k")).agg(F.first("toks").alias("toks")))
 
-    return entities.select("doc_id", "rid", "line_no", "k"), similar(entities.select("k", "n", "pref"), full_sets)
+    matched = matched_earlier(classes.select(F.col("o").alias("k"), "n", "pref"), full_sets)
+    found = classes.join(matched.select(F.col("k").alias("o"), F.lit(True).alias("matched")), "o", "left")
+    return entities.select(*place, "k"), found.select(
+        "k", F.struct(*place).alias("first"), "c", F.coalesce("matched", F.lit(False)).alias("matched"))
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """rid (``row_key``), removed: the numbers (from 0) of the lines that go, for documents that lose any."""
-    lines, comp = _groups(docs)
+    lines, classes = _classes(docs)
     at = F.struct("doc_id", "rid", "line_no")
-    grouped = hand_off(lines.join(comp, "k", "left").select(
-        "doc_id", "rid", "line_no", F.coalesce("comp", "k").alias("g")), "line-groups")
-    first = grouped.groupBy("g").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    later = grouped.join(first, "g").where(at > F.col("first"))
+    losing = hand_off(classes.where("c > 1 or matched").drop("c"), "line-losing")
+    later = lines.join(losing, "k").where(F.col("matched") | (at > F.col("first")))
     return later.groupBy("rid").agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
 
 

@@ -13,6 +13,10 @@ copies, so the work goes in two rounds that lose no link between components:
 2. pairs whose sets are still in different components are verified, each once.
    A pair already inside one component would not change the components.
 
+``matched_earlier`` asks instead, for sets in an order, which ones match an earlier
+set directly: 2. is then the sets that their leader does not decide, each against
+all candidates before it, inside its component or not.
+
 Every step aggregates or joins by key, with partial aggregation or splittable
 joins, so that a hot token or group never lands in one task.
 """
@@ -77,28 +81,30 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(F.col("both") * 100 >= (F.col("n1") + F.col("n2") - F.col("both")) * PERCENT).select("a", "b")
 
 
-def similar(entities: DataFrame, full_sets: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Components of the similarity graph, as (k, comp) for each k with a link.
-
-    ``entities``: k (id of a set; rows of equal sets share it), n (set size), pref
-    (its prefix tokens, rarest first) and, if known, hist (how many tokens of the
-    set fall into each of some classes). ``full_sets(keys)`` gives (k, toks) once
-    for each k of ``keys``.
+class _Lists:
+    """Posting lists of the prefix tokens of ``entities``: k (id of a set; rows of equal
+    sets share it), n (set size), pref (its prefix tokens, rarest first) and, if known,
+    hist (how many tokens of the set fall into each of some classes).
+    ``full_sets(keys)`` gives (k, toks) once for each k of ``keys``.
     """
-    lists = hand_off(entities.select("k", F.explode("pref").alias("h"))
-                     .groupBy("h").agg(F.min("k").alias("lo"), F.max("k").alias("hi"))
-                     .where("lo < hi").select("h", "lo"), "lists")
-    shared = bitmap_column(lists, "h", LIST_CELLS)
-    members = hand_off(entities.select("k", "n", F.posexplode("pref").alias("pos", "h"))
-                       .where(in_bitmap(shared, F.col("h"), LIST_CELLS))
-                       .join(lists, "h").select("h", "k", "n", "pos", "lo"), "members")
-    info = entities.join(members.select("k").distinct(), "k", "left_semi").groupBy("k").agg(
-        F.any_value("n").alias("n"), *[F.any_value(c).alias(c) for c in entities.columns if c == "hist"])
-    info = hand_off(info, "sizes")
-
-    def plausible(pairs: DataFrame) -> DataFrame:
+
+    def __init__(self, entities: DataFrame, full_sets: Callable[[DataFrame], DataFrame]):
+        self.full_sets = full_sets
+        lists = hand_off(entities.select("k", F.explode("pref").alias("h"))
+                         .groupBy("h").agg(F.min("k").alias("lo"), F.max("k").alias("hi"))
+                         .where("lo < hi").select("h", "lo"), "lists")
+        shared = bitmap_column(lists, "h", LIST_CELLS)
+        self.members = hand_off(entities.select("k", "n", F.posexplode("pref").alias("pos", "h"))
+                                .where(in_bitmap(shared, F.col("h"), LIST_CELLS))
+                                .join(lists, "h").select("h", "k", "n", "pos", "lo"), "members")
+        info = entities.join(self.members.select("k").distinct(), "k", "left_semi").groupBy("k").agg(
+            F.any_value("n").alias("n"), *[F.any_value(c).alias(c) for c in entities.columns if c == "hist"])
+        self.info = hand_off(info, "sizes")
+
+    def _plausible(self, pairs: DataFrame) -> DataFrame:
         """Length filter and, with hist, suffix filter: the classes' differences are a
         lower bound of the tokens that only one of the sets has."""
+        info = self.info
         side = lambda k, i: info.select(*[F.col(c).alias(k if c == "k" else f"{c}{i}") for c in info.columns])
         p = pairs.join(side("a", 1), "a").join(side("b", 2), "b").where(_sizes_fit(F.col("n1"), F.col("n2")))
         if "hist" in info.columns:
@@ -106,27 +112,56 @@ def similar(entities: DataFrame, full_sets: Callable[[DataFrame], DataFrame]) ->
             p = p.where(apart <= F.col("n1") + F.col("n2") - 2 * _needed(F.col("n1"), F.col("n2")))
         return p.select("a", "b")
 
-    def check(pairs: DataFrame, name: str) -> DataFrame:
-        pairs = hand_off(plausible(pairs), f"pairs-{name}")
+    def check(self, pairs: DataFrame, name: str) -> DataFrame:
+        """The pairs (a, b) that match."""
+        pairs = hand_off(self._plausible(pairs), f"pairs-{name}")
         keys = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct()
-        return hand_off(verified(pairs, full_sets(keys)), f"links-{name}")
+        return hand_off(verified(pairs, self.full_sets(keys)), f"links-{name}")
+
+    def led(self) -> DataFrame:
+        """(a, b): every set b with the list leader a < b that it shares most prefix tokens with."""
+        return (self.members.where("k <> lo").groupBy("k", "lo").agg(F.count(F.lit(1)).alias("votes"))
+                .groupBy("k").agg(F.max(F.struct("votes", "lo"))["lo"].alias("a")).select("a", F.col("k").alias("b")))
 
-    led = (members.where("k <> lo").groupBy("k", "lo").agg(F.count(F.lit(1)).alias("votes"))
-           .groupBy("k").agg(F.max(F.struct("votes", "lo"))["lo"].alias("a")).select("a", F.col("k").alias("b")))
-    links = check(led, "leaders")
+    def pairs(self, earlier: DataFrame, later: DataFrame, more: Column | None = None) -> DataFrame:
+        """Distinct (a, b), a < b, of sets that share a prefix token where length and
+        positions fit: a from ``earlier``, b from ``later`` (h, k, n, pos), as x and y in ``more``."""
+        x, y = earlier.alias("x"), later.alias("y")
+        n1, n2 = F.col("x.n"), F.col("y.n")
+        fits = ((F.col("x.h") == F.col("y.h")) & (F.col("x.k") < F.col("y.k")) & _sizes_fit(n1, n2)
+                & (1 + F.least(n1 - F.col("x.pos"), n2 - F.col("y.pos")) - 1 >= _needed(n1, n2)))
+        return (x.join(y, fits if more is None else fits & more)
+                .select(F.col("x.k").alias("a"), F.col("y.k").alias("b")).distinct())
+
+
+def similar(entities: DataFrame, full_sets: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Components of the similarity graph, as (k, comp) for each k with a link
+    (arguments: ``_Lists``)."""
+    lists = _Lists(entities, full_sets)
+    led = lists.led()
+    links = lists.check(led, "leaders")
     comp = components(links)
 
-    labelled = members.drop("lo").join(comp, "k", "left").withColumn("comp", F.coalesce("comp", "k"))
+    labelled = lists.members.drop("lo").join(comp, "k", "left").withColumn("comp", F.coalesce("comp", "k"))
     open_lists = (labelled.groupBy("h").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"))
                   .where("c0 < c1").select("h"))
     rest = hand_off(labelled.join(open_lists, "h").groupBy("h", "k").agg(
         F.min("n").alias("n"), F.min("pos").alias("pos"), F.min("comp").alias("comp")), "open")
-    x, y = rest.alias("x"), rest.alias("y")
-    n1, n2 = F.col("x.n"), F.col("y.n")
-    across = (x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.k") < F.col("y.k")) & (F.col("x.comp") != F.col("y.comp"))
-                     & _sizes_fit(n1, n2)
-                     & (1 + F.least(n1 - F.col("x.pos"), n2 - F.col("y.pos")) - 1 >= _needed(n1, n2)))
-              .select(F.col("x.k").alias("a"), F.col("y.k").alias("b")).distinct())
+    across = lists.pairs(rest, rest, F.col("x.comp") != F.col("y.comp"))
     tried = led.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = check(across.join(tried, ["a", "b"], "left_anti"), "across")
+    more = lists.check(across.join(tried, ["a", "b"], "left_anti"), "across")
     return comp if more.isEmpty() else components(links.unionByName(more))
+
+
+def matched_earlier(entities: DataFrame, full_sets: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """k of each set that matches a set of a lesser k itself, not through others
+    (arguments: ``_Lists``, one row for each k). A set that the leader, the first of
+    its list, decides is never a later one again; each of the others is verified
+    against every candidate before it, but none of them twice."""
+    lists = _Lists(entities, full_sets)
+    led = lists.led()
+    decided = lists.check(led, "leaders").select(F.col("b").alias("k"))
+    members = lists.members.select("h", "k", "n", "pos")
+    still = lists.members.where("k <> lo").select("h", "k", "n", "pos").join(decided, "k", "left_anti")
+    more = lists.check(lists.pairs(members, still).join(led, ["a", "b"], "left_anti"), "earlier")
+    return decided.unionByName(more.select(F.col("b").alias("k")).distinct())
