@@ -106,6 +106,24 @@ LLM_ORACLE["op10_ngram_join"] = rf"""
     FROM documents d LEFT JOIN size USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM walk GROUP BY 1) c USING (doc_id)"""
 
 
+@register
+def op10_ngram_links(spark, sf_dir):
+    return shingles.ngram_links(table(spark, sf_dir, "documents"))[0].select("doc_id", "n_shingles", "n_links")
+
+
+LLM_ORACLE["op10_ngram_links"] = rf"""
+    WITH words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                          'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+    sh AS (SELECT DISTINCT doc_id, hash(array_to_string(ws[i:i + 4], ' '), len(ws[i:i + 4])) AS s
+           FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM words WHERE len(ws) > 0)),
+    size AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+    shared AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM sh x JOIN sh y USING (s) WHERE x.doc_id <> y.doc_id GROUP BY ALL),
+    links AS (SELECT a, count(*) AS c FROM shared JOIN size p ON a = p.doc_id JOIN size q ON b = q.doc_id
+              WHERE 100 * c >= 75 * (p.n + q.n - c) GROUP BY a)
+    SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(c, 0)::BIGINT AS n_links
+    FROM documents d LEFT JOIN size USING (doc_id) LEFT JOIN links ON a = d.doc_id"""
+
+
 @register
 def op3_line_dedup(spark, sf_dir):
     r = lines.line_dedup(table(spark, sf_dir, "documents"))

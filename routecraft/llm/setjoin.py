@@ -17,6 +17,8 @@ copies, so the work goes in two rounds that lose no link between components:
 set directly: 2. is then the sets that their leader does not decide, each against
 all candidates before it, inside its component or not.
 
+``all_links`` gives the links themselves, so it verifies every candidate pair.
+
 Every step aggregates or joins by key, with partial aggregation or splittable
 joins, so that a hot token or group never lands in one task.
 """
@@ -165,3 +167,11 @@ def matched_earlier(entities: DataFrame, full_sets: Callable[[DataFrame], DataFr
     still = lists.members.where("k <> lo").select("h", "k", "n", "pos").join(decided, "k", "left_anti")
     more = lists.check(lists.pairs(members, still).join(led, ["a", "b"], "left_anti"), "earlier")
     return decided.unionByName(more.select(F.col("b").alias("k")).distinct())
+
+
+def all_links(entities: DataFrame, full_sets: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Every pair (a, b), a < b, of different sets that match, each verified once, inside a
+    component or not (arguments: ``_Lists``)."""
+    lists = _Lists(entities, full_sets)
+    members = hand_off(lists.members.groupBy("h", "k").agg(F.min("n").alias("n"), F.min("pos").alias("pos")), "all-members")
+    return lists.check(lists.pairs(members, members), "all")
