@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import cotraining, decontaminate, language, lines, pieces, pii, repetition, shingles, toxicity, urls
-from .common import table
+from . import (collocations, cotraining, decontaminate, hardneg, language, lines, pieces, pii, records, repetition, shingles, toxicity,
+               urls)
+from .common import run_path, table
 
 LLM_REGISTRY: dict = {}
 LLM_ORACLE: dict[str, str] = {}
@@ -193,3 +194,65 @@ def op6_pii(spark, sf_dir):
 @register
 def op1_cotraining(spark, sf_dir):
     return cotraining.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register
+def op11_collocations(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+LLM_ORACLE["op11_collocations"] = rf"""
+    WITH piece AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+                          'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+    words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM piece),
+    f AS (SELECT lang, m, phrase, count(*) AS c FROM
+            (SELECT lang, m, unnest(list_transform(range(1, len(ws) - m + 2), lambda i: array_to_string(ws[i:i + m - 1], ' '))) AS phrase
+             FROM words, (SELECT unnest([1, 2, 3]) AS m) WHERE len(ws) >= m) GROUP BY ALL),
+    total AS (SELECT lang, sum(c)::BIGINT AS n FROM f WHERE m = 1 GROUP BY 1),
+    cand AS (SELECT * FROM f WHERE m > 1 AND c >= {collocations.SUPPORT}),
+    cut AS (SELECT *, string_split(phrase, ' ') AS ws, unnest(range(1, m)) AS k FROM cand),
+    part AS (SELECT cut.lang, cut.phrase, cut.c AS a, m, k, array_to_string(ws[1:k], ' ') AS p1, array_to_string(ws[k + 1:], ' ') AS p2 FROM cut),
+    scored AS (SELECT part.lang, part.phrase, a, part.m, k, x.c AS l, y.c AS r, (1000000::HUGEINT * a * a) // (x.c::HUGEINT * y.c) AS s
+               FROM part JOIN f x ON x.lang = part.lang AND x.phrase = p1 AND x.m = k JOIN f y ON y.lang = part.lang AND y.phrase = p2 AND y.m = part.m - k),
+    best AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY s, k) AS nth FROM scored),
+    inner_pairs AS (SELECT lang, c, unnest([array_to_string(string_split(phrase, ' ')[1:2], ' '), array_to_string(string_split(phrase, ' ')[2:3], ' ')]) AS phrase
+                    FROM cand WHERE m = 3),
+    kept AS (SELECT * FROM best b WHERE nth = 1 AND NOT EXISTS
+               (SELECT 1 FROM inner_pairs i WHERE i.lang = b.lang AND i.phrase = b.phrase AND 100 * i.c >= {collocations.INSIDE_PERCENT} * b.a))
+    SELECT lang, rank, phrase, a, l, r, n, s::BIGINT AS score FROM
+      (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY s DESC, a DESC, phrase) AS rank FROM kept) JOIN total USING (lang)
+    WHERE rank <= {collocations.TOP}"""
+
+
+def word_model() -> str:
+    import public_tokenizers
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@register
+def op12_token_records(spark, sf_dir):
+    path = run_path(spark, "token-records")
+    records.write_records(table(spark, sf_dir, "documents"), word_model(), path)
+    return records.read_digests(spark, path)
+
+
+@register
+def op13_hard_negatives(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").withColumn(
+        "label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hardneg.hard_negatives(rows, F.col("id") % 100 == 0)
+
+
+LLM_ORACLE["op13_hard_negatives"] = """
+    WITH v AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                      list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x
+               FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+                 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT a.id AS anchor_id, b.id, a.label = b.label AS same, list_dot_product(a.x, b.x)::BIGINT AS score
+          FROM v a JOIN v b ON a.id % 100 = 0 AND b.id <> a.id),
+    p AS (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) AS nth FROM s WHERE same),
+    n AS (SELECT p.anchor_id, p.id AS positive_id, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+                 row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY s.score DESC, s.id) AS rank
+          FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score
+          WHERE nth <= 5)
+    SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5"""
