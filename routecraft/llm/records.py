@@ -16,7 +16,7 @@ has a name of its own and is in no index.
 
 Encoding: the tokenizer's pre-tokens never reach over a blank or a line feed, and
 its normaliser never joins characters over one, so a text's ids are those of its
-blank-separated pieces in order; each distinct piece of a block is encoded once.
+blank-separated pieces in order; each distinct piece of a block is encoded once at most.
 
 Defined results: null and empty texts have the end id only; rows come in the order
 of id (null first), then text hash; rows equal in both are interchangeable and are all
@@ -27,7 +27,9 @@ the read with an error that names the file and the offset.
 
 from __future__ import annotations
 
+import itertools
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -42,8 +44,11 @@ from .common import hand_off
 from .textnum import blocks, strings
 
 HEAD, TAIL, ENTRY = "<QI", "<I", "<?qB"   # length and its checksum; checksum; is there an id, the id, bytes per token
-MEMO_PIECES, MEMO_CHARS = 1 << 18, 64   # encoded pieces that a worker remembers, and their longest
+MEMO_PIECES, MEMO_IDS = 1 << 18, 1 << 23   # encoded pieces, and ids of them, after which a worker starts its memo anew
+SIMPLE = "[a-zß-öø-ÿ]+"
+CLOSING = "([A-Za-zß-öø-ÿ])([.,;:!?]+) "   # a letter and closing punctuation before a blank
 END_ID = 1
+BLOCK_CHARS = 1 << 22
 
 
 def masked(data: bytes) -> int:
@@ -53,46 +58,71 @@ def masked(data: bytes) -> int:
 
 
 class Encoder:
-    """The library's tokenizer behind a memo of blank-separated pieces."""
+    """The library's tokenizer behind a memo of pieces. A text's pieces are parted by blanks and
+    line feeds, and by the end of a letter before closing punctuation, where pre-tokens end too."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the work
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
-        self.memo: dict[str, np.ndarray] = {}
-
-    def _pieces(self, words: list[str]) -> list[np.ndarray]:
-        new = [w for w in words if w not in self.memo]
-        found = {w: np.array(e.ids, np.uint32) for w, e in
-                 zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False))} if new else {}
-        out = [found[w] if w in found else self.memo[w] for w in words]
-        if len(self.memo) + len(found) > MEMO_PIECES:
-            self.memo.clear()
-        self.memo.update((w, ids) for w, ids in found.items() if len(w) <= MEMO_CHARS)
+        # a run of these letters is one pre-token that the normaliser leaves as it is, so it goes
+        # to the model at once, in the letters that the library itself writes its bytes in
+        letters = [chr(c) for c in (*range(97, 123), *range(0xDF, 0xF7), *range(0xF8, 0x100))]
+        self.letters = str.maketrans({c: self.tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in letters})
+        self.reset()
+
+    def reset(self) -> None:
+        self.memo: dict[str, int] = {}
+        self.flat, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _numbers(self, words: list[str]) -> np.ndarray:
+        """Numbers of pieces (into start and size), new ones encoded."""
+        out = np.fromiter(map(self.memo.get, words, itertools.repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(out < 0)
+        if not len(new):
+            return out
+        known, letters, tokenize = len(self.memo), self.letters, self.model.tokenize
+        texts = [words[i] for i in new.tolist()]
+        plain = np.fromiter(map(bool, map(re.compile(SIMPLE).fullmatch, texts)), bool, len(texts))
+        ids: list = [[t.id for t in tokenize(w.translate(letters))] if p else None for w, p in zip(texts, plain.tolist())]
+        other = np.flatnonzero(~plain).tolist()
+        for i, e in zip(other, self.tokenizer.encode_batch_fast([texts[i] for i in other], add_special_tokens=False) if other else ()):
+            ids[i] = e.ids
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.flat = np.concatenate([self.flat, np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(size.sum()))])
+        out[new] = known + np.arange(len(new))
+        self.memo.update(zip(texts, range(known, known + len(new))))
         return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each whole text, as the library gives them without special tokens."""
-        parts = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " "), " ")
+        if len(self.memo) > MEMO_PIECES or len(self.flat) > MEMO_IDS:
+            self.reset()
+        column = pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " ")
+        # a special token's name is matched before the normaliser folds capitals
+        column = pc.if_else(pc.match_substring(column, "<|"), column, pc.ascii_lower(column))
+        parts = pc.split_pattern(pc.replace_substring_regex(column, CLOSING, r"\1 \2 "), " ")
         words = parts.flatten().dictionary_encode()
-        pieces = self._pieces(words.dictionary.to_pylist())
-        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        flat = np.concatenate(pieces) if pieces else np.zeros(0, np.uint32)
-        at = words.indices.to_numpy(zero_copy_only=False)
-        ends = np.cumsum(size[at])
-        ids = flat[np.repeat((np.cumsum(size) - size)[at] - (ends - size[at]), size[at]) + np.arange(ends[-1] if len(ends) else 0)]
+        at = self._numbers(words.dictionary.to_numpy(zero_copy_only=False).tolist())[words.indices.to_numpy(zero_copy_only=False)]
+        size = self.size[at]
+        ends = np.cumsum(size)
+        ids = self.flat[np.repeat(self.start[at] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
         bounds = np.concatenate([[0], ends])[parts.offsets.to_numpy() - parts.offsets[0].as_py()]
         return [ids[lo:hi] for lo, hi in zip(bounds[:-1], bounds[1:])]
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    """One for each worker process. Functions of this package are pickled by value, so module
+    globals start afresh with every task; the library's module stays."""
+    import tokenizers
+    kept = tokenizers.__dict__.setdefault("_encoders_of_this_worker", {})
+    if path not in kept:
+        kept[path] = Encoder(path)
+    return kept[path]
 
 
 def frame(doc_id: int | None, ids: np.ndarray, width: int) -> bytes:
@@ -137,7 +167,7 @@ def _writer(path: str, tokenizer: str, end_id: int):
         try:
             for batch in batches:
                 doc_ids, texts = batch["doc_id"].to_pylist(), strings(batch["text"])
-                for lo, hi in blocks(texts):
+                for lo, hi in blocks(texts, BLOCK_CHARS):
                     if out is None:
                         store, folder = _store(path)
                         store.create_dir(folder, recursive=True)
