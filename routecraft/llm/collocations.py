@@ -30,7 +30,7 @@ from .bitmaps import numpy_bitmap, numpy_test
 from .common import hand_off
 from .textnum import _BASE2, Block, blocks, mix, prefix, runs, span_hash, strings
 
-SUPPORT, SHARDS, LONGEST, TOP = 10, 4, 3, 2000
+SUPPORT, SHARDS, LONGEST, TOP = 10, 3, 3, 2000
 INSIDE_PERCENT = 50            # a longer phrase this frequent (of the shorter one) makes the shorter one go
 BLOCK_CHARS = 1 << 21
 LEAST_CELLS, MOST_CELLS = 1 << 16, 1 << 27
@@ -54,7 +54,7 @@ class Words:
         pre = Block([" ".join(self.names)]).char_prefix() if self.names else None
         ends = np.cumsum([len(x) + 1 for x in self.names]) - 1 if self.names else np.zeros(0, np.int64)
         code = span_hash(pre, ends - [len(x) for x in self.names], ends) if self.names else np.zeros(0, np.uint64)
-        self.code, self.other = code, None
+        self.code, self.other, self.stream = code, None, None
         self.hash = mix(span_hash(b.char_prefix(), self.start, self.end) ^ code[self.lang])
         self.same = piece[1:] == piece[:-1]  # word i and i + 1 in one piece
         self.pre = prefix(self.hash, _BASE2)
@@ -78,9 +78,28 @@ class Words:
             self.other = prefix(span_hash(chars, self.start, self.end, _BASE2) ^ mix(self.code + np.uint64(1))[self.lang])
         return span_hash(self.other, at, at + n)
 
-    def text(self, i: int, n: int) -> str:
-        return " ".join(self.block.cp[s:e].astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
-                        for s, e in zip(self.start[i: i + n].tolist(), self.end[i: i + n].tolist()))
+    def phrases(self, at: np.ndarray, n: int) -> pa.Array:
+        """The phrases as texts, a blank between words: slices of the UTF-8 bytes of all words in order."""
+        if self.stream is None:
+            inside = np.zeros(len(self.block.cp) + 1, np.int8)
+            inside[self.start] += 1
+            inside[self.end] -= 1
+            keep = np.cumsum(inside[:-1]).astype(bool)
+            cp = self.block.cp.copy()
+            cp[self.end] = 32  # the character after a word, which is none of a word
+            keep[self.end] = True
+            cp = cp[keep]
+            width = 1 + (cp > 0x7F) + (cp > 0x7FF) + (cp > 0xFFFF)
+            length = self.end - self.start + 1
+            ends = np.cumsum(width)[np.cumsum(length) - 1] if len(length) else np.zeros(0, np.int64)
+            data = cp.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")
+            self.stream = np.frombuffer(data, np.uint8), np.concatenate([[0], ends])
+        data, bounds = self.stream
+        size = bounds[at + n] - 1 - bounds[at]
+        ends = np.cumsum(size)
+        picked = data[np.repeat(bounds[at] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+        offsets = np.concatenate([[0], ends]).astype(np.int64)
+        return pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(offsets), pa.py_buffer(picked)).cast(pa.string())
 
     def frequent(self, at: np.ndarray, n: int, words: np.ndarray, pairs: np.ndarray | None) -> np.ndarray:
         """Those of ``at`` whose words, and pairs of neighbours, are in the bitmaps."""
@@ -109,28 +128,29 @@ def _unique(key: np.ndarray, other: np.ndarray | None = None) -> tuple[np.ndarra
     return order[first], np.diff(np.append(first, len(key)))
 
 
-def _counted(n_range, words, pairs, phrases):
-    """(lang, n, key, phrase, c): phrases by their text with their counts in a block."""
+def _counted(n_range, words, phrases):
+    """(lang, n, phrase, c), and h for single words: phrases by their text with their counts in a block."""
     def run(batches):
         for batch in batches:
             for _, _, w in _read(batch):
+                names = pa.array(w.names, pa.string())
                 for n in n_range:
                     at = w.grams(n)
                     if words is not None:
-                        at = w.frequent(at, n, words, pairs)
+                        at = w.frequent(at, n, words, None)
                         at = at[numpy_test(phrases, w.key(at, n))]
                     key = w.key(at, n)
                     # a second, independent hash, so that two phrases of a block never count as one
                     first, c = _unique(key, w.second(at, n))
                     i = at[first]
                     yield pa.RecordBatch.from_pydict({
-                        "lang": pa.array([w.names[x] for x in w.lang[i].tolist()], pa.string()),
-                        "n": pa.array(np.full(len(i), n, np.int32)), "h": pa.array(key[first].view(np.int64)),
-                        "phrase": pa.array([w.text(x, n) for x in i.tolist()], pa.string()), "c": pa.array(c.astype(np.int64))})
+                        "lang": names.take(pa.array(w.lang[i])), "n": pa.array(np.full(len(i), n, np.int32)),
+                        "phrase": w.phrases(i, n), "c": pa.array(c.astype(np.int64))}
+                        | ({"h": pa.array(key[first].view(np.int64))} if words is None else {}))
     return run
 
 
-COUNTED = "lang string, n int, h bigint, phrase string, c bigint"
+COUNTED = "lang string, n int, phrase string, c bigint"
 
 
 def _mined(n: int, words, pairs):
@@ -164,10 +184,9 @@ def phrase_counts(docs: DataFrame, support: int = SUPPORT, shards: int = SHARDS,
                        F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int").alias("shard"))
     local = -(-support // shards)
 
-    def exact(rows):
-        return rows.groupBy("lang", "n", "phrase").agg(F.any_value("h").alias("h"), F.sum("c").alias("c"))
-
-    single = hand_off(exact(text.select("lang", "text").mapInArrow(_counted([1], None, None, None), COUNTED)), "words")
+    by = ["lang", "n", "phrase"]
+    single = text.select("lang", "text").mapInArrow(_counted([1], None, None), f"{COUNTED}, h bigint")
+    single = hand_off(single.groupBy(*by).agg(F.sum("c").alias("c"), F.any_value("h").alias("h")), "words")
     totals = single.groupBy("lang").agg(F.sum("c").alias("words"))
     counts = single.where(F.col("c") >= support)
     words, pairs, united = _filter(counts), None, None
@@ -178,9 +197,10 @@ def phrase_counts(docs: DataFrame, support: int = SUPPORT, shards: int = SHARDS,
         pairs = _filter(mined) if n == 2 else pairs
         united = mined if united is None else united.unionByName(mined)
     if united is not None:
-        rows = text.select("lang", "text").mapInArrow(_counted(range(2, longest + 1), words, None, _filter(united)), COUNTED)
-        counts = counts.unionByName(hand_off(exact(rows).where(F.col("c") >= support), "phrases"))
-    return counts.select("lang", "n", "phrase", "c"), totals
+        rows = text.select("lang", "text").mapInArrow(_counted(range(2, longest + 1), words, _filter(united)), COUNTED)
+        rows = hand_off(rows.groupBy(*by).agg(F.sum("c").alias("c")).where(F.col("c") >= support), "phrases")
+        return counts.select(*by, "c").unionByName(rows), totals
+    return counts.select(*by, "c"), totals
 
 
 def _score(a: Column, l: Column, r: Column) -> Column:
