@@ -19,13 +19,14 @@ from .operators import asof
 from .operators import features as feat
 from .operators import matrix
 from .plans.merit_order import plan_mx1
-from .plans.two_by_n import plan_2xn, plan_summary
+from .plans.two_by_n import complete_lines, plan_2xn, plan_summary
 from .plans.two_by_two import plan_2x2
-from .session import run_path
+from .session import hand_off, run_path
 from .sources import scenarios as scen
 from .sources.fact import fact_from_tpch
 
 DIGITS = 6
+LANE = ["warehouse", "customer", "lane_warehouse"]
 AS_OF = "2000-07-02"                      # look-back end used by the windowed queries
 WIDE_ROUTES = ("Warehouse_00", "Warehouse_01", "Customer_AUTOMOBILE", "Customer_BUILDING")
 
@@ -59,10 +60,14 @@ def facts(spark, d, with_lane=False) -> DataFrame:
 
 def lane_stats(spark, d) -> DataFrame:
     """Partial statistics per (warehouse, customer, lane_warehouse), computed
-    once and shared by every consumer of a query (cached: small, and lost
-    blocks are recomputed from lineage)."""
-    return feat.route_partials(facts(spark, d, with_lane=True),
-                               ["warehouse", "customer", "lane_warehouse"]).cache()
+    once, written, and shared by every consumer of a query."""
+    return hand_off(feat.route_partials(facts(spark, d, with_lane=True), LANE), "lane-stats")
+
+
+def observations(spark, d, keys=feat.ROUTE_KEYS) -> DataFrame:
+    """Partial statistics per (``keys``, observation time), written once: the one table
+    that point-in-time queries take spine, snapshots and counts from."""
+    return hand_off(feat.route_partials(facts(spark, d, with_lane="lane_warehouse" in keys), [*keys, "last_updated"]), "observations")
 
 
 def priced_pairs(stats: DataFrame, customers=scen.FACT_WIDE_CUSTOMERS) -> DataFrame:
@@ -80,24 +85,23 @@ def priced_pairs(stats: DataFrame, customers=scen.FACT_WIDE_CUSTOMERS) -> DataFr
 
 
 def plan_lines(stats: DataFrame) -> DataFrame:
-    """Long 2xN lines: lane pair x every customer reachable from either end.
+    """Long 2xN lines: lane pair x every customer with a demand.
 
     Each pair is expanded to its two ends (fixed fan-out 2), joined once to the
-    route features on the warehouse, and folded back per (scenario, customer).
+    route features on the warehouse, and folded back per (scenario, customer);
+    customers that neither end reaches are added without costs.
     """
     features = feat.merge_partials(stats).select("warehouse", "customer", "composite_cost")
-    ends = scen.fact_pair_scenarios(stats).select(
+    pairs = scen.fact_pair_scenarios(stats).select(
         "scenario_name", "warehouse_a", "warehouse_b", F.col("warehouse_a_capacity").alias("capacity_a"),
-        F.col("warehouse_b_capacity").alias("capacity_b"),
-        F.inline(F.array(F.struct(F.col("warehouse_a").alias("warehouse"), F.lit(True).alias("is_a")),
+        F.col("warehouse_b_capacity").alias("capacity_b"))
+    ends = pairs.select("scenario_name", F.inline(F.array(F.struct(F.col("warehouse_a").alias("warehouse"), F.lit(True).alias("is_a")),
                          F.struct(F.col("warehouse_b").alias("warehouse"), F.lit(False).alias("is_a")))))
     priced = ends.join(features, "warehouse")  # route table: one row per (warehouse, customer)
-    return (priced.groupBy("scenario_name", "customer").agg(
-                F.max(F.when(F.col("is_a"), F.col("composite_cost"))).alias("cost_from_a"),
-                F.max(F.when(~F.col("is_a"), F.col("composite_cost"))).alias("cost_from_b"),
-                F.max("capacity_a").alias("capacity_a"), F.max("capacity_b").alias("capacity_b"),
-                F.max("warehouse_a").alias("warehouse_a"), F.max("warehouse_b").alias("warehouse_b"))
-            .join(scen.customer_demands(stats), "customer"))
+    lines = priced.groupBy("scenario_name", "customer").agg(
+        F.max(F.when(F.col("is_a"), F.col("composite_cost"))).alias("cost_from_a"),
+        F.max(F.when(~F.col("is_a"), F.col("composite_cost"))).alias("cost_from_b"))
+    return complete_lines(lines, pairs, scen.customer_demands(stats))
 
 
 # -- A. sources ----------------------------------------------------------------
@@ -136,8 +140,17 @@ def q_features_30d(spark, d):
 
 @register("features_from_partials")
 def q_features_from_partials(spark, d):
-    stats = feat.route_partials(facts(spark, d, with_lane=True), ["warehouse", "customer", "lane_warehouse"])
-    return rounded(feat.merge_partials(stats))
+    return rounded(feat.merge_partials(feat.route_partials(facts(spark, d, with_lane=True), LANE)))
+
+
+@register("features_30d_partitioned")
+def q_features_30d_partitioned(spark, d):
+    """The fact table stored by day: the look-back opens the folders of its days only."""
+    from .sources.fact import create_fact_table, read_fact_days
+    path = run_path(spark, "facts-by-day")
+    create_fact_table(facts(spark, d), path)
+    near = read_fact_days(spark, path, first="2000-06-02", last=AS_OF)
+    return rounded(feat.route_features(near, as_of=AS_OF, lookback_days=30))
 
 
 @register("cost_matrix_wide")
@@ -305,25 +318,27 @@ def q_scenario_casts(spark, d):
 
 @register("scenario_missing_costs")
 def q_scenario_missing_costs(spark, d):
+    """Scenarios priced by the lane between the two ends alone: a pair that trades one way, or not
+    with a customer, really lacks those costs."""
     stats = lane_stats(spark, d)
-    recent = feat.route_features(facts(spark, d), as_of=AS_OF, lookback_days=30)
-    byw = matrix.costs_by_warehouse(recent, scen.FACT_WIDE_CUSTOMERS)
-    sc = _no_fs(priced_pairs(stats))
-    a = byw.select(F.col("warehouse").alias("warehouse_a"), F.col("cost_to_1").alias("cost_a_to_1"),
-                   F.col("cost_to_2").alias("cost_a_to_2"))
-    b = byw.select(F.col("warehouse").alias("warehouse_b"), F.col("cost_to_1").alias("cost_b_to_1"),
-                   F.col("cost_to_2").alias("cost_b_to_2"))
-    sc = sc.join(a, "warehouse_a", "left").join(b, "warehouse_b", "left")
+    lanes = feat.finished(stats, LANE)
+    c1, c2 = scen.FACT_WIDE_CUSTOMERS
+    direct = lanes.groupBy("warehouse", "lane_warehouse").agg(
+        F.max(F.when(F.col("customer") == c1, F.col("composite_cost"))).alias("c1"),
+        F.max(F.when(F.col("customer") == c2, F.col("composite_cost"))).alias("c2"))
+    a = direct.select(F.col("warehouse").alias("warehouse_a"), F.col("lane_warehouse").alias("warehouse_b"),
+                      F.col("c1").alias("cost_a_to_1"), F.col("c2").alias("cost_a_to_2"))
+    b = direct.select(F.col("warehouse").alias("warehouse_b"), F.col("lane_warehouse").alias("warehouse_a"),
+                      F.col("c1").alias("cost_b_to_1"), F.col("c2").alias("cost_b_to_2"))
+    sc = scen.fact_wide_scenarios(stats).join(a, ["warehouse_a", "warehouse_b"], "left").join(b, ["warehouse_a", "warehouse_b"], "left")
     return rounded(plan_2x2(sc, mode="sql", keep=["warehouse_a", "warehouse_b"]))
 
 
 @register("scenario_default_name")
 def q_scenario_default_name(spark, d):
-    from .operators.scenarios import default_scenario_names
     sc = _pairs(spark, d).withColumn(
         "scenario_name", F.when(F.col("warehouse_a_capacity") % 2 == 0, F.col("scenario_name")))
-    named = default_scenario_names(sc, ["warehouse_a", "warehouse_b"])
-    return rounded(plan_2x2(named, keep=["warehouse_a", "warehouse_b"]))
+    return rounded(plan_2x2(sc, keep=["warehouse_a", "warehouse_b"], order_by=["warehouse_a", "warehouse_b"]))
 
 
 # -- reports -------------------------------------------------------------------------
@@ -372,14 +387,27 @@ def q_plan_source_counts(spark, d):
     return source_counts(_mixed_sources(spark, d))
 
 
+def _limits(spark, d):
+    """Route costs, capacities and demands over the whole fact table, from one pass."""
+    stats = lane_stats(spark, d)
+    costs = feat.merge_partials(stats).select("warehouse", "customer", F.col("composite_cost").alias("cost_per_unit"))
+    return costs, stats
+
+
 @register("routes_with_constraints")
 def q_routes_with_constraints(spark, d):
     from .operators.reports import routes_with_constraints
-    f = facts(spark, d)
-    recent = feat.lookback_filter(f, AS_OF, 30).withColumn("n", F.lit(1))
-    costs = feat.route_features(f).select("warehouse", "customer", F.col("composite_cost").alias("cost_per_unit"))
-    return rounded(routes_with_constraints(costs, scen.warehouse_capacities(recent),
-                                           scen.customer_demands(recent)))
+    costs, stats = _limits(spark, d)
+    return rounded(routes_with_constraints(costs, scen.warehouse_capacities(stats), scen.customer_demands(stats)))
+
+
+@register("constraint_mismatches")
+def q_constraint_mismatches(spark, d):
+    """Routes against the limits of the places that receive: warehouses that only ship, or only receive."""
+    from .operators.reports import unmatched_constraints
+    costs, stats = _limits(spark, d)
+    received = scen.warehouse_capacities(stats.where("n >= 5").select(F.col("lane_warehouse").alias("warehouse"), "n"))
+    return unmatched_constraints(costs, received, scen.customer_demands(stats.where("lane_warehouse = warehouse")))
 
 
 # -- H. SQL surface -------------------------------------------------------------------
@@ -482,26 +510,27 @@ def q_features_on_date(spark, d):
 
 @register("feature_asof")
 def q_feature_asof(spark, d):
-    f = facts(spark, d)
-    snaps = asof.monthly_snapshots(f).select("warehouse", "customer", "snapshot_ts", "composite_cost", "sample_count")
-    spine = f.select("warehouse", "customer", (F.col("last_updated") + F.expr("INTERVAL 10 DAYS")).alias("ts")).distinct()
+    seen = observations(spark, d)
+    snaps = asof.snapshots_from_partials(seen).select("warehouse", "customer", "snapshot_ts", "composite_cost", "sample_count")
+    spine = seen.select("warehouse", "customer", (F.col("last_updated") + F.expr("INTERVAL 10 DAYS")).alias("ts"))
     return rounded(asof.asof_join(spine, snaps, ["warehouse", "customer"]))
 
 
 @register("feature_recompute_asof")
 def q_feature_recompute_asof(spark, d):
-    f = facts(spark, d)
-    spine = f.select("warehouse", "customer",
-                     (F.date_trunc("month", "last_updated").cast("timestamp_ntz")
-                      + F.expr("INTERVAL 14 DAYS 12 HOURS")).alias("ts")).distinct()
-    return rounded(asof.recompute_asof(spine, f))
+    seen = observations(spark, d)
+    spine = seen.select("warehouse", "customer",
+                        (F.date_trunc("month", "last_updated").cast("timestamp_ntz")
+                         + F.expr("INTERVAL 14 DAYS 12 HOURS")).alias("ts")).distinct()
+    return rounded(asof.recompute_from_partials(spine, seen))
 
 
 @register("resolve_asof")
 def q_resolve_asof(spark, d):
-    """Scenarios priced with the features as of their own timestamp."""
-    f = facts(spark, d, with_lane=True)
-    stats = lane_stats(spark, d)
+    """Scenarios priced with the features as of their own timestamp. Scenarios and snapshots
+    come from one table of partials; only routes that a scenario looks up get snapshots."""
+    seen = observations(spark, d, LANE)
+    stats = hand_off(feat.roll_up_partials(seen, LANE), "lane-stats")
     sc = scen.fact_wide_scenarios(stats).withColumn(
         "feature_timestamp", F.lit("1996-01-01").cast("timestamp_ntz")
         + F.make_dt_interval(F.col("warehouse_a_capacity") % 1500))
@@ -511,7 +540,8 @@ def q_resolve_asof(spark, d):
         F.struct(F.lit("cost_a_to_2").alias("slot"), F.col("warehouse_a").alias("warehouse"), F.lit(c2).alias("customer")),
         F.struct(F.lit("cost_b_to_1").alias("slot"), F.col("warehouse_b").alias("warehouse"), F.lit(c1).alias("customer")),
         F.struct(F.lit("cost_b_to_2").alias("slot"), F.col("warehouse_b").alias("warehouse"), F.lit(c2).alias("customer")))))
-    snaps = asof.monthly_snapshots(f).select("warehouse", "customer", "snapshot_ts", "composite_cost")
+    wanted = seen.join(spine.select("warehouse", "customer").distinct(), ["warehouse", "customer"], "left_semi")
+    snaps = asof.snapshots_from_partials(wanted).select("warehouse", "customer", "snapshot_ts", "composite_cost")
     found = asof.asof_join(spine, snaps, ["warehouse", "customer"])
     costs = found.groupBy("scenario_name").agg(
         *[F.max(F.when(F.col("slot") == c, F.col("composite_cost"))).alias(f"fs_{c}")
@@ -564,9 +594,9 @@ def q_feature_read(spark, d):
 def q_feature_lookup(spark, d):
     """Spine of (customer-nation warehouse, customer) routes; routes without
     features keep null feature values."""
-    f = facts(spark, d, with_lane=True)
-    spine = f.select(F.col("lane_warehouse").alias("warehouse"), "customer").distinct()
-    return rounded(feat.feature_lookup(spine, feat.route_features(f)))
+    stats = lane_stats(spark, d)
+    spine = stats.select(F.col("lane_warehouse").alias("warehouse"), "customer").distinct()
+    return rounded(feat.feature_lookup(spine, feat.merge_partials(stats)))
 
 
 @register("rolling_features_30d")
@@ -581,12 +611,43 @@ def q_stream_daily_features(spark, d):
     trigger); the days still open behind the watermark are merged in."""
     from .schemas import FACT_SCHEMA
     from .sources.fact import create_fact_table
-    from .streaming.daily import run_daily_partials, with_open_days
+    from .streaming.daily import daily_features, run_daily_partials, with_open_days
     run = run_path(spark, "stream_daily")
     create_fact_table(facts(spark, d), f"{run}/facts", partition_by_day=False)
     run_daily_partials(spark, f"{run}/facts", FACT_SCHEMA, f"{run}/daily", f"{run}/checkpoint")
     written = spark.read.schema(FACT_SCHEMA).parquet(f"{run}/facts")
-    return rounded(with_open_days(spark.read.parquet(f"{run}/daily"), written))
+    return rounded(daily_features(with_open_days(spark.read.parquet(f"{run}/daily"), written)))
+
+
+@register("stream_rolling_features")
+def q_stream_rolling_features(spark, d):
+    """Rolling features from the store that a stream of several micro-batches has filled, in
+    whatever order the files came (the allowed lateness spans the table)."""
+    from .schemas import FACT_SCHEMA
+    from .sources.fact import create_fact_table
+    from .streaming.daily import rolling_features
+    from .streaming.upsert import compact, read_days, run_upserts
+    run = run_path(spark, "stream_rolling")
+    create_fact_table(facts(spark, d).repartition(6, "distance_km"), f"{run}/facts", partition_by_day=False)
+    run_upserts(spark, f"{run}/facts", FACT_SCHEMA, f"{run}/store", f"{run}/checkpoint", lateness_days=20000, files_per_batch=3)
+    compact(spark, f"{run}/store", 0)
+    return rounded(rolling_features(read_days(spark, f"{run}/store")))
+
+
+@register("stream_late_rows")
+def q_stream_late_rows(spark, d):
+    """Newer facts first, then the older ones, which come too late: rows in time (from the day
+    store) and late rows (from the side folder) of each route."""
+    from .schemas import FACT_SCHEMA
+    from .streaming.upsert import read_days, read_late, run_upserts
+    run = run_path(spark, "stream_late")
+    rows = facts(spark, d)
+    for part in (F.col("last_updated") >= feat.ts_literal("1995-01-01"), F.col("last_updated") < feat.ts_literal("1995-01-01")):
+        rows.where(part).write.mode("append").parquet(f"{run}/facts")
+        run_upserts(spark, f"{run}/facts", FACT_SCHEMA, f"{run}/store", f"{run}/checkpoint")
+    on_time = read_days(spark, f"{run}/store").select("warehouse", "customer", F.col("n").alias("n_on_time"), F.lit(0).cast("long").alias("n_late"))
+    late = read_late(spark, f"{run}/store", FACT_SCHEMA).select("warehouse", "customer", F.lit(0).cast("long").alias("n_on_time"), F.lit(1).cast("long").alias("n_late"))
+    return on_time.unionByName(late).groupBy("warehouse", "customer").agg(F.sum("n_on_time").alias("n_on_time"), F.sum("n_late").alias("n_late"))
 
 
 @register("stream_scenarios")

@@ -53,6 +53,8 @@ def cast_scenarios(df: DataFrame) -> DataFrame:
             out.append(c)
             continue
         out.append(conv.alias(name))
-        bad.append(F.when(c.isNotNull() & conv.isNull(), F.lit(name)))
+        # a NaN cost is a missing value, not one that cannot be converted
+        read = c.try_cast("double") if name in COST_COLUMNS else conv
+        bad.append(F.when(c.isNotNull() & read.isNull(), F.lit(name)))
     invalid = F.array_compact(F.array(*bad)) if bad else F.array().cast("array<string>")
     return df.select(*out, invalid.alias("_invalid_inputs"))

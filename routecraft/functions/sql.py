@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+from ..schemas import CAPACITY_COLUMNS, COST_COLUMNS, DEMAND_COLUMNS, MESSAGES
+
 RESULT_TYPE = ("STRUCT<scenario_name: STRING, optimal_cost: DOUBLE, feasible: BOOLEAN, "
                "shipment_a_to_1: DOUBLE, shipment_a_to_2: DOUBLE, shipment_b_to_1: DOUBLE, "
                "shipment_b_to_2: DOUBLE, warehouse_a_utilization: DOUBLE, warehouse_b_utilization: DOUBLE, "
@@ -48,6 +50,15 @@ RETURN rc_plan_core(name, ka, kb, e1, e2, ca1, ca2, cb1, cb2, t,
     ts, err, coalesce(err IS NULL AND ka >= 0 AND kb >= 0 AND e1 + e2 <= ka + kb, false))
 """
 
+_NULLS = "\n".join(f"      WHEN {c} IS NULL THEN '{MESSAGES['null'].format(c)}'" for c in CAPACITY_COLUMNS + DEMAND_COLUMNS)
+
+
+def _listed(test: str) -> str:
+    """Names of the cost parameters for which ``test`` holds."""
+    names = ", ".join(f"CASE WHEN {test.format(c)} THEN '{c}' END" for c in COST_COLUMNS)
+    return f"array_join(array_compact(array({names})), ', ')"
+
+
 _ENTRY = f"""
 CREATE OR REPLACE TEMPORARY FUNCTION optimize_transport(
     scenario_name STRING, warehouse_a_capacity BIGINT, warehouse_b_capacity BIGINT,
@@ -68,15 +79,11 @@ RETURN rc_plan_fill(
           greatest(CAST(customer_1_demand AS DOUBLE), 0D) + greatest(CAST(customer_2_demand AS DOUBLE), 0D)),
     feature_timestamp,
     CASE
-      WHEN warehouse_a_capacity IS NULL OR warehouse_b_capacity IS NULL
-           OR customer_1_demand IS NULL OR customer_2_demand IS NULL
-        THEN 'capacity or demand is null'
+{_NULLS}
       WHEN nanvl(cost_a_to_1 + cost_a_to_2 + cost_b_to_1 + cost_b_to_2, NULL) IS NULL
-        THEN concat('sql mode requires all cost parameters; missing: ', array_join(array_compact(array(
-               CASE WHEN nanvl(cost_a_to_1, NULL) IS NULL THEN 'cost_a_to_1' END, CASE WHEN nanvl(cost_a_to_2, NULL) IS NULL THEN 'cost_a_to_2' END,
-               CASE WHEN nanvl(cost_b_to_1, NULL) IS NULL THEN 'cost_b_to_1' END, CASE WHEN nanvl(cost_b_to_2, NULL) IS NULL THEN 'cost_b_to_2' END)),
-             ', '))
-      WHEN least(cost_a_to_1, cost_a_to_2, cost_b_to_1, cost_b_to_2) < 0 THEN 'negative cost'
+        THEN concat('{MESSAGES["prejoined"]}', {_listed("nanvl({0}, NULL) IS NULL")})
+      WHEN least(cost_a_to_1, cost_a_to_2, cost_b_to_1, cost_b_to_2) < 0
+        THEN concat('{MESSAGES["negative"]}', {_listed("{0} < 0")})
     END)
 """
 

@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..schemas import COST_COLUMNS, DEFAULT_ROUTES
+from ..schemas import DEFAULT_ROUTES
+from ..session import hand_off
 
 
 def _route_value(w: str, c: str, value: str):
@@ -36,19 +37,6 @@ def cost_matrix_wide(features: DataFrame, routes=DEFAULT_ROUTES, value: str = "c
     return features.agg(*aggs)
 
 
-def cost_matrix_wide_grouped(features: DataFrame, group_cols: list[str], routes=DEFAULT_ROUTES,
-                             value: str = "composite_cost", ts_col: str = "feature_timestamp") -> DataFrame:
-    """The same pivot per group (e.g. per scenario after an as-of lookup)."""
-    wa, wb, c1, c2 = routes
-    return features.groupBy(*group_cols).agg(
-        _route_value(wa, c1, value).alias("cost_a_to_1"),
-        _route_value(wa, c2, value).alias("cost_a_to_2"),
-        _route_value(wb, c1, value).alias("cost_b_to_1"),
-        _route_value(wb, c2, value).alias("cost_b_to_2"),
-        F.max(ts_col).alias("feature_timestamp"),
-    )
-
-
 def costs_by_warehouse(features: DataFrame, customers: tuple[str, str], value: str = "composite_cost",
                        ts_col: str = "feature_timestamp") -> DataFrame:
     """Per warehouse: cost to customer 1, cost to customer 2, newest feature time.
@@ -61,23 +49,30 @@ def costs_by_warehouse(features: DataFrame, customers: tuple[str, str], value: s
     )
 
 
+def cost_matrix_cells(features: DataFrame, value: str = "composite_cost") -> DataFrame:
+    """warehouse, cells: a map customer -> value, one row for each warehouse. Cells are counted
+    as they are gathered: a route that occurs more than once would be ambiguous and is an error.
+    A null customer is the cell ``null``."""
+    cell = features.groupBy("warehouse", F.coalesce("customer", F.lit("null")).alias("customer")) \
+        .agg(F.max(value).alias("v"), F.count(F.lit(1)).alias("n"))
+    twice = F.concat(F.lit("route ("), F.coalesce("warehouse", F.lit("null")), F.lit(", "), F.col("customer"),
+                     F.lit(") occurs "), F.col("n").cast("string"), F.lit(" times"))
+    checked = cell.select("warehouse", "customer", F.when(F.col("n") > 1, F.raise_error(twice)).otherwise(F.col("v")).alias("v"))
+    return checked.groupBy("warehouse").agg(F.map_from_entries(F.collect_list(F.struct("customer", "v"))).alias("cells"))
+
+
 def cost_matrix_pivot(features: DataFrame, customers: list[str] | None = None,
                       value: str = "composite_cost") -> DataFrame:
     """Warehouse x customer matrix (one column per customer).
 
-    Every customer of ``features`` gets a column; ``customers`` picks some instead.
-    A route that occurs more than once would be ambiguous and is an error.
+    Every customer of ``features`` gets a column; ``customers`` picks some instead. The cells
+    are gathered once and written; the names of the columns are read from them.
     """
-    twice = duplicate_routes(features).first()
-    if twice is not None:
-        raise ValueError(f"route ({twice['warehouse']}, {twice['customer']}) occurs {twice['n']} times")
-    return features.groupBy("warehouse").pivot("customer", customers).agg(F.max(value))
-
-
-def duplicate_routes(features: DataFrame) -> DataFrame:
-    """Routes that occur more than once (empty when the matrix is well defined)."""
-    return (features.groupBy("warehouse", "customer").agg(F.count(F.lit(1)).alias("n"))
-            .where(F.col("n") > 1))
+    rows = hand_off(cost_matrix_cells(features, value), "matrix-cells")
+    if customers is None:
+        header = rows.select(F.explode(F.map_keys("cells")).alias("c")).distinct().orderBy("c")
+        customers = [r["c"] for r in header.toLocalIterator()]
+    return rows.select("warehouse", *[F.try_element_at("cells", F.lit(c)).alias(c) for c in customers])
 
 
 def cost_matrix_long(wide: DataFrame, id_col: str = "warehouse", value: str = "cost_per_unit") -> DataFrame:
@@ -87,19 +82,6 @@ def cost_matrix_long(wide: DataFrame, id_col: str = "warehouse", value: str = "c
             .where(F.col(value).isNotNull()))
 
 
-def wide_to_long(scenarios: DataFrame, routes=DEFAULT_ROUTES, keep: list[str] | None = None) -> DataFrame:
-    """Scenario-wide cost columns -> long (scenario cols, warehouse, customer, cost_per_unit)."""
-    wa, wb, c1, c2 = routes
-    keep = keep or ["scenario_name"]
-    names = {"cost_a_to_1": (wa, c1), "cost_a_to_2": (wa, c2), "cost_b_to_1": (wb, c1), "cost_b_to_2": (wb, c2)}
-    entries = F.array(*[
-        F.struct(F.lit(names[c][0]).alias("warehouse"), F.lit(names[c][1]).alias("customer"),
-                 F.col(c).cast("double").alias("cost_per_unit"))
-        for c in COST_COLUMNS if c in scenarios.columns
-    ])
-    return scenarios.select(*keep, F.inline(entries))
-
-
 def route_costs_dedup(route_costs: DataFrame) -> DataFrame:
     """Full-row de-duplication of long route costs."""
     return route_costs.dropDuplicates()

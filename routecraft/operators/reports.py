@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..schemas import COST_COLUMNS
-
+# fixed names of the detail report
 DETAIL_COLUMNS = ["scenario_name", "optimal_cost", "feasible", "warehouse_a_utilization",
                   "warehouse_b_utilization", "cost_matrix_source", "execution_mode"]
 
@@ -45,14 +44,6 @@ def shipments_nonzero(plan_lines: DataFrame, scenario_col: str = "scenario_name"
             .withColumn("shipment_cost", F.col("quantity") * F.col("cost_per_unit")))
 
 
-def wide_shipments_nonzero(plan: DataFrame) -> DataFrame:
-    """The same for wide 2x2 results (shipment_a_to_1 ...)."""
-    legs = plan.select("scenario_name", F.inline(F.array(*[
-        F.struct(F.lit(c.replace("cost_", "")).alias("route"), F.col(c.replace("cost_", "shipment_")).alias("quantity"))
-        for c in COST_COLUMNS])))
-    return legs.where(F.col("quantity") > 0)
-
-
 def summary_line(plan: DataFrame) -> DataFrame:
     """Display value per scenario: the cost as '$1234.56' when feasible, else 'N/A'."""
     return plan.select("scenario_name", "feasible", "cost_matrix_source", "execution_mode",
@@ -82,3 +73,20 @@ def routes_with_constraints(route_costs: DataFrame, capacities: DataFrame, deman
         "error",
         F.when(F.col("capacity").isNull(), F.concat(F.lit("no capacity for "), F.col("warehouse")))
          .when(F.col("demand").isNull(), F.concat(F.lit("no demand for "), F.col("customer"))))
+
+
+def unmatched_constraints(route_costs: DataFrame, capacities: DataFrame, demands: DataFrame) -> DataFrame:
+    """problem, name: keys that one side has and the other lacks, both ways. Warehouses and
+    customers of routes without a limit, and limits of parties that no route has. A null key
+    matches nothing and is reported."""
+    def lacking(left, right, key, problem):
+        return left.select(key).distinct().join(right.select(key).distinct(), key, "left_anti") \
+            .select(F.lit(problem).alias("problem"), F.col(key).alias("name"))
+    parts = [lacking(route_costs, capacities, "warehouse", "route without capacity"),
+             lacking(route_costs, demands, "customer", "route without demand"),
+             lacking(capacities, route_costs, "warehouse", "capacity without route"),
+             lacking(demands, route_costs, "customer", "demand without route")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

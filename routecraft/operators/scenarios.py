@@ -30,7 +30,9 @@ def with_position(df: DataFrame, order_cols: list[str], out_col: str = "_positio
 
 
 def default_scenario_names(df: DataFrame, order_cols: list[str]) -> DataFrame:
-    """Fill missing ``scenario_name`` with ``scenario_<position>``."""
+    """Fill missing ``scenario_name`` with ``scenario_<position>``; the column may be absent."""
+    if "scenario_name" not in df.columns:
+        df = df.withColumn("scenario_name", F.lit(None).cast("string"))
     positioned = with_position(df, order_cols)
     return positioned.withColumn(
         "scenario_name", F.coalesce(F.col("scenario_name"),

@@ -99,11 +99,9 @@ PLAN_2X2_COLUMNS = """
        CASE WHEN ok THEN round(coalesce((e1 + e2 - t) / nullif(kb, 0) * 100, 0), 6) ELSE 0 END AS warehouse_b_utilization"""
 
 LINES_2XN = f"""{ROUTES},{CAPS},{PAIRS},{SCEN},{DEMAND},
-la AS (SELECT sc.scenario_name, routes.customer, routes.cc AS cost_from_a FROM sc JOIN routes ON routes.warehouse = sc.wa),
-lb AS (SELECT sc.scenario_name, routes.customer, routes.cc AS cost_from_b FROM sc JOIN routes ON routes.warehouse = sc.wb),
-lines AS (SELECT coalesce(la.scenario_name, lb.scenario_name) AS scenario_name, coalesce(la.customer, lb.customer) AS customer,
-                 la.cost_from_a, lb.cost_from_b
-          FROM la FULL JOIN lb ON la.scenario_name = lb.scenario_name AND la.customer = lb.customer),
+lines AS (SELECT sc.scenario_name, dem.customer, ra.cc AS cost_from_a, rb.cc AS cost_from_b
+          FROM sc CROSS JOIN dem LEFT JOIN routes ra ON ra.warehouse = sc.wa AND ra.customer = dem.customer
+                                 LEFT JOIN routes rb ON rb.warehouse = sc.wb AND rb.customer = dem.customer),
 l2 AS (SELECT lines.*, greatest(CAST(dem.demand AS DOUBLE), 0) AS demand,
               CAST(sc.capacity_a AS DOUBLE) AS capacity_a, CAST(sc.capacity_b AS DOUBLE) AS capacity_b,
               cost_from_a - cost_from_b AS p
@@ -234,13 +232,13 @@ FROM r3"""
 
 
 NO_TS = "CAST(NULL AS TIMESTAMP)"
-USE_FS_MSG = "'use_feature_store=false requires cost overrides (cost_a_to_1, cost_a_to_2, cost_b_to_1, cost_b_to_2)'"
+USE_FS_MSG = "'feature costs switched off and no cost column given'"
 MISSING_FEATURE = """CASE WHEN ca1 IS NULL OR ca2 IS NULL OR cb1 IS NULL OR cb2 IS NULL THEN
-  'no route feature for: ' || array_to_string(list_filter([CASE WHEN ca1 IS NULL THEN 'cost_a_to_1' END,
+  'route without features: ' || array_to_string(list_filter([CASE WHEN ca1 IS NULL THEN 'cost_a_to_1' END,
       CASE WHEN ca2 IS NULL THEN 'cost_a_to_2' END, CASE WHEN cb1 IS NULL THEN 'cost_b_to_1' END,
       CASE WHEN cb2 IS NULL THEN 'cost_b_to_2' END], lambda x: x IS NOT NULL), ', ') END"""
 SQL_MISSING = """CASE WHEN ca1 IS NULL OR ca2 IS NULL OR cb1 IS NULL OR cb2 IS NULL THEN
-  'sql mode requires all cost parameters; missing: ' || array_to_string(list_filter([CASE WHEN ca1 IS NULL THEN 'cost_a_to_1' END,
+  'pre-joined costs without a value: ' || array_to_string(list_filter([CASE WHEN ca1 IS NULL THEN 'cost_a_to_1' END,
       CASE WHEN ca2 IS NULL THEN 'cost_a_to_2' END, CASE WHEN cb1 IS NULL THEN 'cost_b_to_1' END,
       CASE WHEN cb2 IS NULL THEN 'cost_b_to_2' END], lambda x: x IS NOT NULL), ', ') END"""
 GLOBAL_M = """
@@ -259,7 +257,7 @@ src AS (SELECT scenario_name, floor(ka / 4) AS ka, floor(kb / 4) AS kb, d1, d2,
 ORACLE["plan_errors"] = f"""WITH {FACT}, {WIDE_SCEN},
 s2 AS (SELECT scenario_name, ka, CASE WHEN kb % 3 <> 0 THEN kb END AS kb, d1, d2, ca1, ca2, cb1, cb2, ts,
               ka % 2 = 0 AS use_fs FROM s),
-src AS (SELECT *, CASE WHEN kb IS NULL THEN 'warehouse_b_capacity is null'
+src AS (SELECT *, CASE WHEN kb IS NULL THEN 'warehouse_b_capacity has no value'
                        WHEN NOT use_fs THEN {USE_FS_MSG}
                        ELSE {MISSING_FEATURE} END AS err,
                CASE WHEN use_fs THEN 'feature_store' ELSE 'error' END AS source, 'python' AS mode FROM s2),
@@ -304,15 +302,14 @@ SELECT scenario_name, CAST(trunc(ka / 3E0) AS BIGINT) AS warehouse_a_capacity, C
 FROM s"""
 
 ORACLE["scenario_missing_costs"] = f"""WITH {FACT}, {WIDE_SCEN},
-r30 AS (SELECT warehouse, customer, avg({COMP}) AS cc FROM fact
-        WHERE last_updated >= TIMESTAMP '2000-07-02 00:00:00' - INTERVAL 30 DAY
-          AND last_updated <= TIMESTAMP '2000-07-02 00:00:00'
-        GROUP BY warehouse, customer),
-b30 AS (SELECT warehouse, max(CASE WHEN customer = 'Customer_AUTOMOBILE' THEN cc END) AS c1,
-               max(CASE WHEN customer = 'Customer_BUILDING' THEN cc END) AS c2 FROM r30 GROUP BY warehouse),
-s2 AS (SELECT s.scenario_name, s.wa, s.wb, ka, kb, d1, d2, a.c1 AS ca1, a.c2 AS ca2, b.c1 AS cb1, b.c2 AS cb2,
+lane AS (SELECT warehouse, lane_warehouse, customer, avg({COMP}) AS cc FROM fact GROUP BY ALL),
+s2 AS (SELECT s.scenario_name, s.wa, s.wb, ka, kb, d1, d2,
+              (SELECT cc FROM lane WHERE warehouse = s.wa AND lane_warehouse = s.wb AND customer = 'Customer_AUTOMOBILE') AS ca1,
+              (SELECT cc FROM lane WHERE warehouse = s.wa AND lane_warehouse = s.wb AND customer = 'Customer_BUILDING') AS ca2,
+              (SELECT cc FROM lane WHERE warehouse = s.wb AND lane_warehouse = s.wa AND customer = 'Customer_AUTOMOBILE') AS cb1,
+              (SELECT cc FROM lane WHERE warehouse = s.wb AND lane_warehouse = s.wa AND customer = 'Customer_BUILDING') AS cb2,
               {NO_TS} AS ts
-       FROM s LEFT JOIN b30 a ON a.warehouse = s.wa LEFT JOIN b30 b ON b.warehouse = s.wb),
+       FROM s),
 src AS (SELECT *, {SQL_MISSING} AS err, 'sql_input' AS source, 'sql' AS mode FROM s2),
 {plan_out('src', 'wa AS warehouse_a, wb AS warehouse_b,')}"""
 
@@ -368,15 +365,21 @@ UNION ALL
 SELECT 'cost_matrix_source', src, count(*) FROM m GROUP BY src"""
 
 ORACLE["routes_with_constraints"] = f"""WITH {FACT}, {ROUTES},
-recent AS (SELECT * FROM fact WHERE last_updated >= TIMESTAMP '2000-07-02 00:00:00' - INTERVAL 30 DAY
-                                AND last_updated <= TIMESTAMP '2000-07-02 00:00:00'),
-rc AS (SELECT warehouse, count(*) AS capacity FROM recent GROUP BY warehouse),
-rd AS (SELECT customer, CAST(floor(count(*) / 20) AS BIGINT) AS demand FROM recent GROUP BY customer)
+rc AS (SELECT warehouse, count(*) AS capacity FROM fact GROUP BY warehouse),
+rd AS (SELECT customer, CAST(floor(count(*) / 20) AS BIGINT) AS demand FROM fact GROUP BY customer)
 SELECT routes.customer, routes.warehouse, round(cc, 6) AS cost_per_unit, rc.capacity, rd.demand,
        CASE WHEN rc.capacity IS NULL THEN 'no capacity for ' || routes.warehouse
             WHEN rd.demand IS NULL THEN 'no demand for ' || routes.customer END AS error
 FROM routes LEFT JOIN rc ON rc.warehouse = routes.warehouse LEFT JOIN rd ON rd.customer = routes.customer"""
 
+ORACLE["constraint_mismatches"] = f"""WITH {FACT},
+recv AS (SELECT DISTINCT lane_warehouse AS w FROM (SELECT lane_warehouse FROM fact GROUP BY warehouse, customer, lane_warehouse HAVING count(*) >= 5)),
+dem AS (SELECT DISTINCT customer FROM fact WHERE lane_warehouse = warehouse)
+SELECT 'route without capacity' AS problem, warehouse AS name FROM (SELECT DISTINCT warehouse FROM fact) WHERE warehouse NOT IN (SELECT w FROM recv)
+UNION ALL SELECT 'route without demand', customer FROM (SELECT DISTINCT customer FROM fact) WHERE customer NOT IN (SELECT customer FROM dem)
+UNION ALL SELECT 'capacity without route', w FROM recv WHERE w NOT IN (SELECT warehouse FROM fact)
+UNION ALL SELECT 'demand without route', customer FROM dem WHERE customer NOT IN (SELECT customer FROM fact)"""
+
 SQL_FN = f"""WITH {FACT}, {WIDE_SCEN},
 src AS (SELECT *, {SQL_MISSING} AS err, 'sql_input' AS source, 'sql' AS mode FROM s),
 pr AS (WITH {plan_out('src')})"""
@@ -499,26 +502,28 @@ SELECT spine.warehouse, spine.customer, avg_distance_cost, avg_fuel_cost, avg_ti
        max_fuel_price, sample_count, feature_timestamp
 FROM spine LEFT JOIN feats ON feats.warehouse = spine.warehouse AND feats.customer = spine.customer"""
 
+DAY_SELECT = FEATURE_SELECT.replace("SELECT warehouse, customer,", "SELECT warehouse, customer, day,")
 ORACLE["rolling_features_30d"] = f"""WITH {FACT},
-daily AS (SELECT warehouse, customer, CAST(last_updated AS DATE) AS day, count(*) AS n,
-                 sum({COMP}) AS s_comp, count({COMP}) AS c_comp,
-                 sum(fuel_price_per_liter) AS s1, sum(fuel_price_per_liter * fuel_price_per_liter) AS s2,
-                 count(fuel_price_per_liter) AS c1, min(fuel_price_per_liter) AS mn, max(fuel_price_per_liter) AS mx,
-                 max(last_updated) AS ts
-          FROM fact GROUP BY warehouse, customer, CAST(last_updated AS DATE)),
-roll AS (SELECT warehouse, customer, day,
-                sum(s_comp) OVER w / sum(c_comp) OVER w AS composite_cost,
-                sum(c1) OVER w AS k, sum(s1) OVER w AS t1, sum(s2) OVER w AS t2,
-                min(mn) OVER w AS min_fuel_price, max(mx) OVER w AS max_fuel_price,
-                sum(n) OVER w AS sample_count, max(ts) OVER w AS feature_timestamp
-         FROM daily
-         WINDOW w AS (PARTITION BY warehouse, customer ORDER BY day
-                      RANGE BETWEEN INTERVAL 30 DAY PRECEDING AND CURRENT ROW))
-SELECT warehouse, customer, day, round(composite_cost, 6) AS composite_cost,
-       round(CASE WHEN k > 1 THEN sqrt(greatest((t2 - t1 * t1 / k) / (k - 1), 0)) END, 6) AS fuel_price_volatility,
-       round(min_fuel_price, 6) AS min_fuel_price, round(max_fuel_price, 6) AS max_fuel_price,
-       CAST(sample_count AS BIGINT) AS sample_count, feature_timestamp
-FROM roll"""
+days AS (SELECT DISTINCT warehouse, customer, CAST(last_updated AS DATE) AS day FROM fact),
+m AS (SELECT days.day, fact.* FROM days JOIN fact ON fact.warehouse = days.warehouse AND fact.customer = days.customer
+        AND fact.last_updated >= days.day - INTERVAL 29 DAY AND fact.last_updated < days.day + INTERVAL 1 DAY)
+{DAY_SELECT.replace('FROM fact', 'FROM m')}
+GROUP BY warehouse, customer, day"""
+ORACLE["stream_rolling_features"] = ORACLE["rolling_features_30d"]
+
+ORACLE["stream_daily_features"] = f"""WITH {FACT},
+m AS (SELECT CAST(last_updated AS DATE) AS day, * FROM fact)
+{DAY_SELECT.replace('FROM fact', 'FROM m')}
+GROUP BY warehouse, customer, day"""
+
+ORACLE["features_30d_partitioned"] = ORACLE["features_30d"]
+
+ORACLE["stream_late_rows"] = f"""WITH {FACT},
+newest AS (SELECT max(last_updated) AS t FROM fact WHERE last_updated >= TIMESTAMP '1995-01-01'),
+m AS (SELECT *, last_updated < TIMESTAMP '1995-01-01'
+             AND date_trunc('day', last_updated) + INTERVAL 1 DAY <= (SELECT t FROM newest) - INTERVAL 1 DAY AS late FROM fact)
+SELECT warehouse, customer, count(*) FILTER (NOT late) AS n_on_time, count(*) FILTER (late) AS n_late
+FROM m GROUP BY warehouse, customer"""
 
 
 def _half_up(sql: str, digits: int = 6) -> str:
@@ -553,15 +558,4 @@ def _half_up(sql: str, digits: int = 6) -> str:
 ORACLE = {name: _half_up(sql) for name, sql in ORACLE.items()}
 
 
-# The stream's day rows with the open days merged in, and the streamed scenarios: the batch results.
-ORACLE["stream_daily_features"] = f"""WITH {FACT},
-daily AS (SELECT warehouse, customer, CAST(last_updated AS DATE) AS day, count(*) AS n,
-                 sum({COMP}) AS s_comp, count({COMP}) AS c_comp,
-                 sum(fuel_price_per_liter) AS s1, sum(fuel_price_per_liter * fuel_price_per_liter) AS s2,
-                 count(fuel_price_per_liter) AS c1, min(fuel_price_per_liter) AS mn, max(fuel_price_per_liter) AS mx,
-                 max(last_updated) AS ts
-          FROM fact GROUP BY warehouse, customer, CAST(last_updated AS DATE))
-SELECT warehouse, customer, day, n, CAST(round(CAST(s_comp AS DECIMAL(38, 9)), 6) AS DOUBLE) AS s_composite, c_comp AS c_composite, CAST(round(CAST(s1 AS DECIMAL(38, 9)), 6) AS DOUBLE) AS s_fuel,
-       CAST(round(CAST(s2 AS DECIMAL(38, 9)), 6) AS DOUBLE) AS s_fuel2, c1 AS c_fuel, CAST(round(CAST(mn AS DECIMAL(38, 9)), 6) AS DOUBLE) AS min_fuel_price, CAST(round(CAST(mx AS DECIMAL(38, 9)), 6) AS DOUBLE) AS max_fuel_price, ts AS feature_timestamp
-FROM daily"""
 ORACLE["stream_scenarios"] = ORACLE["plan_2x2"]

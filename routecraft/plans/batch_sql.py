@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..functions.sql import register_sql_functions
 from ..schemas import DEFAULT_ROUTES
 
+# fixed names of the result fields
 RESULT_FIELDS = ["optimal_cost", "shipment_a_to_1", "shipment_a_to_2", "shipment_b_to_1", "shipment_b_to_2",
                  "warehouse_a_utilization", "warehouse_b_utilization"]
 

@@ -16,6 +16,35 @@ from pyspark.sql import functions as F
 
 from ..operators.running import running_total
 
+CUSTOMERS_PER_BUCKET = 1024
+
+
+def complete_lines(lines: DataFrame, scenarios: DataFrame, demands: DataFrame,
+                   scenario_col: str = "scenario_name") -> DataFrame:
+    """Every scenario with every customer that has a demand: the given ``lines`` (scenario,
+    customer, cost_from_a, cost_from_b), and those that a scenario lacks with null costs, which
+    make the planner report the scenario as an error instead of serving it in part.
+
+    ``scenarios`` has one row for each scenario, ``demands`` (customer, demand) one for each
+    customer. Only scenarios with fewer lines than there are customers are looked at, and of
+    them only the buckets of customers in which one is missing; these meet the demand table
+    by bucket. The three inputs are read several times: pass small or written tables.
+    """
+    s = scenario_col
+    buckets = max(1, -(-demands.count() // CUSTOMERS_PER_BUCKET))
+    wanted = demands.withColumn("_bucket", F.pmod(F.xxhash64("customer"), F.lit(buckets)).cast("int"))
+    own = lines.join(wanted, "customer").select(s, "customer", "cost_from_a", "cost_from_b", "_bucket", "demand")
+    sizes = wanted.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_size"))
+    have = own.groupBy(s, "_bucket").agg(F.count(F.lit(1)).alias("_have"))
+    total = sizes.agg(F.sum("_size")).scalar()
+    full = have.groupBy(s).agg(F.sum("_have").alias("_all")).where(F.col("_all") >= total)
+    short = scenarios.select(s).join(full, s, "left_anti")
+    gaps = (short.withColumn("_bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1)))).join(sizes, "_bucket")
+            .join(have, [s, "_bucket"], "left").where(F.coalesce("_have", F.lit(0)) < F.col("_size")).select(s, "_bucket"))
+    missing = gaps.join(wanted, "_bucket").join(own.select(s, "customer"), [s, "customer"], "left_anti")
+    every = own.drop("_bucket").unionByName(missing.drop("_bucket"), allowMissingColumns=True)
+    return every.join(scenarios, s)
+
 
 def plan_2xn(lines: DataFrame, scenario_col: str = "scenario_name", skew_safe: bool = True,
              carry: list[str] | None = None) -> DataFrame:

@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 
 from ..functions.casts import cast_scenarios
 from ..operators.matrix import cost_matrix_wide
+from ..operators.scenarios import default_scenario_names
 from ..schemas import (BASE_CONSTRAINTS, CAPACITY_COLUMNS, COST_COLUMNS, DEFAULT_COSTS, DEFAULT_ROUTES,
-                       DEMAND_COLUMNS, PLAN_RESULT_SCHEMA)
+                       DEMAND_COLUMNS, MESSAGES, PLAN_RESULT_SCHEMA)
 
 def _zero() -> Column:
     return F.lit(0.0)
@@ -65,7 +66,7 @@ def _first_message(*pairs) -> Column:
 
 def plan_2x2(scenarios: DataFrame, features: DataFrame | None = None, mode: str = "python",
              routes=DEFAULT_ROUTES, defaults: dict | None = None, base_constraints: dict | None = None,
-             keep: list[str] | None = None) -> DataFrame:
+             keep: list[str] | None = None, order_by: list[str] | None = None) -> DataFrame:
     """Cheapest shipment plan per scenario row (batch inference, DataFrame -> DataFrame).
 
     ``mode="python"``: costs from the feature store, optionally overridden per
@@ -76,7 +77,11 @@ def plan_2x2(scenarios: DataFrame, features: DataFrame | None = None, mode: str
     None when the scenarios already carry per-row feature costs in
     ``fs_cost_a_to_1 .. fs_cost_b_to_2`` (e.g. after an as-of lookup).
     ``keep``: extra input columns to pass through.
+    ``order_by``: columns that order the scenarios totally; with them a scenario without a
+    name (null, or no such column) is called ``scenario_<position>``, in error rows too.
     """
+    if order_by:
+        scenarios = default_scenario_names(scenarios, order_by)
     if mode not in ("python", "sql"):
         raise ValueError(f"mode must be 'python' or 'sql', got {mode!r}")
     defaults = {**DEFAULT_COSTS, **(defaults or {})}
@@ -96,23 +101,21 @@ def plan_2x2(scenarios: DataFrame, features: DataFrame | None = None, mode: str
         if name in present:
             limits[name] = F.col(name)
             errors.append((F.col(name).isNull() & ~F.array_contains("_invalid_inputs", name),
-                           F.lit(f"{name} is null")))
+                           F.lit(MESSAGES["null"].format(name))))
         else:
             limits[name] = F.lit(base_values[name]).cast("bigint")
     errors.insert(0, (F.size("_invalid_inputs") > 0,
-                      F.concat(F.lit("invalid input value in: "), F.array_join("_invalid_inputs", ", "))))
+                      F.concat(F.lit(MESSAGES["invalid"]), F.array_join("_invalid_inputs", ", "))))
 
     # -- costs by source -----------------------------------------------------
     cost_cols, source, cost_errors = resolve_costs(df, present, features, mode, routes, defaults)
     errors.extend(cost_errors)
     negative = F.array_compact(F.array(*[F.when(cost_cols[c] < 0, F.lit(c)) for c in COST_COLUMNS]))
     errors.append((F.size(negative) > 0,
-                   F.concat(F.lit("negative cost in: "), F.array_join(negative, ", "))))
+                   F.concat(F.lit(MESSAGES["negative"]), F.array_join(negative, ", "))))
     error = _first_message(*errors)
 
     name = F.col("scenario_name") if "scenario_name" in present else F.lit(None).cast("string")
-    if "_position" in df.columns:
-        name = F.coalesce(name, F.concat(F.lit("scenario_"), F.col("_position").cast("string")))
     ts = F.col("feature_timestamp") if "feature_timestamp" in present else F.lit(None).cast("timestamp_ntz")
     if "fs_feature_timestamp" in df.columns and "feature_timestamp" not in present:
         ts = F.col("fs_feature_timestamp")
@@ -166,7 +169,7 @@ def resolve_costs(df: DataFrame, present: set, features: DataFrame | None, mode:
         missing = F.array_compact(F.array(*[
             F.when(F.col(c).isNull(), F.lit(c)) if c in present else F.lit(c) for c in COST_COLUMNS]))
         errors.append((F.size(missing) > 0,
-                       F.concat(F.lit("sql mode requires all cost parameters; missing: "),
+                       F.concat(F.lit(MESSAGES["prejoined"]),
                                 F.array_join(missing, ", "))))
         costs = {c: (F.col(c) if c in present else F.lit(None).cast("double")) for c in COST_COLUMNS}
         return costs, F.lit("sql_input"), errors
@@ -184,11 +187,10 @@ def resolve_costs(df: DataFrame, present: set, features: DataFrame | None, mode:
         source = F.when(use_fs, F.lit("override")).otherwise(F.lit("override_only"))
     else:
         source = F.when(use_fs, F.lit("feature_store")).otherwise(F.lit("error"))
-        errors.append((~use_fs, F.lit("use_feature_store=false requires cost overrides "
-                                      "(cost_a_to_1, cost_a_to_2, cost_b_to_1, cost_b_to_2)")))
+        errors.append((~use_fs, F.lit(MESSAGES["no_costs"])))
     missing_feature = F.array_compact(F.array(*[F.when(costs[c].isNull(), F.lit(c)) for c in COST_COLUMNS]))
     errors.append((use_fs & (F.size(missing_feature) > 0),
-                   F.concat(F.lit("no route feature for: "), F.array_join(missing_feature, ", "))))
+                   F.concat(F.lit(MESSAGES["no_feature"]), F.array_join(missing_feature, ", "))))
     return costs, source, errors
 
 

@@ -112,3 +112,13 @@ PLAN_RESULT_SCHEMA = T.StructType([
     T.StructField("execution_mode", T.StringType()),
     T.StructField("error", T.StringType()),
 ])
+
+# Messages of error rows, the same from the DataFrame planner and the SQL function.
+MESSAGES = {
+    "invalid": "not convertible: ",
+    "null": "{} has no value",
+    "negative": "cost below zero: ",
+    "prejoined": "pre-joined costs without a value: ",
+    "no_costs": "feature costs switched off and no cost column given",
+    "no_feature": "route without features: ",
+}

@@ -15,6 +15,8 @@ ENGINE_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.ansi.enabled": "true",
+    # tasks that list the folders of a partitioned table, instead of one for each folder
+    "spark.sql.sources.parallelPartitionDiscovery.parallelism": "64",
     # rows of long texts go to Python: a batch of the default 10,000 would be large
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
 }

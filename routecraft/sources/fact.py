@@ -10,8 +10,9 @@ import datetime as _dt
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..schemas import FACT_SCHEMA
+from ..schemas import FACT_SCHEMA, ROUTE_KEYS
 from .tables import table
 
 # ---------------------------------------------------------------------------
@@ -54,12 +55,37 @@ def create_fact_table(df: DataFrame, path: str, partition_by_day: bool = True) -
     Partitioning by observation day lets the look-back filter prune whole
     folders instead of row groups.
     """
-    writer = df.select(*[f.name for f in FACT_SCHEMA.fields])
+    rows = df.select(*[f.name for f in FACT_SCHEMA.fields])
     if partition_by_day:
-        writer = writer.withColumn("obs_day", F.to_date("last_updated"))
-        writer.write.mode("overwrite").partitionBy("obs_day").parquet(path)
+        _by_day(rows).write.mode("overwrite").partitionBy("obs_day").parquet(path)
     else:
-        writer.write.mode("overwrite").parquet(path)
+        rows.write.mode("overwrite").parquet(path)
+
+
+def _by_day(rows: DataFrame) -> DataFrame:
+    """Rows in the order of time over all write tasks: a day has one or two files, and a
+    hot day is cut by route over several tasks. The number of tasks is given, as adaptive
+    execution would write the many small folders of a small table one after the other."""
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.withColumn("obs_day", F.to_date("last_updated")).repartitionByRange(tasks, "last_updated", *ROUTE_KEYS)
+
+
+def replace_days(df: DataFrame, path: str) -> None:
+    """Write the days that ``df`` has anew; all other days of the table stay."""
+    rows = df.select(*[f.name for f in FACT_SCHEMA.fields])
+    _by_day(rows).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("obs_day").parquet(path)
+
+
+def read_fact_days(spark: SparkSession, path: str, first=None, last=None) -> DataFrame:
+    """The day-partitioned fact table; with ``first`` and ``last`` (dates or ISO text) only the
+    folders of those days are opened."""
+    schema = T.StructType([*FACT_SCHEMA.fields, T.StructField("obs_day", T.DateType())])
+    rows = spark.read.schema(schema).parquet(path)
+    if first is not None:
+        rows = rows.where(F.col("obs_day") >= F.to_date(F.lit(str(first))))
+    if last is not None:
+        rows = rows.where(F.col("obs_day") <= F.to_date(F.lit(str(last))))
+    return rows.drop("obs_day")
 
 
 def _d(c: Column) -> Column:

@@ -49,11 +49,6 @@ def batch_scenarios(spark: SparkSession, table_name: str | None = "transportatio
     return df
 
 
-def literal_scenario(spark: SparkSession, **values) -> DataFrame:
-    """A one-row scenario relation from keyword values (a SELECT without FROM)."""
-    return spark.range(1).select(*[F.lit(v).alias(k) for k, v in values.items()])
-
-
 # The functions below read a count table: any frame with warehouse, customer,
 # (lane_warehouse) and ``n`` = number of observations, e.g. ``route_partials``
 # of the facts, or the facts themselves with ``n = 1``.

@@ -15,11 +15,3 @@ def table(spark: SparkSession, data_dir: str, name: str) -> DataFrame:
     """Lazily read ``<data_dir>/<name>.parquet``; projections and filters
     applied later are pushed into this scan by Catalyst."""
     return spark.read.parquet(os.path.join(data_dir, f"{name}.parquet"))
-
-
-def register_views(spark: SparkSession, data_dir: str, names=TABLES) -> None:
-    """Register each table as a temp view so SQL text can address it."""
-    for name in names:
-        path = os.path.join(data_dir, f"{name}.parquet")
-        if os.path.exists(path):
-            table(spark, data_dir, name).createOrReplaceTempView(name)

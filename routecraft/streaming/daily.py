@@ -1,38 +1,29 @@
 """Incremental route features.
 
-Observations arrive as files. A streaming job keeps one partial row per
-(route, day): count, sums of the cost terms, sum of squares of the fuel price,
-min/max price and newest time. A day is emitted once the watermark (one day
-of allowed lateness) passes its end; later rows for it are dropped. Rolling
-30-day features are then a window over the day rows of each route, whose
-size is bounded by the time span, not by the number of observations.
+Observations arrive as files. A streaming job keeps one partial row per (route,
+day) with everything a feature row needs: count, sums and counts of the seven
+averaged terms, the price moments (n, mean, M2), min/max price and newest time. A
+day is emitted once the watermark (one day of allowed lateness) passes its end.
+Rolling features are then a moving range over the day rows of each route, whose
+number is bounded by the time span, not by the number of observations.
+
+``upsert`` has the other way: a store of day rows that every micro-batch adds to,
+safe to replay, with late rows kept aside instead of dropped.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import costs
+from ..operators.features import PARTIAL_COLUMNS, finished, partial_aggregates, roll_up_partials, windowed_partials
 from ..plans.two_by_two import plan_2x2
 from ..schemas import LOOKBACK_DAYS, ROUTE_KEYS
 
 
-def daily_partial_aggregates():
-    fuel = F.col("fuel_price_per_liter")
-    return [
-        F.count(F.lit(1)).alias("n"),
-        F.sum(costs.composite_cost()).alias("s_composite"),
-        F.count(costs.composite_cost()).alias("c_composite"),
-        F.sum(fuel).alias("s_fuel"), F.sum(fuel * fuel).alias("s_fuel2"), F.count(fuel).alias("c_fuel"),
-        F.min(fuel).alias("min_fuel_price"), F.max(fuel).alias("max_fuel_price"),
-        F.max("last_updated").alias("feature_timestamp"),
-    ]
-
-
 def daily_partials(facts: DataFrame, keys: list[str] = ROUTE_KEYS) -> DataFrame:
     """Batch form of the daily partial rows."""
-    return facts.groupBy(*keys, F.to_date("last_updated").alias("day")).agg(*daily_partial_aggregates())
+    return facts.groupBy(*keys, F.to_date("last_updated").alias("day")).agg(*partial_aggregates())
 
 
 def stream_daily_partials(facts_stream: DataFrame, keys: list[str] = ROUTE_KEYS,
@@ -41,9 +32,8 @@ def stream_daily_partials(facts_stream: DataFrame, keys: list[str] = ROUTE_KEYS,
     events = facts_stream.withColumn("event_time", F.col("last_updated").cast("timestamp"))
     return (events.withWatermark("event_time", lateness)
             .groupBy(*keys, F.window("event_time", "1 day").alias("w"))
-            .agg(*daily_partial_aggregates())
-            .select(*keys, F.to_date(F.col("w.start")).alias("day"), "n", "s_composite", "c_composite",
-                    "s_fuel", "s_fuel2", "c_fuel", "min_fuel_price", "max_fuel_price", "feature_timestamp"))
+            .agg(*partial_aggregates())
+            .select(*keys, F.to_date(F.col("w.start")).alias("day"), *PARTIAL_COLUMNS))
 
 
 def run_daily_partials(spark, source_path: str, schema, sink_path: str, checkpoint_path: str) -> None:
@@ -64,22 +54,18 @@ def with_open_days(sink: DataFrame, facts: DataFrame, keys: list[str] = ROUTE_KE
     return sink.unionByName(daily_partials(tail, keys))
 
 
+def daily_features(daily: DataFrame, keys: list[str] = ROUTE_KEYS) -> DataFrame:
+    """All feature columns of every (route, day); several partial rows of a day are merged."""
+    return finished(roll_up_partials(daily, [*keys, "day"]), [*keys, "day"])
+
+
 def rolling_features(daily: DataFrame, lookback_days: int = LOOKBACK_DAYS,
                      keys: list[str] = ROUTE_KEYS) -> DataFrame:
-    """Per route and day: features over the days [day - lookback, day]."""
+    """Per route and day with observations: all feature columns over the ``lookback_days``
+    calendar days that end with it (the day itself and the ones before). ``daily`` has one
+    partial row for each (route, day)."""
     idx = F.datediff(F.col("day"), F.lit("1970-01-01").cast("date"))
-    w = Window.partitionBy(*keys).orderBy(idx).rangeBetween(-lookback_days, 0)
-    n = F.sum("c_fuel").over(w)
-    s1, s2 = F.sum("s_fuel").over(w), F.sum("s_fuel2").over(w)
-    var = F.when(n > 1, F.greatest((s2 - s1 * s1 / n) / (n - 1), F.lit(0.0)))
-    return daily.select(
-        *keys, "day",
-        F.try_divide(F.sum("s_composite").over(w), F.sum("c_composite").over(w)).alias("composite_cost"),
-        F.sqrt(var).alias("fuel_price_volatility"),
-        F.min("min_fuel_price").over(w).alias("min_fuel_price"),
-        F.max("max_fuel_price").over(w).alias("max_fuel_price"),
-        F.sum("n").over(w).alias("sample_count"),
-        F.max("feature_timestamp").over(w).alias("feature_timestamp"))
+    return finished(windowed_partials(daily, keys, idx, -(lookback_days - 1), 0, ["day"]), [*keys, "day"])
 
 
 def stream_plans(scenario_stream: DataFrame, warehouse_costs: DataFrame) -> DataFrame:
