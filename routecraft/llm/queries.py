@@ -132,9 +132,9 @@ def op3_line_dedup(spark, sf_dir):
                     F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed_lines"))
 
 
-# Lines of equal shingle sets are one class; classes are linked, and their lines come in document order.
+# A line goes if it comes after the first line of its class (equal shingle sets), or after one of a class that its own matches.
 LLM_ORACLE["op3_line_dedup"] = r"""
-    WITH RECURSIVE split AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+    WITH split AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
     line AS (SELECT doc_id, unnest(range(0, len(ls))) AS line_no, unnest(ls) AS line FROM split),
     words AS (SELECT doc_id, line_no, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
                      'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM line),
@@ -143,14 +143,13 @@ LLM_ORACLE["op3_line_dedup"] = r"""
     sets AS (SELECT doc_id, line_no, list_sort(list(s)) AS ss FROM sh GROUP BY ALL),
     class AS (SELECT ss, len(ss) AS n, row_number() OVER () AS k FROM (SELECT DISTINCT ss FROM sets)),
     tok AS (SELECT k, n, unnest(ss) AS s FROM class),
-    shared AS (SELECT x.k AS a, y.k AS b, x.n AS n1, y.n AS n2, count(*) AS c FROM tok x JOIN tok y USING (s) WHERE x.k < y.k GROUP BY ALL),
+    shared AS (SELECT x.k AS a, y.k AS b, x.n AS n1, y.n AS n2, count(*) AS c FROM tok x JOIN tok y USING (s) WHERE x.k <> y.k GROUP BY ALL),
     links AS (SELECT a, b FROM shared WHERE 100 * c >= 75 * (n1 + n2 - c)),
-    edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
-    walk AS (SELECT a, a AS b FROM edges UNION SELECT w.a, e.b FROM walk w JOIN edges e ON w.b = e.a),
-    grp AS (SELECT k, coalesce(min(b), k) AS g FROM class LEFT JOIN walk ON a = k GROUP BY k),
-    placed AS (SELECT doc_id, line_no, row_number() OVER (PARTITION BY g ORDER BY doc_id, line_no) AS nth
-               FROM sets JOIN class USING (ss) JOIN grp USING (k)),
-    gone AS (SELECT doc_id, count(*) AS c, string_agg(line_no::VARCHAR, ',' ORDER BY line_no) AS ids FROM placed WHERE nth > 1 GROUP BY 1)
+    spot AS (SELECT k, doc_id, line_no, row_number() OVER (ORDER BY doc_id, line_no) AS p FROM sets JOIN class USING (ss)),
+    opening AS (SELECT k, min(p) AS p FROM spot GROUP BY k),
+    early AS (SELECT b AS k, min(p) AS p FROM links JOIN opening ON opening.k = a GROUP BY b),
+    gone AS (SELECT doc_id, count(*) AS c, string_agg(line_no::VARCHAR, ',' ORDER BY line_no) AS ids
+             FROM spot JOIN opening USING (k) LEFT JOIN early USING (k) WHERE spot.p > least(opening.p, early.p) GROUP BY 1)
     SELECT doc_id, coalesce(len(ls), 0)::INTEGER AS n_lines, coalesce(c, 0)::INTEGER AS n_removed, coalesce(ids, '') AS removed_lines
     FROM split LEFT JOIN gone USING (doc_id)"""
 

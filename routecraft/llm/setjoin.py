@@ -6,15 +6,18 @@ token of their prefixes (prefix filter) at positions that leave room for the
 overlap they need (positional filter) and have similar sizes (length filter).
 
 All pairs of a posting list would grow with the square of a group of near
-copies, so the work goes in two rounds that lose no link between components:
+copies, so the work goes in rounds that lose no link between components:
 
 1. every set is verified against the one list leader (the least id of a list)
    that it shares most prefix tokens with: at most one pair for each set;
-2. pairs whose sets are still in different components are verified, each once.
+2. for a few rounds, as long as they find links and the open lists are long, every
+   set of a list in which components still meet is verified against one leader of another component, drawn
+   anew for each list: again at most one pair for each set and round;
+3. pairs whose sets are still in different components are verified, each once.
    A pair already inside one component would not change the components.
 
 ``matched_earlier`` asks instead, for sets in an order, which ones match an earlier
-set directly: 2. is then the sets that their leader does not decide, each against
+set directly: the rest is then the sets that their leader does not decide, each against
 all candidates before it, inside its component or not.
 
 ``all_links`` gives the links themselves, so it verifies every candidate pair.
@@ -34,6 +37,8 @@ from .bitmaps import bitmap_column, in_bitmap
 from .common import hand_off
 
 PERCENT = 75
+DRAWS = 4               # rounds with drawn leaders; what they leave goes to the last step
+CROWDED = 4             # pairs for each member of the open lists from which on such rounds pay
 LEVEL_CELLS = 1 << 18   # counters of the rarity order, whatever the corpus
 LEVEL_SHIFT = 57        # a token: level in the bits from here on, 57 bits of its hash below
 LIST_CELLS = 1 << 25    # bits of the filter that lets through tokens of lists with two sets or more
@@ -131,28 +136,69 @@ class _Lists:
         x, y = earlier.alias("x"), later.alias("y")
         n1, n2 = F.col("x.n"), F.col("y.n")
         fits = ((F.col("x.h") == F.col("y.h")) & (F.col("x.k") < F.col("y.k")) & _sizes_fit(n1, n2)
-                & (1 + F.least(n1 - F.col("x.pos"), n2 - F.col("y.pos")) - 1 >= _needed(n1, n2)))
+                & (F.least(n1 - F.col("x.pos"), n2 - F.col("y.pos")) >= _needed(n1, n2)))
         return (x.join(y, fits if more is None else fits & more)
                 .select(F.col("x.k").alias("a"), F.col("y.k").alias("b")).distinct())
 
 
-def similar(entities: DataFrame, full_sets: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Components of the similarity graph, as (k, comp) for each k with a link
-    (arguments: ``_Lists``)."""
-    lists = _Lists(entities, full_sets)
-    led = lists.led()
-    links = lists.check(led, "leaders")
-    comp = components(links)
-
+def _open_members(lists: _Lists, comp: DataFrame) -> DataFrame:
+    """h, k, n, pos, comp of the members of lists in which more than one component meets."""
     labelled = lists.members.drop("lo").join(comp, "k", "left").withColumn("comp", F.coalesce("comp", "k"))
     open_lists = (labelled.groupBy("h").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"))
                   .where("c0 < c1").select("h"))
-    rest = hand_off(labelled.join(open_lists, "h").groupBy("h", "k").agg(
+    return hand_off(labelled.join(open_lists, "h").groupBy("h", "k").agg(
         F.min("n").alias("n"), F.min("pos").alias("pos"), F.min("comp").alias("comp")), "open")
+
+
+def _crowded(rest: DataFrame) -> bool:
+    """Whether all pairs of the open lists would be many against their members."""
+    sizes = rest.groupBy("h").agg(F.count(F.lit(1)).alias("c")).agg(F.sum(F.col("c") * F.col("c")).alias("pairs"), F.sum("c").alias("members"))
+    found = sizes.first()
+    return bool(found["members"]) and found["pairs"] > CROWDED * found["members"]
+
+
+def _drawn_leaders(rest: DataFrame, draw: int) -> DataFrame:
+    """(a, b), a < b: every set of an open list with the one leader, drawn anew for each list and
+    round, of another component that it shares most prefix tokens with."""
+    lead = rest.groupBy("h").agg(F.min(F.struct(F.xxhash64("k", F.lit(draw)), "k", "comp")).alias("m")) \
+        .select("h", F.col("m.k").alias("lead"), F.col("m.comp").alias("lead_comp"))
+    votes = rest.join(lead, "h").where("comp <> lead_comp").groupBy("k", "lead").agg(F.count(F.lit(1)).alias("votes"))
+    return (votes.groupBy("k").agg(F.max(F.struct("votes", "lead"))["lead"].alias("lead"))
+            .select(F.least("k", "lead").alias("a"), F.greatest("k", "lead").alias("b")).distinct())
+
+
+def _joined(comp: DataFrame, more: DataFrame) -> DataFrame:
+    """The components ``comp`` merged along the further links ``more``."""
+    def of(side):
+        return comp.select(F.col("k").alias(side), F.col("comp").alias(f"c{side}"))
+    merged = components(more.join(of("a"), "a", "left").join(of("b"), "b", "left")
+                        .select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
+    to = merged.select(F.col("k").alias("comp"), F.col("comp").alias("to"))
+    old = comp.join(to, "comp", "left").select("k", F.coalesce("to", "comp").alias("comp"))
+    # ends of the new links that had no component of their own yet
+    return hand_off(old.unionByName(merged.join(comp.select("k"), "k", "left_anti")), "merged-components")
+
+
+def similar(entities: DataFrame, full_sets: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Components of the similarity graph, as (k, comp) for each k with a link
+    (arguments: ``_Lists``)."""
+    lists = _Lists(entities, full_sets)
+    tried = lists.led().select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    comp = components(lists.check(tried, "leaders"))
+    rest = _open_members(lists, comp)
+    for draw in range(DRAWS):
+        if not _crowded(rest):
+            break
+        pairs = hand_off(_drawn_leaders(rest, draw).join(tried, ["a", "b"], "left_anti"), "drawn")
+        more = lists.check(pairs, "drawn")
+        if more.isEmpty():
+            break
+        tried = tried.unionByName(pairs)
+        comp = _joined(comp, more)
+        rest = _open_members(lists, comp)
     across = lists.pairs(rest, rest, F.col("x.comp") != F.col("y.comp"))
-    tried = led.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = lists.check(across.join(tried, ["a", "b"], "left_anti"), "across")
-    return comp if more.isEmpty() else components(links.unionByName(more))
+    return comp if more.isEmpty() else _joined(comp, more)
 
 
 def matched_earlier(entities: DataFrame, full_sets: Callable[[DataFrame], DataFrame]) -> DataFrame:

@@ -51,8 +51,12 @@ def test_near_duplicates(docs):
     assert shingles.near_duplicates(docs.limit(0)).count() == 0
 
 
-def test_links_against_brute_force(spark):
+@pytest.mark.parametrize("crowded", [0, 4])  # 0: rounds of drawn leaders whatever the lists
+def test_links_against_brute_force(spark, monkeypatch, crowded):
     import random
+
+    from routecraft.llm import setjoin
+    monkeypatch.setattr(setjoin, "CROWDED", crowded)
     rng = random.Random(5)
     texts = []
     for g in range(6):
