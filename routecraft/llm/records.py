@@ -240,10 +240,16 @@ def _digest_batch(rows) -> pa.RecordBatch:
                                        "ids_crc32": pa.array(crc, pa.int64())})
 
 
+def _tasks(spark: SparkSession) -> int:
+    """Tasks that read files: a given number, as adaptive execution sees only the short index
+    rows and would put all files into one task."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 (of the ids as little-endian unsigned 32 bit) of
     every record, from the files themselves; the index only tells which files count."""
-    files = spark.read.parquet(f"{path}/index").select("part", "file").distinct().repartition("part")
+    files = spark.read.parquet(f"{path}/index").select("part", "file").distinct().repartition(_tasks(spark), "part")
     rows = hand_off(files.mapInArrow(_scan(f"{path}/records"), DIGEST), "records-read")
     return _with_start(rows).select("doc_id", "start", "n_tokens", "ids_crc32")
 
@@ -275,5 +281,5 @@ def read_shuffled(spark: SparkSession, path: str, seed: int = 0) -> DataFrame:
     """doc_id and ids of every record, in an order drawn by ``seed``: the index is
     shuffled, and each record is then read at its offset."""
     index = spark.read.parquet(f"{path}/index").select("file", "offset")
-    drawn = index.withColumn("r", F.xxhash64(F.lit(seed), "file", "offset")).repartitionByRange("r").sortWithinPartitions("r")
+    drawn = index.withColumn("r", F.xxhash64(F.lit(seed), "file", "offset")).repartitionByRange(_tasks(spark), "r").sortWithinPartitions("r")
     return drawn.select("file", "offset").mapInArrow(_seek(f"{path}/records"), FULL)
