@@ -63,11 +63,13 @@ def _cell(h: Column) -> Column:
     return h.bitwiseAND(F.lit(LEVEL_CELLS - 1)).cast("int")
 
 
-def _rare_first(tokens: DataFrame, level: Column) -> DataFrame:
-    """k, n and s (the tokens, rarest first) for h."""
-    ranked = F.transform("h", lambda h: F.shiftleft(F.get(level, _cell(h)), LEVEL_SHIFT)
+def _rare_first(tokens: DataFrame, levels: DataFrame) -> DataFrame:
+    """k, n and s (the tokens, rarest first) for h; ``levels`` is one row with the level of each cell.
+    The array is a column of its own because higher-order functions take no subquery directly,
+    and no literal because every plan and each of its adaptive updates would print it."""
+    ranked = F.transform("h", lambda h: F.shiftleft(F.get("_level", _cell(h)), LEVEL_SHIFT)
                          .bitwiseOR(F.shiftrightunsigned(h, 64 - LEVEL_SHIFT)))
-    return (tokens.withColumn("s", F.sort_array(ranked)).drop("h")
+    return (tokens.withColumn("_level", levels.scalar()).withColumn("s", F.sort_array(ranked)).drop("h", "_level")
             .withColumn("k", F.xxhash64("s")).withColumn("n", F.size("s")))
 
 
@@ -79,11 +81,9 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # explode would also test h below the projections, by evaluating it once more for each element
     counts = (_tokens(_lines(docs)).select(F.explode_outer("h").alias("h")).groupBy(_cell(F.col("h")).alias("word"))
               .agg(F.count(F.lit(1)).alias("c")).select("word", F.floor(F.log2("c")).cast("long").alias("bits")))
-    # a fixed number of cells, folded into one literal: subqueries cannot reach higher-order functions
-    cells = dense_cells(counts, LEVEL_CELLS).first()["cells"]
-    level = F.split(F.lit(",".join(map(str, cells))), ",").cast("array<bigint>")
+    levels = hand_off(dense_cells(counts, LEVEL_CELLS), "line-levels")
     lines = _lines(docs).select("*", text_hash)
-    entities = hand_off(_rare_first(_tokens(lines), level).select(
+    entities = hand_off(_rare_first(_tokens(lines), levels).select(
         "doc_id", "rid", "line_no", "lh", "k", "n", F.slice("s", 1, prefix_size(F.col("n"))).alias("pref")), "line-sets")
 
     place = ("doc_id", "rid", "line_no")
@@ -94,7 +94,7 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     def full_sets(keys: DataFrame) -> DataFrame:
         own = classes.select("o", "k", "lh").join(keys.select(F.col("k").alias("o")), "o", "left_semi")
         asked = lines.where(in_bitmap(bitmap_column(own, "lh", TEXT_CELLS), F.col("lh"), TEXT_CELLS))
-        return (_rare_first(_tokens(asked), level).select("k", F.col("s").alias("toks"))
+        return (_rare_first(_tokens(asked), levels).select("k", F.col("s").alias("toks"))
                 .join(own.select("k", "o"), "k").groupBy(F.col("o").alias("k")).agg(F.first("toks").alias("toks")))
 
     matched = matched_earlier(classes.select(F.col("o").alias("k"), "n", "pref"), full_sets)
