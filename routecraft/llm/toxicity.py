@@ -67,8 +67,9 @@ def _logistic(z):
     return 1.0 / (1.0 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(texts: list[str], label: np.ndarray) -> np.ndarray | None:
-    """Word weights and the bias (last) that maximise the noisy-or likelihood of the labels."""
+def fit(texts: list[str], label: np.ndarray, class_weight=(1.0, 1.0)) -> np.ndarray | None:
+    """Word weights and the bias (last) that maximise the noisy-or likelihood of the labels,
+    a text of label c counting ``class_weight[c]`` times."""
     if not len(texts) or label.min() == label.max():
         return None
     have = np.zeros((2, CELLS), np.int64)  # negative and positive documents with the feature
@@ -87,6 +88,8 @@ def fit(texts: list[str], label: np.ndarray) -> np.ndarray | None:
         base_s, base_d = base_s + len(of), base_d + hi - lo
     cell, number, of = map(np.concatenate, (cells, numbers, ofs))
     y, w = label.astype(np.float64), np.zeros(CELLS + 1)
+    weight = np.where(y > 0, class_weight[1], class_weight[0])
+    weight /= weight.mean()
     w[-1] = -2.0
     some = np.bincount(number, minlength=base_s) > 0  # a sentence without any weighted feature scores 0
     m, v = np.zeros_like(w), np.zeros_like(w)
@@ -94,7 +97,7 @@ def fit(texts: list[str], label: np.ndarray) -> np.ndarray | None:
         p = _logistic(np.bincount(number, w[cell], base_s) + w[-1]) * some
         none = np.exp(np.bincount(of, np.log1p(-np.minimum(p, 1 - 1e-9)), base_d))
         bag = np.maximum(1 - none, 1e-9)
-        slope = p * np.where(y > 0, -none / bag, 1.0)[of]
+        slope = p * (weight * np.where(y > 0, -none / bag, 1.0))[of]
         g = np.append(np.bincount(cell, slope[number], CELLS), slope.sum()) / base_d
         g[:-1] += DECAY * w[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
@@ -132,12 +135,15 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def train(docs: DataFrame, labels: DataFrame) -> np.ndarray | None:
     known = (labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).where(~held_out())
              .groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("y")))
+    n = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # the bounded sample stands for all labelled rows: each class weighs what it has in all of them
+    weight = [n.get(c, 0) / max(min(n.get(c, 0), most), 1) for c, most in ((0, MAX_NEGATIVE), (1, MAX_POSITIVE))]
     order = F.xxhash64("doc_id")
     sample = (known.where("y = 1").orderBy(order).limit(MAX_POSITIVE)
               .unionByName(known.where("y = 0").orderBy(order).limit(MAX_NEGATIVE)))
     rows = (docs.select("doc_id", "text").join(sample, "doc_id").orderBy(order, "text")
             .select("text", "y").limit(MAX_POSITIVE + MAX_NEGATIVE).toArrow())
-    return fit(strings(rows["text"]), rows["y"].to_numpy())
+    return fit(strings(rows["text"]), rows["y"].to_numpy(), weight)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
