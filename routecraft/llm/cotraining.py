@@ -85,14 +85,15 @@ def _features(text: pa.Array, lang: pa.Array, source: pa.Array, n_chars: pa.Arra
     return pa.StructArray.from_arrays([rows(np.concatenate(a) if a else np.zeros((0, wide), np.float32), wide), rows(b, 2 * HASHED + 6)], ["a", "b"])
 
 
-def fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Ridge logistic regression by Newton steps; the bias is last."""
+def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Ridge logistic regression of weighted rows by Newton steps; the bias is last."""
     x = np.hstack([x, np.ones((len(x), 1))]).astype(np.float64)
+    weight = weight / weight.mean()
     w = np.zeros(x.shape[1])
     for _ in range(12):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p) + 1e-6)[:, None]).T @ x + RIDGE * np.eye(len(w))
-        w += np.linalg.solve(h, x.T @ (y - p) - RIDGE * w)
+        h = (x * (weight * (p * (1 - p) + 1e-6))[:, None]).T @ x + RIDGE * np.eye(len(w))
+        w += np.linalg.solve(h, x.T @ (weight * (y - p)) - RIDGE * w)
     return w
 
 
@@ -133,9 +134,12 @@ def train(frame: DataFrame):
     y = np.array(rows["y"].to_pylist(), np.float64)
     if not len(y) or y.min() == y.max():
         return None
+    n = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # the bounded sample stands for all labelled rows: each class weighs what it has in all of them
+    weight = np.where(y > 0, n[1] / (y > 0).sum(), n[0] / (y == 0).sum())
     views = [_matrix(rows, c, w) for c, w in zip("ab", wide)]
     judge = np.array(rows["key"].to_pylist()) % 4 == 0  # kept for calibration
-    own = [(v[~judge], y[~judge]) for v in views]
+    own = [(v[~judge], y[~judge], weight[~judge]) for v in views]
     models = [fit(*o) for o in own]
     pool = frame.where("y is null")
     for _ in range(ROUNDS):
@@ -145,14 +149,15 @@ def train(frame: DataFrame):
                                        (0.0, F.col(f"p.{view}") <= 1 - SURE, F.col(f"p.{view}").asc())):
                 got = scored.where(sure).orderBy(order, "key").limit(PER_ROUND).select("ab"[other]).toArrow()
                 if got.num_rows:
-                    x, t = own[other]
-                    own[other] = (np.vstack([x, _matrix(got, "ab"[other], wide[other])]), np.append(t, np.full(got.num_rows, label)))
+                    x, t, v = own[other]
+                    own[other] = (np.vstack([x, _matrix(got, "ab"[other], wide[other])]),
+                                  np.append(t, np.full(got.num_rows, label)), np.append(v, np.ones(got.num_rows)))
         models = [fit(*o) for o in own]
     calibration = []
     for v, w in zip(views, models):
         z = _logit(v[judge], w)[:, None]
-        calibration.append(tuple(fit(z, y[judge])) if len(set(y[judge])) == 2 else (1.0, 0.0))
-    share = float(np.clip(y.mean(), 1e-3, 1 - 1e-3))
+        calibration.append(tuple(fit(z, y[judge], weight[judge])) if len(set(y[judge])) == 2 else (1.0, 0.0))
+    share = float(np.clip(n[1] / (n[0] + n[1]), 1e-3, 1 - 1e-3))
     return models, calibration, float(np.log(share / (1 - share)))
 
 
