@@ -88,6 +88,14 @@ LLM_ORACLE["op9_decontaminate"] = rf"""
     FROM words LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)"""
 
 
+@register
+def op9_proximity(spark, sf_dir):
+    """The proximity matches of operator 9: the items that come near in a document, none of
+    whose windows occurs in it. No SQL: which terms of a window are its rarest goes, in ties, by their hashes."""
+    r = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return r.select("doc_id", F.size("near_items").cast("long").alias("n_near_items"), "near_items")
+
+
 @register
 def op10_ngram_join(spark, sf_dir):
     return shingles.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
