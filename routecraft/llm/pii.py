@@ -13,7 +13,8 @@ driver; spans are found and decided where their document is.
 
 Defined results: null counts as empty and has no spans; matches are leftmost
 and non-overlapping per kind, a failing match is dropped without retry; a
-candidate that overlaps a base span is not added; rows are judged one by one,
+candidate that overlaps a base span is not added; added spans that overlap each
+other all stay, ordered by start, then kind as listed; rows are judged one by one,
 so ties and repeated rows get equal spans; an empty table gives an empty result;
 other columns are never read. Whole texts are searched; the patterns are
 possessive where a long run could make them retry.
@@ -54,22 +55,55 @@ ACCEPT = 0.9
 ROUNDS = 40
 
 
-def _located(kind: str, text: Column) -> Column:
-    """Matches of a pattern as structs (kind, start, end, match), by code points."""
+_SPAN = "struct<kind: string, start: int, end: int, match: string, before: string, after: string>"
+_CHUNK = f"struct<at: int, tail: string, out: array<{_SPAN}>>"
+
+
+def _last(text: Column) -> Column:
+    return F.substring(text, -AROUND, AROUND)
+
+
+def _chunks(items: Column) -> Column:
+    """A non-empty array cut into about sqrt(n) arrays of about sqrt(n) entries. Appending inside
+    an aggregate copies what is there, so n entries cost n * sqrt(n) this way instead of n * n."""
+    wide = F.ceil(F.sqrt(F.size(items))).cast("int")
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / wide).cast("int")), lambda i: F.slice(items, i * wide + 1, wide))
+
+
+def _pieces(kind: str, text: Column) -> Column:
+    """For each match of a pattern: the length and last characters of the text between it and the
+    match before, the match, and the first characters of what follows; null without a match."""
     pattern = PATTERNS[kind]
-    run = F.col("text").contains(TRIGGERS[kind]) if kind in TRIGGERS else F.col("text").rlike("[0-9]")
+    run = text.contains(TRIGGERS[kind]) if kind in TRIGGERS else text.rlike("[0-9]")
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    step = F.aggregate(
-        F.zip_with(F.slice(between, 1, F.size(found)), found, lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("m"))),
-        F.expr("named_struct('at', 0, 'out', cast(array() as array<struct<kind: string, start: int, end: int, match: string>>))"),
-        lambda s, x: F.struct(
-            (s["at"] + x["gap"] + F.length(x["m"])).alias("at"),
-            F.concat(s["out"], F.array(F.struct(F.lit(kind).alias("kind"), (s["at"] + x["gap"]).alias("start"),
-                                                (s["at"] + x["gap"] + F.length(x["m"])).alias("end"), x["m"].alias("match")))).alias("out")),
-        lambda s: s["out"])
-    none = F.expr("cast(array() as array<struct<kind: string, start: int, end: int, match: string>>)")
-    return F.when(run & text.rlike(pattern), step).otherwise(none)
+    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.struct(
+        F.length(g).alias("n"), _last(g).alias("last"), F.substring(g, 1, 1).alias("first")))
+    n = F.size(found)
+    return F.when(run & text.rlike(pattern), F.arrays_zip(
+        F.slice(gaps, 1, n).alias("gap"), found.alias("m"), F.slice(gaps, 2, n).alias("rest"), F.slice(found, 2, n).alias("next")))
+
+
+def _located(kind: str, pieces: Column) -> Column:
+    """Matches as structs (kind, start, end, match, before, after), by code points. The characters
+    around a match come from the pieces: by position they would be counted from the text's start."""
+    def add(s: Column, x: Column) -> Column:
+        start = s["at"] + x["gap"]["n"]
+        before = _last(F.concat(s["tail"], x["gap"]["last"]))
+        after = F.substring(F.concat(x["rest"]["first"], F.coalesce(F.substring(x["next"], 1, 1), F.lit(""))), 1, 1)
+        span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), (start + F.length(x["m"])).alias("end"),
+                        x["m"].alias("match"), before.alias("before"), after.alias("after"))
+        return F.struct((start + F.length(x["m"])).alias("at"), _last(F.concat(before, _last(x["m"]))).alias("tail"),
+                        F.concat(s["out"], F.array(span)).alias("out"))
+
+    def add_chunk(done: Column, chunk: Column) -> Column:
+        end = F.get(done, F.size(done) - 1)
+        first = F.struct(F.coalesce(end["at"], F.lit(0)).alias("at"), F.coalesce(end["tail"], F.lit("")).alias("tail"),
+                         F.array().cast(f"array<{_SPAN}>").alias("out"))
+        return F.concat(done, F.array(F.aggregate(chunk, first, add)))
+
+    none = F.array().cast(f"array<{_SPAN}>")
+    done = F.aggregate(_chunks(pieces), F.array().cast(f"array<{_CHUNK}>"), add_chunk)
+    return F.coalesce(F.flatten(F.transform(done, lambda c: c["out"])), none)
 
 
 def _digits(m: Column) -> Column:
@@ -103,13 +137,15 @@ def _vote(positive: Column, negative: Column) -> Column:
 def _candidates(docs: DataFrame) -> DataFrame:
     """doc_id and spans (kind, order, start, end, base, votes, features) of every row."""
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    raw = d.withColumn("found", F.concat(*[_located(k, F.col("text")) for k in PATTERNS]))
+    # the pieces are columns of their own: inside a lambda they would be made again for each entry
+    raw = d.select("doc_id", *[_pieces(k, F.col("text")).alias(k) for k in PATTERNS])
+    raw = raw.withColumn("found", F.concat(*[_located(k, F.col(k)) for k in PATTERNS]))
     raw = raw.withColumn("found", F.filter("found", lambda s: (s["kind"] != "card") | (F.length(_digits(s["match"])) >= MIN_CARD_DIGITS)))
 
     def describe(s: Column) -> Column:
         kind, m = s["kind"], s["match"]
-        before = F.substring(F.col("text"), F.greatest(s["start"] - AROUND + 1, F.lit(1)), F.least(s["start"], F.lit(AROUND)))
-        left, right = F.substring(before, -1, 1), F.substring(F.col("text"), s["end"] + 1, F.lit(1))
+        before = s["before"]
+        left, right = F.substring(before, -1, 1), s["after"]
         known = F.coalesce(*[F.when(kind == k, m.rlike(p)) for k, p in GAZETTEER.items()])
         glued = left.rlike("[A-Za-z0-9]") | right.rlike("[A-Za-z0-9]")
         own = _valid(kind, m)
@@ -179,11 +215,16 @@ def find_spans(docs: DataFrame) -> DataFrame:
         score = F.aggregate(s["features"], _lookup(prior, s["kind"]), lambda a, f: a + _lookup(weight, f))
         return score > math.log(ACCEPT / (1 - ACCEPT))
 
-    slim = lambda a: F.array_sort(F.transform(a, lambda s: F.struct(s["start"].alias("start"), s["order"].alias("order"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    base = found.withColumn("b", F.filter("spans", lambda s: s["base"]))
-    extra = F.filter("spans", lambda s: ~s["base"] & accepted(s)
-                     & ~F.exists("b", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return base.select("doc_id", slim(F.col("b")).alias("base"), slim(F.concat(F.col("b"), extra)).alias("spans"))
+    slim = lambda a: F.transform(a, lambda s: F.struct(s["start"].alias("start"), s["order"].alias("order"), s["end"].alias("end"), s["kind"].alias("kind")))
+    # base spans in order of their starts, in chunks with their reach: a candidate looks only into chunks that it touches
+    base = found.withColumn("b", F.array_sort(slim(F.filter("spans", lambda s: s["base"]))))
+    reach = F.transform(_chunks(F.col("b")), lambda c: F.struct(F.get(c, F.lit(0))["start"].alias("lo"), F.array_max(
+        F.transform(c, lambda b: b["end"])).alias("hi"), c.alias("own")))
+    base = base.withColumn("reach", F.when(F.size("b") > 0, reach))
+    touches = lambda s: F.exists("reach", lambda c: (c["lo"] < s["end"]) & (s["start"] < c["hi"]) & F.exists(
+        c["own"], lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    extra = F.filter("spans", lambda s: ~s["base"] & accepted(s) & ~F.coalesce(touches(s), F.lit(False)))
+    return base.select("doc_id", F.col("b").alias("base"), F.array_sort(F.concat(F.col("b"), slim(extra))).alias("spans"))
 
 
 def joined(spans: str) -> Column:

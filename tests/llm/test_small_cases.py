@@ -157,6 +157,48 @@ def test_urls(spark):
     assert urls.judge(df.limit(0)).count() == 0
 
 
+def _plain_spans(text):
+    """The base spans of a text, by the patterns as they are given."""
+    def luhn(d):
+        return sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+    digits = lambda m: re.sub("[^0-9]", "", m)
+    kinds = (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+             ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(x) <= 255 for x in m.split("."))),
+             ("card", r"[0-9]([\x20-]?[0-9])+", lambda m: 14 <= len(digits(m)) <= 19 and luhn(digits(m))),
+             ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 10 <= len(digits(m)) <= 15))
+    return [(k, start, end) for start, _, end, k in sorted(
+        (m.start(), i, m.end(), k) for i, (k, p, ok) in enumerate(kinds) for m in re.finditer(p, text) if ok(m.group()))]
+
+
+def test_pii_of_all_documents(spark):
+    documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want = {r.doc_id: _plain_spans(r.text or "") for r in documents.select("doc_id", "text").collect()}
+    found = {r.doc_id: r for r in pii.find_spans(documents).collect()}
+    assert {k: [(s["kind"], s["start"], s["end"]) for s in r.base] for k, r in found.items()} == want
+    for r in found.values():
+        assert [s for s in r.spans if s in r.base] == r.base and r.spans == sorted(r.spans)
+        assert all(a["end"] <= b["start"] or b["end"] <= a["start"] for a in r.spans if a not in r.base for b in r.base)
+
+
+def test_pii_many_matches_in_one_text(spark):
+    """Positions over many chunks and characters beyond one byte or one UTF-16 unit."""
+    text = "".join(f"\u00e9\U0001F600 user{i}@mail{i % 7}.example.org, +1 212 555 {i:04d}; password={i:04d}abcd " for i in range(3000))
+    r = pii.find_spans(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).first()
+    assert [(s["kind"], s["start"], s["end"]) for s in r.base] == _plain_spans(text)
+    context = pii._candidates(spark.createDataFrame([(1, text)], "doc_id bigint, text string"))
+    assert context.selectExpr("size(spans)").first()[0] >= 9000
+
+
+def test_pii_context_is_the_text_around(spark):
+    text = "\u00e9" * 30 + "a@b.co,c@d.co x@y.zz" + " +4912345678901"
+    df = spark.createDataFrame([(text,)], "text string")
+    for kind in ("email", "phone"):
+        pieces = df.select(pii._pieces(kind, F.col("text")).alias("p"))
+        for s in pieces.select(F.explode(pii._located(kind, F.col("p"))).alias("s")).select("s.*").collect():
+            assert s.match == text[s.start:s.end]
+            assert s.before == text[max(0, s.start - pii.AROUND):s.start] and s.after == text[s.end:s.end + 1]
+
+
 def test_held_out_quality(spark):
     """On the given documents: toxicity and language on rows that the models never saw."""
     d = "/root/testdata/sf0.01"
