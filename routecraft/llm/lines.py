@@ -59,6 +59,17 @@ def _tokens(lines: DataFrame) -> DataFrame:
             .withColumn("h", _shingles("w")).drop("w", "line"))
 
 
+def _every_token(lines: DataFrame) -> DataFrame:
+    """h: the tokens of ``_tokens``, once for each occurrence. Words are zipped and exploded
+    first, so that the hashing is compiled rather than interpreted: nulls leave a hash as it
+    is, and only lines of fewer than N words have a null last word."""
+    words = lines.where(F.col("line").rlike(r"[^ \t-\r]")).select(_words(F.col("line")).alias("w"))
+    size = F.greatest(F.size("w") - (N - 1), F.lit(1))
+    zipped = words.select(F.explode_outer(F.arrays_zip(*[F.slice("w", i + 1, size).alias(f"w{i}") for i in range(N)])).alias("z"))
+    parts = [F.when(F.col(f"z.w{i}").isNotNull(), F.xxhash64(F.col(f"z.w{i}"))) for i in range(N)]
+    return zipped.select(F.when(parts[-1].isNull(), F.xxhash64(*parts, F.lit(1))).otherwise(F.xxhash64(*parts)).alias("h"))
+
+
 def _cell(h: Column) -> Column:
     return h.bitwiseAND(F.lit(LEVEL_CELLS - 1)).cast("int")
 
@@ -78,8 +89,8 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     as (k, first, c, matched): the first line's place, the number of lines, and whether
     the first line matches an earlier one of another class."""
     text_hash = F.xxhash64("line").alias("lh")
-    # explode would also test h below the projections, by evaluating it once more for each element
-    counts = (_tokens(_lines(docs)).select(F.explode_outer("h").alias("h")).groupBy(_cell(F.col("h")).alias("word"))
+    # every occurrence counts: the counts only order the tokens
+    counts = (_every_token(_lines(docs)).groupBy(_cell(F.col("h")).alias("word"))
               .agg(F.count(F.lit(1)).alias("c")).select("word", F.floor(F.log2("c")).cast("long").alias("bits")))
     levels = hand_off(dense_cells(counts, LEVEL_CELLS), "line-levels")
     lines = _lines(docs).select("*", text_hash)
