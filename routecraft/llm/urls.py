@@ -3,16 +3,25 @@
 Rules decide the URLs they fit. The others are judged by two variable-order
 Markov models of characters (orders 0 to ``ORDER``, Witten-Bell interpolation),
 one of rejected and one of accepted URLs: the difference of log-likelihoods per
-character, against a threshold calibrated on the training URLs.
-
-Rejected URLs to learn from: those that a rule blocks or whose host has a word
-of ``REJECT_WORDS``; accepted ones: all others. All URLs are counted, whole;
-what is gathered grows with the table. Everything is joined and aggregated by
-n-gram; only the calibration histogram (``BINS`` rows) reaches the driver.
+character, against a calibrated threshold.
+
+Rejected URLs to learn from: those of hosts that have a word of ``REJECT_WORDS`` or whose
+URLs are all blocked by rules; a blocked path of a host with other URLs teaches nothing;
+accepted ones: all others. Hosts are dealt into two folds by
+a hash, and a URL is scored by models that count the other fold only, so neither
+it nor any URL of its host speaks for it. The threshold is set on the URLs that a rule
+allows, scored in the same way: at most ``MAX_FALSE`` of them lie above it. The
+URLs being judged have no part in it. A URL counts once, however many rows have it.
+Bad URLs on hosts without a word count as accepted ones in the other fold, so they
+are found as long as they are few there against the rejected ones of their kind.
+
+All URLs are counted, whole; what is gathered grows with the table. Everything is
+joined and aggregated by n-gram; only the calibration histogram (``BINS`` rows)
+reaches the driver.
 
 Defined results: a null URL, or one without ``://``, has empty host and path, no
 rule, and is allowed; a URL is one text, so repeated rows get equal verdicts;
-if one class has no URL nothing but rules blocks; an empty table gives an empty
+if a class or the URLs allowed by a rule are empty, nothing but rules blocks; an empty table gives an empty
 result; other columns are never read.
 """
 
@@ -27,7 +36,8 @@ RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com
 REJECT_WORDS = ("casino", "pills", "bets", "spam", "porn", "xxx", "ads-", "adserver", "malware", "phish")
 ORDER = 4
 ALPHABET = 256          # the uniform model below order 0
-MAX_FALSE = 0.005       # share of accepted training URLs that the threshold may reject
+FOLDS = 2
+MAX_FALSE = 0.005       # share of the URLs allowed by a rule that the threshold may reject
 BINS = 400
 SPAN = 4.0              # scores beyond +-SPAN share the outer bins
 
@@ -51,17 +61,18 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def _grams(urls: DataFrame) -> DataFrame:
-    """One row per character of a URL (id, class, n) with its context of ORDER characters, padded."""
+    """One row per character of a URL (id, fold, rejected) with its context of ORDER characters, padded."""
     padded = F.concat(F.lit("\u0002" * ORDER), F.col("url"))
     at = F.explode_outer(F.sequence(F.lit(1), F.length("url")))
-    return (urls.select("id", "rejected", "n", padded.alias("u"), at.alias("i"))
-            .select("id", "rejected", "n", F.substring("u", F.col("i"), F.lit(ORDER + 1)).alias("g")))
+    return (urls.select("id", "fold", "rejected", padded.alias("u"), at.alias("i"))
+            .select("id", "fold", "rejected", F.substring("u", F.col("i"), F.lit(ORDER + 1)).alias("g")))
 
 
-def _model(counts: DataFrame, rejected: bool) -> DataFrame:
-    """g, p: the probability of the last character of each longest n-gram (of either
-    class) after the ones before it, in the model of one class."""
-    own = counts.select("g", F.when(F.col("rejected") == rejected, F.col("n")).otherwise(0).alias("n"))
+def _model(counts: DataFrame, rejected: bool, without: int) -> DataFrame:
+    """g, p: the probability of the last character of each longest n-gram (of all URLs)
+    after the ones before it, in the model of one class that leaves out one fold."""
+    counted = (F.col("rejected") == rejected) & (F.col("fold") != without)
+    own = counts.select("g", F.when(counted, F.col("n")).otherwise(0).alias("n"))
     p = counts.select("g").distinct().withColumn("p", F.lit(1.0 / ALPHABET))
     for order in range(ORDER + 1):
         tail = lambda c: F.substring(c, ORDER + 1 - order, order + 1)  # noqa: B023, E731
@@ -75,33 +86,39 @@ def _model(counts: DataFrame, rejected: bool) -> DataFrame:
 
 
 def score_urls(urls: DataFrame) -> DataFrame:
-    """url, rejected (its training class) and score: the difference of log-likelihoods
-    (rejected minus accepted) per character, of distinct URLs (url, rejected, n)."""
-    urls = urls.where(F.length("url") > 0).withColumn("id", F.xxhash64("url"))
+    """The distinct URLs ``urls`` (url, host, rejected: the class to learn from, and any other
+    columns) with score: the difference of log-likelihoods (rejected minus accepted) per
+    character, in the models of the other fold's hosts."""
+    urls = urls.where(F.length("url") > 0).select(
+        "*", F.xxhash64("url").alias("id"), F.pmod(F.xxhash64("host", F.lit(7)), F.lit(FOLDS)).cast("int").alias("fold"))
     grams = hand_off(_grams(urls), "url-grams")
-    counts = hand_off(grams.groupBy("g", "rejected").agg(F.sum("n").alias("n")), "url-counts")
-    ratio = (_model(counts, True).select("g", F.log("p").alias("r"))
-             .join(_model(counts, False).select("g", F.log("p").alias("a")), "g").select("g", (F.col("r") - F.col("a")).alias("d")))
+    counts = hand_off(grams.groupBy("g", "fold", "rejected").agg(F.count(F.lit(1)).alias("n")), "url-counts")
+    ratio = None
+    for fold in range(FOLDS):
+        own = (_model(counts, True, fold).select("g", F.log("p").alias("r"))
+               .join(_model(counts, False, fold).select("g", F.log("p").alias("a")), "g")
+               .select("g", F.lit(fold).alias("fold"), (F.col("r") - F.col("a")).alias("d")))
+        ratio = own if ratio is None else ratio.unionByName(own)
     ratio = hand_off(ratio, "url-model")
     # a common n-gram is joined once for each of the URL parts that it is summed up over
-    spread = grams.groupBy("id", "g").agg(F.count(F.lit(1)).alias("c"))
-    total = (spread.join(ratio, "g").groupBy("id").agg(F.sum(F.col("d") * F.col("c")).alias("s"), F.sum("c").alias("l")))
-    return urls.join(total, "id").select("url", "rejected", "n", (F.col("s") / F.col("l")).alias("score"))
+    spread = grams.groupBy("id", "fold", "g").agg(F.count(F.lit(1)).alias("c"))
+    total = (spread.join(ratio, ["g", "fold"]).groupBy("id").agg(F.sum(F.col("d") * F.col("c")).alias("s"), F.sum("c").alias("l")))
+    return urls.join(total, "id").withColumn("score", F.col("s") / F.col("l")).drop("id", "fold", "s", "l")
 
 
 def threshold(scored: DataFrame) -> float:
-    """The least score of a bin's edge above which at most ``MAX_FALSE`` of the accepted
-    training URLs lie; infinite if a class is empty."""
+    """The least score of a bin's edge above which at most ``MAX_FALSE`` of the URLs that are
+    ``trusted`` lie; infinite without any, or without a rejected URL to learn from."""
     width = 2 * SPAN / BINS
     bin_ = F.least(F.greatest(F.floor((F.col("score") + SPAN) / width), F.lit(0)), F.lit(BINS - 1)).cast("int")
-    rows = scored.groupBy(bin_.alias("bin"), "rejected").agg(F.sum("n").alias("n")).collect()
-    accepted = {r["bin"]: r["n"] for r in rows if not r["rejected"]}
-    if not accepted or len(accepted) == len(rows):
+    rows = scored.where("trusted or rejected").groupBy(bin_.alias("bin"), "trusted").agg(F.count(F.lit(1)).alias("n")).collect()
+    trusted = {r["bin"]: r["n"] for r in rows if r["trusted"]}
+    if not trusted or len(trusted) == len(rows):
         return float("inf")
-    allowed, above, edge = MAX_FALSE * sum(accepted.values()), 0, BINS
-    while edge > BINS // 2 and above + accepted.get(edge - 1, 0) <= allowed:  # never below a ratio of 1
+    allowed, above, edge = MAX_FALSE * sum(trusted.values()), 0, BINS
+    while edge > BINS // 2 and above + trusted.get(edge - 1, 0) <= allowed:  # never below a ratio of 1
         edge -= 1
-        above += accepted.get(edge, 0)
+        above += trusted.get(edge, 0)
     return edge * width - SPAN
 
 
@@ -111,10 +128,14 @@ def judge(pages: DataFrame, rules=RULES, reject_words=REJECT_WORDS) -> DataFrame
     parts = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     parts = parts.withColumn("rule", rule).withColumn("by_rule", verdict)
-    bad = F.col("host").rlike("|".join(w.replace("-", r"\-") for w in reject_words))
-    learned = (parts.where("host <> '' or path <> ''")
-               .select("url", F.coalesce(F.col("by_rule") == "block", bad).alias("rejected"))
-               .groupBy("url", "rejected").agg(F.count(F.lit(1)).alias("n")))
+    bad = F.col("host").rlike("|".join(w.replace("-", r"\-") for w in reject_words)) if reject_words else F.lit(False)
+    blocked = F.coalesce(F.col("by_rule") == "block", F.lit(False))
+    distinct = (parts.where("host <> '' or path <> ''")
+                .select("url", "host", blocked.alias("blocked"), bad.alias("bad"),
+                        F.coalesce(F.col("by_rule") == "allow", F.lit(False)).alias("trusted")).distinct())
+    hosts = distinct.groupBy("host").agg(F.min("blocked").alias("closed"))
+    learned = (distinct.join(hosts, "host").where("bad or closed or not blocked")
+               .select("url", "host", F.expr("bad or closed").alias("rejected"), F.expr("trusted and not bad").alias("trusted")))
     scored = hand_off(score_urls(learned), "url-scores")
     limit = threshold(scored)
     return (parts.join(scored.select("url", "score"), "url", "left")
