@@ -68,20 +68,28 @@ def _grams(urls: DataFrame) -> DataFrame:
             .select("id", "fold", "rejected", F.substring("u", F.col("i"), F.lit(ORDER + 1)).alias("g")))
 
 
-def _model(counts: DataFrame, rejected: bool, without: int) -> DataFrame:
-    """g, p: the probability of the last character of each longest n-gram (of all URLs)
-    after the ones before it, in the model of one class that leaves out one fold."""
-    counted = (F.col("rejected") == rejected) & (F.col("fold") != without)
-    own = counts.select("g", F.when(counted, F.col("n")).otherwise(0).alias("n"))
-    p = counts.select("g").distinct().withColumn("p", F.lit(1.0 / ALPHABET))
+# the models: a class, and the fold that is left out
+_MODELS = [(rejected, fold) for rejected in (True, False) for fold in range(FOLDS)]
+
+
+def _models(counts: DataFrame) -> DataFrame:
+    """g, p0, p1, ...: the probability of the last character of each longest n-gram (of all URLs)
+    after the ones before it, in each of ``_MODELS``, all in one pass over each order."""
+    each = range(len(_MODELS))
+    own = counts.groupBy("g").agg(*[
+        F.sum(F.when((F.col("rejected") == rejected) & (F.col("fold") != fold), F.col("n")).otherwise(0)).alias(f"n{m}")
+        for m, (rejected, fold) in enumerate(_MODELS)])
+    own = hand_off(own, "url-own")
+    p = own.select("g", *[F.lit(1.0 / ALPHABET).alias(f"p{m}") for m in each])
     for order in range(ORDER + 1):
         tail = lambda c: F.substring(c, ORDER + 1 - order, order + 1)  # noqa: B023, E731
-        level = own.groupBy(tail(F.col("g")).alias("s")).agg(F.sum("n").alias("c"))
+        level = own.groupBy(tail(F.col("g")).alias("s")).agg(*[F.sum(f"n{m}").alias(f"c{m}") for m in each])
         context = (level.groupBy(F.substring("s", 1, order).alias("x"))
-                   .agg(F.sum("c").alias("all"), F.sum((F.col("c") > 0).cast("long")).alias("kinds")))
-        level = level.withColumn("x", F.substring("s", 1, order)).join(context, "x").select("s", "c", "all", "kinds")
-        mixed = (F.col("c") + F.greatest("kinds", F.lit(1)) * F.col("p")) / (F.col("all") + F.greatest("kinds", F.lit(1)))
-        p = p.withColumn("s", tail(F.col("g"))).join(level, "s").select("g", mixed.alias("p"))
+                   .agg(*[F.sum(f"c{m}").alias(f"all{m}") for m in each],
+                        *[F.greatest(F.sum((F.col(f"c{m}") > 0).cast("long")), F.lit(1)).alias(f"kinds{m}") for m in each]))
+        level = level.withColumn("x", F.substring("s", 1, order)).join(context, "x").drop("x")
+        p = p.withColumn("s", tail(F.col("g"))).join(level, "s").select("g", *[
+            ((F.col(f"c{m}") + F.col(f"kinds{m}") * F.col(f"p{m}")) / (F.col(f"all{m}") + F.col(f"kinds{m}"))).alias(f"p{m}") for m in each])
     return p
 
 
@@ -93,16 +101,12 @@ def score_urls(urls: DataFrame) -> DataFrame:
         "*", F.xxhash64("url").alias("id"), F.pmod(F.xxhash64("host", F.lit(7)), F.lit(FOLDS)).cast("int").alias("fold"))
     grams = hand_off(_grams(urls), "url-grams")
     counts = hand_off(grams.groupBy("g", "fold", "rejected").agg(F.count(F.lit(1)).alias("n")), "url-counts")
-    ratio = None
-    for fold in range(FOLDS):
-        own = (_model(counts, True, fold).select("g", F.log("p").alias("r"))
-               .join(_model(counts, False, fold).select("g", F.log("p").alias("a")), "g")
-               .select("g", F.lit(fold).alias("fold"), (F.col("r") - F.col("a")).alias("d")))
-        ratio = own if ratio is None else ratio.unionByName(own)
-    ratio = hand_off(ratio, "url-model")
+    log = lambda rejected, fold: F.log(f"p{_MODELS.index((rejected, fold))}")
+    ratio = hand_off(_models(counts).select("g", *[(log(True, f) - log(False, f)).alias(f"d{f}") for f in range(FOLDS)]), "url-model")
     # a common n-gram is joined once for each of the URL parts that it is summed up over
     spread = grams.groupBy("id", "fold", "g").agg(F.count(F.lit(1)).alias("c"))
-    total = (spread.join(ratio, ["g", "fold"]).groupBy("id").agg(F.sum(F.col("d") * F.col("c")).alias("s"), F.sum("c").alias("l")))
+    d = F.coalesce(*[F.when(F.col("fold") == f, F.col(f"d{f}")) for f in range(FOLDS)])
+    total = (spread.join(ratio, "g").groupBy("id").agg(F.sum(d * F.col("c")).alias("s"), F.sum("c").alias("l")))
     return urls.join(total, "id").withColumn("score", F.col("s") / F.col("l")).drop("id", "fold", "s", "l")
 
 
