@@ -60,3 +60,16 @@ def test_resolve_asof_groups_by_months(spark, tmp_path):
     lanes = seen.select(*catalog.LANE).distinct().count()
     assert seen.agg(F.sum("n")).first()[0] == 1600
     assert seen.count() <= lanes * 12 * 3  # per month: its start, one snapshot, two or none
+
+
+def test_streamed_files_follow_the_rows(spark, tmp_path, monkeypatch):
+    write_tables(spark, str(tmp_path))
+    monkeypatch.setattr(catalog, "FILE_ROWS", 100)
+    before = written(spark, "stream_rolling")
+    got = catalog.REGISTRY["stream_rolling_features"](spark, str(tmp_path)).drop("feature_timestamp")
+    want = catalog.REGISTRY["rolling_features_30d"](spark, str(tmp_path)).drop("feature_timestamp")
+    assert got.count() == want.count() > 0 and got.exceptAll(want).count() == 0
+    run, = written(spark, "stream_rolling") - before
+    rows = [r[0] for r in spark.read.parquet(f"{run}/facts").groupBy(F.input_file_name()).count().select("count").collect()]
+    assert sum(rows) == 1600 and len(rows) > 12 and max(rows) < 400  # of 16 files
+    assert spark.read.parquet(f"{run}/store/clock").count() == 2
