@@ -1,7 +1,7 @@
 """Line dedup by an exact set-similarity join (operator 3), on DataFrame functions only.
 
 A line's tokens are its distinct five-word shingles (A-Z lower-cased words; a
-line of fewer words is one token), ordered by rarity over the whole corpus.
+line of fewer words is one token), ordered by hash, those of many lines last.
 Lines whose token sets have a Jaccard similarity of 0.75 or more match (prefix,
 positional and length filters, then verification: ``setjoin``). Lines come in the
 order of document id, then text, then line number; a line goes if it matches an
@@ -20,12 +20,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bitmaps import bitmap_column, dense_cells, in_bitmap
+from .bitmaps import WORD_BITS, bitmap_words, dense_cells, in_bitmap
 from .common import fresh, hand_off, row_key
-from .setjoin import LEVEL_CELLS, LEVEL_SHIFT, matched_earlier, prefix_size
+from .setjoin import LIST_CELLS, matched_earlier, prefix_size
 
 N = 5
-TEXT_CELLS = 1 << 22
+SET_CELLS = 1 << 22
+CROWDED = 32            # sets beyond which a token moves back in the order
 _CAPITALS, _BLANKS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "\t\x0b\x0c\r"
 _FROM, _TO = _CAPITALS + _BLANKS, _CAPITALS.lower() + " " * len(_BLANKS)
 
@@ -59,59 +60,78 @@ def _tokens(lines: DataFrame) -> DataFrame:
             .withColumn("h", _shingles("w")).drop("w", "line"))
 
 
-def _every_token(lines: DataFrame) -> DataFrame:
-    """h: the tokens of ``_tokens``, once for each occurrence. Words are zipped and exploded
-    first, so that the hashing is compiled rather than interpreted: nulls leave a hash as it
-    is, and only lines of fewer than N words have a null last word."""
-    words = lines.where(F.col("line").rlike(r"[^ \t-\r]")).select(_words(F.col("line")).alias("w"))
-    size = F.greatest(F.size("w") - (N - 1), F.lit(1))
-    zipped = words.select(F.explode_outer(F.arrays_zip(*[F.slice("w", i + 1, size).alias(f"w{i}") for i in range(N)])).alias("z"))
-    parts = [F.when(F.col(f"z.w{i}").isNotNull(), F.xxhash64(F.col(f"z.w{i}"))) for i in range(N)]
-    return zipped.select(F.when(parts[-1].isNull(), F.xxhash64(*parts, F.lit(1))).otherwise(F.xxhash64(*parts)).alias("h"))
+def _sets(lines: DataFrame) -> DataFrame:
+    """k, n and s (the sorted tokens) of the lines that have words; k stands for the set."""
+    return _tokens(lines).withColumn("s", F.sort_array("h")).drop("h").withColumn("k", F.xxhash64("s")).withColumn("n", F.size("s"))
 
 
-def _cell(h: Column) -> Column:
-    return h.bitwiseAND(F.lit(LEVEL_CELLS - 1)).cast("int")
+def _prefix(tokens: str) -> Column:
+    return F.slice(tokens, 1, prefix_size(F.col("n")))
 
 
-def _rare_first(tokens: DataFrame, levels: DataFrame) -> DataFrame:
-    """k, n and s (the tokens, rarest first) for h; ``levels`` is one row with the level of each cell.
-    The array is a column of its own because higher-order functions take no subquery directly,
-    and no literal because every plan and each of its adaptive updates would print it."""
-    ranked = F.transform("h", lambda h: F.shiftleft(F.get("_level", _cell(h)), LEVEL_SHIFT)
-                         .bitwiseOR(F.shiftrightunsigned(h, 64 - LEVEL_SHIFT)))
-    return (tokens.withColumn("_level", levels.scalar()).withColumn("s", F.sort_array(ranked)).drop("h", "_level")
-            .withColumn("k", F.xxhash64("s")).withColumn("n", F.size("s")))
+def _with_token(sets: DataFrame, tokens: DataFrame) -> DataFrame:
+    """k of the ``sets`` (k, n, toks) that have one of ``tokens`` (h) in their prefix, each once."""
+    return sets.select("k", F.explode(_prefix("toks")).alias("h")).join(tokens.select("h"), "h", "left_semi").select("k").distinct()
+
+
+def _may_be(keys: DataFrame, key: str, value: Column, size: int = LIST_CELLS) -> Column:
+    """Whether ``value`` may be among the ``keys``. The bitmap is written, not part of each plan that asks it."""
+    cells = hand_off(dense_cells(bitmap_words(keys, key, size), -(-size // WORD_BITS)), "line-filter")
+    return in_bitmap(cells.scalar(), value, size)
+
+
+def _of(sets: DataFrame, keys: DataFrame) -> DataFrame:
+    """The ``sets`` of ``keys`` (k); the others leave before the shuffle of the join."""
+    return sets.where(_may_be(keys, "k", F.col("k"), SET_CELLS)).join(keys, "k", "left_semi")
+
+
+def _ranked(sets: DataFrame) -> DataFrame:
+    """k, n, pref: the prefixes of ``sets`` (k, n, toks) in the order of the tokens' level,
+    then hash. Tokens of more than CROWDED prefixes, or of more than CROWDED of the sets
+    that have such a token in their prefix, have the log2 of that count as their level,
+    all others 0; so a set without a crowded token in its first tokens by hash keeps those."""
+    def crowded(tokens):
+        return tokens.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > CROWDED)
+
+    first = hand_off(crowded(sets.select(F.explode(_prefix("toks")).alias("h"))), "line-crowded")
+    touched = _of(sets.select("k", "toks"), hand_off(_with_token(sets, first), "line-touched"))
+    levels = hand_off(crowded(touched.select(F.explode("toks").alias("h"))).unionByName(first).groupBy("h").agg(
+        F.floor(F.log2(F.max("c"))).cast("int").alias("level")), "line-levels")
+    moved = hand_off(_with_token(sets, levels), "line-moved")
+    spread = _of(sets, moved).select("k", "n", F.explode("toks").alias("h")).join(levels, "h", "left")
+    order = F.sort_array(F.collect_list(F.struct(F.coalesce("level", F.lit(0)).alias("level"), "h")))["h"]
+    again = spread.groupBy("k", "n").agg(order.alias("toks")).select("k", "n", _prefix("toks").alias("pref"))
+    return sets.select("k", "n", _prefix("toks").alias("pref")).join(moved, "k", "left_anti").unionByName(again)
 
 
 def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Every line with words as (doc_id, rid, line_no, k), and the classes of equal sets
-    as (k, first, c, matched): the first line's place, the number of lines, and whether
-    the first line matches an earlier one of another class."""
-    text_hash = F.xxhash64("line").alias("lh")
-    # every occurrence counts: the counts only order the tokens
-    counts = (_every_token(_lines(docs)).groupBy(_cell(F.col("h")).alias("word"))
-              .agg(F.count(F.lit(1)).alias("c")).select("word", F.floor(F.log2("c")).cast("long").alias("bits")))
-    levels = hand_off(dense_cells(counts, LEVEL_CELLS), "line-levels")
-    lines = _lines(docs).select("*", text_hash)
-    entities = hand_off(_rare_first(_tokens(lines), levels).select(
-        "doc_id", "rid", "line_no", "lh", "k", "n", F.slice("s", 1, prefix_size(F.col("n"))).alias("pref")), "line-sets")
+    """Every line with words as (doc_id, rid, line_no, k), and the classes of equal sets with
+    more than one line or a match as (k, first, c, matched): the first line's place, the number
+    of lines, and whether the first line matches an earlier one of another class.
 
+    Any order of the tokens finds all matches. By hash alone it needs no count of them, and
+    sets none of whose first tokens is in another set, most of them, are done with: only
+    the rest, the open classes, are made again in full and ordered by rarity."""
     place = ("doc_id", "rid", "line_no")
-    one = entities.groupBy("k").agg(F.min(F.struct(*place, "lh", "n", "pref")).alias("m"), F.count(F.lit(1)).alias("c"))
+    entities = hand_off(_sets(_lines(docs)).select(*place, "k", "n", _prefix("s").alias("pref")), "line-sets")
+    # a count is half of what two ids for each token weigh; that it lets classes of equal lines through costs little
+    shared = hand_off(entities.select(F.explode("pref").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("c"))
+                      .where("c > 1").select("h"), "line-shared")
+    is_open = (entities.select("k", F.explode("pref").alias("h")).where(_may_be(shared, "h", F.col("h"))).join(shared, "h", "left_semi")
+               .select("k").distinct().withColumn("is_open", F.lit(True)))
+    one = entities.groupBy("k").agg(F.min(F.struct(*place)).alias("first"), F.count(F.lit(1)).alias("c"))
+    classes = hand_off(one.join(is_open, "k", "left").where("c > 1 or is_open"), "line-classes")
     # o: ids in the order of the first lines
-    classes = hand_off(one.select("k", "m.*", "c").orderBy(*place).withColumn("o", F.monotonically_increasing_id()), "line-classes")
-
-    def full_sets(keys: DataFrame) -> DataFrame:
-        own = classes.select("o", "k", "lh").join(keys.select(F.col("k").alias("o")), "o", "left_semi")
-        asked = lines.where(in_bitmap(bitmap_column(own, "lh", TEXT_CELLS), F.col("lh"), TEXT_CELLS))
-        return (_rare_first(_tokens(asked), levels).select("k", F.col("s").alias("toks"))
-                .join(own.select("k", "o"), "k").groupBy(F.col("o").alias("k")).agg(F.first("toks").alias("toks")))
-
-    matched = matched_earlier(classes.select(F.col("o").alias("k"), "n", "pref"), full_sets)
-    found = classes.join(matched.select(F.col("k").alias("o"), F.lit(True).alias("matched")), "o", "left")
-    return entities.select(*place, "k"), found.select(
-        "k", F.struct(*place).alias("first"), "c", F.coalesce("matched", F.lit(False)).alias("matched"))
+    ordered = hand_off(classes.where("is_open").select("k", "first").orderBy("first").select(
+        F.monotonically_increasing_id().alias("o"), "k", F.xxhash64("first.rid", "first.line_no").alias("at")), "line-open")
+
+    asked = _lines(docs).where(_may_be(ordered, "at", F.xxhash64("rid", "line_no")))
+    sets = hand_off(_sets(asked).select("k", "n", F.col("s").alias("toks")).dropDuplicates(["k"]).join(ordered.select("k", "o"), "k")
+                    .select(F.col("o").alias("k"), "n", "toks"), "line-open-sets")
+    matched = matched_earlier(hand_off(_ranked(sets), "line-prefixes"), lambda keys: _of(sets.select("k", "toks"), keys))
+    matched = ordered.join(matched.select(F.col("k").alias("o")), "o", "left_semi").select("k", F.lit(True).alias("matched"))
+    return entities.select(*place, "k"), classes.join(matched, "k", "left").select(
+        "k", "first", "c", F.coalesce("matched", F.lit(False)).alias("matched"))
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:

@@ -64,3 +64,26 @@ def test_given_documents_against_pairwise_sql(spark):
     want = dict(con.sql(PAIRWISE_SQL).fetchall())
     got = {r.doc_id: r.removed_lines for r in op3_line_dedup(spark, SF).collect() if r.removed_lines}
     assert got == want
+
+
+def test_crowded_tokens_leave_the_prefixes(spark):
+    # 60 sets of eight tokens, three of which all have in common and are the first by hash
+    sets = spark.createDataFrame([(k, 8, [1, 2, 3, *range(100 * k, 100 * k + 5)]) for k in range(1, 61)]
+                                 + [(100, 4, [7, 8, 9, 10])], "k bigint, n int, toks array<bigint>")
+    pref = {r.k: r.pref for r in lines._ranked(sets).collect()}
+    assert pref == {k: [100 * k, 100 * k + 1, 100 * k + 2] for k in range(1, 61)} | {100: [7, 8]}
+
+
+def test_only_lines_that_share_first_tokens_are_made_again(spark, monkeypatch):
+    texts = [" ".join(f"t{i}w{j}" for j in range(40)) for i in range(30)]
+    near = texts[3].replace("t3w39", "other")
+    df = spark.createDataFrame([*enumerate([*texts, near, texts[5]])], "doc_id bigint, text string")
+    rows, hand_off = {}, lines.hand_off
+
+    def noted(frame, name):
+        out = hand_off(frame, name)
+        rows[name] = out.count()
+        return out
+    monkeypatch.setattr(lines, "hand_off", noted)
+    assert {r.doc_id: r.removed for r in lines.line_dedup(df).collect()} == {i: [0] if i >= 30 else [] for i in range(32)}
+    assert rows["line-sets"] == 32 and rows["line-open-sets"] == 3
