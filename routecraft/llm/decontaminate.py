@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bitmaps import numpy_bitmap, numpy_test
-from .common import fresh, hand_off, row_key
+from .common import fresh, hand_off, row_key, settled
 from .textnum import _BASE2, Block, blocks, ngrams, prefix, span_hash, strings
 
 WINDOW = 10
@@ -187,7 +187,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows in which no window of the benchmark occurs, with their columns as they are."""
-    hit = decontaminate(docs, benchmark).where("n_hit > 0").select("_key").distinct()
+    hit = settled(docs.sparkSession, lambda: decontaminate(docs, benchmark).where("n_hit > 0").select("_key").distinct(), "decontaminate-hit")
     tmp = fresh(docs, "_key")
     return (docs.withColumn(tmp, row_key())
             .join(hit.withColumnRenamed("_key", tmp), tmp, "left_anti").drop(tmp).select(*docs.columns))

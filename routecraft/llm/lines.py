@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bitmaps import WORD_BITS, bitmap_words, dense_cells, in_bitmap
-from .common import fresh, hand_off, row_key
+from .common import fresh, hand_off, row_key, settled
 from .setjoin import LIST_CELLS, matched_earlier, prefix_size
 
 N = 5
@@ -136,6 +136,10 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """rid (``row_key``), removed: the numbers (from 0) of the lines that go, for documents that lose any."""
+    return settled(docs.sparkSession, lambda: _removed(docs), "line-removed")
+
+
+def _removed(docs: DataFrame) -> DataFrame:
     lines, classes = _classes(docs)
     at = F.struct("doc_id", "rid", "line_no")
     losing = hand_off(classes.where("c > 1 or matched").drop("c"), "line-losing")
