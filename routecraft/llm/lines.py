@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bitmaps import WORD_BITS, bitmap_words, dense_cells, in_bitmap
+from .bitmaps import ROW_CELLS, WORD_BITS, bitmap_column, bitmap_words, dense_cells, in_bitmap
 from .common import fresh, hand_off, row_key, settled
 from .setjoin import LIST_CELLS, matched_earlier, prefix_size
 
@@ -158,10 +158,13 @@ def drop_lines(docs: DataFrame) -> DataFrame:
     """The rows without the lines that go; n_chars, if there, follows the text. A row that
     had words and has none left goes altogether."""
     key, gone, text = fresh(docs, "_rid"), fresh(docs, "_removed"), fresh(docs, "_text")
-    out = (docs.withColumn(key, row_key())
-           .join(removed_lines(docs).select(F.col("rid").alias(key), F.col("removed").alias(gone)), key, "left"))
+    removed = removed_lines(docs).select(F.col("rid").alias(key), F.col("removed").alias(gone))
+    # rows that lose no line need not travel to the join with their texts
+    losing = in_bitmap(bitmap_column(removed, key, ROW_CELLS), row_key(), ROW_CELLS)
     left = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(F.col(gone), i)), "\n")
-    out = out.withColumn(text, F.when(F.col(gone).isNull(), F.col("text")).otherwise(left))
-    out = out.where(F.col(gone).isNull() | F.col(text).rlike(r"[^ \t-\r]"))
+    out = (docs.where(losing).withColumn(key, row_key()).join(removed, key, "left")
+           .withColumn(text, F.when(F.col(gone).isNull(), F.col("text")).otherwise(left))
+           .where(F.col(gone).isNull() | F.col(text).rlike(r"[^ \t-\r]")).drop(key, gone)
+           .unionByName(docs.where(~losing).withColumn(text, F.col("text"))))
     new = {"text": F.col(text)} | ({"n_chars": F.length(text).cast(dict(docs.dtypes)["n_chars"])} if "n_chars" in docs.columns else {})
     return out.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
