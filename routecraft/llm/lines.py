@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .bitmaps import ROW_CELLS, WORD_BITS, bitmap_column, bitmap_words, dense_cells, in_bitmap
 from .common import fresh, hand_off, row_key, settled
-from .setjoin import LIST_CELLS, matched_earlier, prefix_size
+from .setjoin import LIST_CELLS, matched_earlier, needed, prefix_size, sizes_fit
 
 N = 5
 SET_CELLS = 1 << 22
@@ -104,23 +104,52 @@ def _ranked(sets: DataFrame) -> DataFrame:
     return sets.select("k", "n", _prefix("toks").alias("pref")).join(moved, "k", "left_anti").unionByName(again)
 
 
+def _alike(members: DataFrame) -> DataFrame:
+    """k of the sets that may match another one with which they share a token of ``members`` (h, k, n,
+    last: the last token of the prefix by hash). The tokens of the prefix that ends first are in the
+    other prefix or not in the other set at all, and a match leaves only few of a set's tokens out."""
+    x, y = members.alias("x"), members.alias("y")
+    n1, n2, need = F.col("x.n"), F.col("y.n"), needed(F.col("x.n"), F.col("y.n"))
+    # no positional filter: it holds for the first token in common only, and all of them are counted
+    fits = (F.col("x.h") == F.col("y.h")) & (F.col("x.k") < F.col("y.k")) & sizes_fit(n1, n2)
+    ends = F.when(F.col("x.last") <= F.col("y.last"), n1).otherwise(n2)
+    least = prefix_size(ends) - (ends - need)
+    return (x.join(y, fits).select(F.col("x.k").alias("a"), F.col("y.k").alias("b"), least.alias("least"))
+            .groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.max("least").alias("least")).where("c >= least")
+            .select(F.explode(F.array("a", "b")).alias("k")))
+
+
+def _open(entities: DataFrame, repeated: DataFrame) -> DataFrame:
+    """k of the classes that may match another class: those with a token of more than CROWDED
+    prefixes, those that ``_alike`` leaves, and those of more than one line (``repeated``). The
+    tokens of a class count once, so that copies open nothing else."""
+    copied = _may_be(repeated, "k", F.col("k"), SET_CELLS)
+    once = hand_off(entities.where(copied).groupBy("k").agg(F.any_value("n").alias("n"), F.any_value("pref").alias("pref")), "line-copied")
+    sets = entities.where(~copied).select("k", "n", "pref").unionByName(once)
+    # a count is half of what two ids for each token weigh
+    shared = hand_off(sets.select(F.explode("pref").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "line-shared")
+    members = hand_off(sets.select("k", "n", F.element_at("pref", -1).alias("last"), F.explode("pref").alias("h"))
+                       .where(_may_be(shared, "h", F.col("h"))).join(shared, "h"), "line-members")
+    crowded = members.where(F.col("c") > CROWDED).select("k")
+    return crowded.unionByName(_alike(members.where(F.col("c") <= CROWDED))).unionByName(repeated.select("k")).distinct()
+
+
 def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Every line with words as (doc_id, rid, line_no, k), and the classes of equal sets with
     more than one line or a match as (k, first, c, matched): the first line's place, the number
     of lines, and whether the first line matches an earlier one of another class.
 
     Any order of the tokens finds all matches. By hash alone it needs no count of them, and
-    sets none of whose first tokens is in another set, most of them, are done with: only
-    the rest, the open classes, are made again in full and ordered by rarity."""
+    sets whose first tokens are in no other set, or too few of them, most sets, are done with:
+    only the rest, the open classes, are made again in full and ordered by rarity."""
     place = ("doc_id", "rid", "line_no")
     entities = hand_off(_sets(_lines(docs)).select(*place, "k", "n", _prefix("s").alias("pref")), "line-sets")
-    # a count is half of what two ids for each token weigh; that it lets classes of equal lines through costs little
-    shared = hand_off(entities.select(F.explode("pref").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("c"))
-                      .where("c > 1").select("h"), "line-shared")
-    is_open = (entities.select("k", F.explode("pref").alias("h")).where(_may_be(shared, "h", F.col("h"))).join(shared, "h", "left_semi")
-               .select("k").distinct().withColumn("is_open", F.lit(True)))
-    one = entities.groupBy("k").agg(F.min(F.struct(*place)).alias("first"), F.count(F.lit(1)).alias("c"))
-    classes = hand_off(one.join(is_open, "k", "left").where("c > 1 or is_open"), "line-classes")
+    repeated = hand_off(entities.groupBy("k").agg(F.min(F.struct(*place)).alias("first"), F.count(F.lit(1)).alias("c"))
+                        .where("c > 1"), "line-repeated")
+    is_open = hand_off(_open(entities, repeated), "line-may-match")
+    alone = (entities.where(_may_be(is_open, "k", F.col("k"), SET_CELLS)).join(is_open, "k", "left_semi").join(repeated, "k", "left_anti")
+             .select("k", F.struct(*place).alias("first"), F.lit(1).cast("long").alias("c"), F.lit(True).alias("is_open")))
+    classes = hand_off(repeated.join(is_open.withColumn("is_open", F.lit(True)), "k", "left").unionByName(alone), "line-classes")
     # o: ids in the order of the first lines
     ordered = hand_off(classes.where("is_open").select("k", "first").orderBy("first").select(
         F.monotonically_increasing_id().alias("o"), "k", F.xxhash64("first.rid", "first.line_no").alias("at")), "line-open")

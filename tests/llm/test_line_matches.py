@@ -87,3 +87,41 @@ def test_only_lines_that_share_first_tokens_are_made_again(spark, monkeypatch):
     monkeypatch.setattr(lines, "hand_off", noted)
     assert {r.doc_id: r.removed for r in lines.line_dedup(df).collect()} == {i: [0] if i >= 30 else [] for i in range(32)}
     assert rows["line-sets"] == 32 and rows["line-open-sets"] == 3
+
+
+def test_classes_that_cannot_match_are_not_made_again(spark, monkeypatch):
+    # 20 lines begin with a passage that all have, ten more are five lines twice, one is a near copy of those
+    passage = " ".join(f"p{j}" for j in range(9))
+    texts = [f"{passage} " + " ".join(f"t{i}w{j}" for j in range(40)) for i in range(20)]
+    copies = [" ".join(f"c{i % 5}w{j}" for j in range(30)) for i in range(10)]
+    near = copies[2].replace("c2w29", "other")
+    df = spark.createDataFrame([*enumerate([*texts, *copies, near])], "doc_id bigint, text string")
+    rows, hand_off = {}, lines.hand_off
+
+    def noted(frame, name):
+        out = hand_off(frame, name)
+        rows[name] = out.count()
+        return out
+    monkeypatch.setattr(lines, "hand_off", noted)
+    assert {r.doc_id: r.removed for r in lines.line_dedup(df).collect()} == {i: [0] if i >= 25 else [] for i in range(31)}
+    assert rows["line-sets"] == 31 and rows["line-open-sets"] == 6  # the lines that only begin alike were among them
+
+
+def test_open_classes_hold_every_match(spark):
+    rng = random.Random(11)
+    sets = []
+    for _ in range(60):  # tokens of a small range, so that unlike sets share some too
+        base = rng.sample(range(400), rng.randrange(1, 40))
+        sets.append(base)
+        for _ in range(3):
+            cut = rng.sample(base, max(1, len(base) - rng.randrange(0, 1 + len(base) // 4)))
+            sets.append(cut + rng.sample(range(400, 800), rng.randrange(0, 1 + len(base) // 7)))
+    sets = sorted({tuple(sorted(s)) for s in sets})
+    prefixes = [s[: len(s) - (75 * len(s) + 99) // 100 + 1] for s in sets]
+    members = spark.createDataFrame([(h, k, len(sets[k]), p[-1]) for k, p in enumerate(prefixes) for h in p],
+                                    "h bigint, k bigint, n int, last bigint")
+    got = {r.k for r in lines._alike(members).distinct().collect()}
+    full = [set(s) for s in sets]
+    want = {i for i, x in enumerate(full) for j, y in enumerate(full) if i != j and 100 * len(x & y) >= 75 * len(x | y)}
+    apart = {k for k, p in enumerate(prefixes) if not any(set(p) & set(q) for i, q in enumerate(prefixes) if i != k)}
+    assert want and want <= got and not got & apart and len(got) < len(sets) - len(apart)
