@@ -4,9 +4,12 @@ A line's tokens are its distinct five-word shingles (A-Z lower-cased words; a
 line of fewer words is one token), ordered by hash, those of many lines last.
 Lines whose token sets have a Jaccard similarity of 0.75 or more match (prefix,
 positional and length filters, then verification: ``setjoin``). Lines come in the
-order of document id, then text, then line number; a line goes if it matches an
-earlier line itself, whether that one stays or goes. Matches are not closed
-transitively: a line that only matches later ones stays.
+order of document id, then text, then line number. Two rules say which lines go:
+
+* ``closed`` (op3_line_dedup and the pipeline): matches are closed transitively, and
+  of each group the line that comes first stays, the later ones go;
+* otherwise a line goes if it matches an earlier line itself, whether that one
+  stays or goes; a line that only matches later ones stays.
 
 Defined results: lines without words have no tokens and always stay; null and
 empty texts have no lines with words; a null id comes before all others; rows
@@ -22,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .bitmaps import ROW_CELLS, WORD_BITS, bitmap_column, bitmap_words, dense_cells, in_bitmap
 from .common import fresh, hand_off, row_key, settled
-from .setjoin import LIST_CELLS, matched_earlier, needed, prefix_size, sizes_fit
+from .setjoin import LIST_CELLS, matched_earlier, needed, prefix_size, similar, sizes_fit
 
 N = 5
 SET_CELLS = 1 << 22
@@ -134,10 +137,11 @@ def _open(entities: DataFrame, repeated: DataFrame) -> DataFrame:
     return crowded.unionByName(_alike(members.where(F.col("c") <= CROWDED))).unionByName(repeated.select("k")).distinct()
 
 
-def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _classes(docs: DataFrame, closed: bool) -> tuple[DataFrame, DataFrame]:
     """Every line with words as (doc_id, rid, line_no, k), and the classes of equal sets with
     more than one line or a match as (k, first, c, matched): the first line's place, the number
-    of lines, and whether the first line matches an earlier one of another class.
+    of lines, and whether the first line matches an earlier one of another class (``closed``:
+    whether its group has an earlier one).
 
     Any order of the tokens finds all matches. By hash alone it needs no count of them, and
     sets whose first tokens are in no other set, or too few of them, most sets, are done with:
@@ -157,37 +161,39 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     asked = _lines(docs).where(_may_be(ordered, "at", F.xxhash64("rid", "line_no")))
     sets = hand_off(_sets(asked).select("k", "n", F.col("s").alias("toks")).dropDuplicates(["k"]).join(ordered.select("k", "o"), "k")
                     .select(F.col("o").alias("k"), "n", "toks"), "line-open-sets")
-    matched = matched_earlier(hand_off(_ranked(sets), "line-prefixes"), lambda keys: _of(sets.select("k", "toks"), keys))
+    prefixes, full_sets = hand_off(_ranked(sets), "line-prefixes"), lambda keys: _of(sets.select("k", "toks"), keys)
+    # the least id of a group is its first line's class
+    matched = similar(prefixes, full_sets).where("k <> comp") if closed else matched_earlier(prefixes, full_sets)
     matched = ordered.join(matched.select(F.col("k").alias("o")), "o", "left_semi").select("k", F.lit(True).alias("matched"))
     return entities.select(*place, "k"), classes.join(matched, "k", "left").select(
         "k", "first", "c", F.coalesce("matched", F.lit(False)).alias("matched"))
 
 
-def removed_lines(docs: DataFrame) -> DataFrame:
+def removed_lines(docs: DataFrame, closed: bool = False) -> DataFrame:
     """rid (``row_key``), removed: the numbers (from 0) of the lines that go, for documents that lose any."""
-    return settled(docs.sparkSession, lambda: _removed(docs), "line-removed")
+    return settled(docs.sparkSession, lambda: _removed(docs, closed), "line-removed")
 
 
-def _removed(docs: DataFrame) -> DataFrame:
-    lines, classes = _classes(docs)
+def _removed(docs: DataFrame, closed: bool) -> DataFrame:
+    lines, classes = _classes(docs, closed)
     at = F.struct("doc_id", "rid", "line_no")
     losing = hand_off(classes.where("c > 1 or matched").drop("c"), "line-losing")
     later = lines.join(losing, "k").where(F.col("matched") | (at > F.col("first")))
     return later.groupBy("rid").agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
 
 
-def line_dedup(docs: DataFrame) -> DataFrame:
+def line_dedup(docs: DataFrame, closed: bool = False) -> DataFrame:
     """doc_id, n_lines (with words or not), removed of every row."""
     base = docs.select("doc_id", row_key().alias("rid"), F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).alias("n_lines"))
-    return (base.join(removed_lines(docs), "rid", "left")
+    return (base.join(removed_lines(docs, closed), "rid", "left")
             .select("doc_id", "n_lines", F.coalesce("removed", F.array().cast("array<int>")).alias("removed")))
 
 
-def drop_lines(docs: DataFrame) -> DataFrame:
+def drop_lines(docs: DataFrame, closed: bool = False) -> DataFrame:
     """The rows without the lines that go; n_chars, if there, follows the text. A row that
     had words and has none left goes altogether."""
     key, gone, text = fresh(docs, "_rid"), fresh(docs, "_removed"), fresh(docs, "_text")
-    removed = removed_lines(docs).select(F.col("rid").alias(key), F.col("removed").alias(gone))
+    removed = removed_lines(docs, closed).select(F.col("rid").alias(key), F.col("removed").alias(gone))
     # rows that lose no line need not travel to the join with their texts
     losing = in_bitmap(bitmap_column(removed, key, ROW_CELLS), row_key(), ROW_CELLS)
     left = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(F.col(gone), i)), "\n")
