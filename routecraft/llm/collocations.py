@@ -7,6 +7,9 @@ shards at least, whatever their sizes. So each shard is mined completely at that
 local support, the locally frequent phrases of all shards are united, and one more
 pass counts the united candidates over the whole corpus, exactly and by their text.
 
+Counts go to Spark not as a row for each phrase but as arrays, one row for each bucket of
+hashes, and are added up in numpy, a few buckets at a time.
+
 Mining works on 64-bit hashes, a level at a time: a phrase is looked at only if its
 words (then, for three words, both pairs) passed the level before. Filters between
 passes are bitmaps whose size follows the number of candidates up to a fixed limit; a
@@ -21,8 +24,11 @@ read; texts of any length are read whole.
 
 from __future__ import annotations
 
+from collections import defaultdict
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,11 +39,23 @@ from .textnum import _BASE2, Block, blocks, mix, prefix, runs, span_hash, string
 SUPPORT, SHARDS, LONGEST, TOP = 10, 3, 3, 2000
 INSIDE_PERCENT = 50            # a longer phrase this frequent (of the shorter one) makes the shorter one go
 BLOCK_CHARS = 1 << 21
+HELD_KEYS = 1 << 21            # keys that a task gathers before it sends them
+MERGED_BYTES = 1 << 25         # of buckets that are added up together; a larger one is by itself
 LEAST_CELLS, MOST_CELLS = 1 << 16, 1 << 27
+HELD_PHRASES = 1 << 20         # phrases of blocks, likewise
+_MIXED = mix(np.arange(1, (1 << 11) + 1, dtype=np.uint64))
 _SEP = np.zeros(128, bool)
 _SEP[[ord(c) for c in ".,;:!?\n\x0b\x0c\r"]] = True
 
 
+def _char_values(cp: np.ndarray) -> np.ndarray:
+    """mix(cp + 1), from a table for most characters."""
+    out = _MIXED[np.minimum(cp, len(_MIXED) - 1)]
+    if len(rare := np.flatnonzero(cp >= len(_MIXED))):
+        out[rare] = mix(cp[rare].astype(np.uint64) + np.uint64(1))
+    return out
+
+
 class Words:
     """The words of a block of whole texts: code point spans, 64-bit hashes with the language
     in them, and which neighbours stand in one piece."""
@@ -55,7 +73,8 @@ class Words:
         ends = np.cumsum([len(x) + 1 for x in self.names]) - 1 if self.names else np.zeros(0, np.int64)
         code = span_hash(pre, ends - [len(x) for x in self.names], ends) if self.names else np.zeros(0, np.uint64)
         self.code, self.other, self.stream = code, None, None
-        self.hash = mix(span_hash(b.char_prefix(), self.start, self.end) ^ code[self.lang])
+        self.values = _char_values(b.cp)
+        self.hash = mix(span_hash(prefix(self.values), self.start, self.end) ^ code[self.lang])
         self.same = piece[1:] == piece[:-1]  # word i and i + 1 in one piece
         self.pre = prefix(self.hash, _BASE2)
 
@@ -72,14 +91,14 @@ class Words:
         return span_hash(self.pre, at, at + n, _BASE2)
 
     def second(self, at: np.ndarray, n: int) -> np.ndarray:
-        """Hashes of the same phrases from the characters on, independent of ``key``."""
+        """Hashes of the same phrases by other bases, from the characters on."""
         if self.other is None:
-            chars = prefix(mix(self.block.cp.astype(np.uint64) + np.uint64(1 << 40)), _BASE2)
+            chars = prefix(self.values, _BASE2)
             self.other = prefix(span_hash(chars, self.start, self.end, _BASE2) ^ mix(self.code + np.uint64(1))[self.lang])
         return span_hash(self.other, at, at + n)
 
-    def phrases(self, at: np.ndarray, n: int) -> pa.Array:
-        """The phrases as texts, a blank between words: slices of the UTF-8 bytes of all words in order."""
+    def phrases(self, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """UTF-8 bytes of the phrases, a blank between words, and the length of each: slices of the bytes of all words in order."""
         if self.stream is None:
             inside = np.zeros(len(self.block.cp) + 1, np.int8)
             inside[self.start] += 1
@@ -97,9 +116,7 @@ class Words:
         data, bounds = self.stream
         size = bounds[at + n] - 1 - bounds[at]
         ends = np.cumsum(size)
-        picked = data[np.repeat(bounds[at] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
-        offsets = np.concatenate([[0], ends]).astype(np.int64)
-        return pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(offsets), pa.py_buffer(picked)).cast(pa.string())
+        return data[np.repeat(bounds[at] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)], size
 
     def frequent(self, at: np.ndarray, n: int, words: np.ndarray, pairs: np.ndarray | None) -> np.ndarray:
         """Those of ``at`` whose words, and pairs of neighbours, are in the bitmaps."""
@@ -118,8 +135,8 @@ def _read(batch):
 
 
 def _unique(key: np.ndarray, other: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """First position and count of each distinct key (of each distinct pair with ``other``)."""
-    order = np.argsort(key, kind="stable")
+    """A position and the count of each distinct key (of each distinct pair with ``other``)."""
+    order = np.argsort(key)
     differs = key[order][1:] != key[order][:-1]
     if other is not None and (~differs & (other[order][1:] != other[order][:-1])).any():
         order = np.lexsort((other, key))
@@ -128,44 +145,198 @@ def _unique(key: np.ndarray, other: np.ndarray | None = None) -> tuple[np.ndarra
     return order[first], np.diff(np.append(first, len(key)))
 
 
-def _counted(n_range, words, phrases):
-    """(lang, n, phrase, c), and h for single words: phrases by their text with their counts in a block."""
+def _parts(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """values[cuts[i]:cuts[i + 1]] for each i, as binaries."""
+    buffers = [None, pa.py_buffer((cuts * values.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))]
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, buffers)
+
+
+def _joined(parts: pa.ChunkedArray, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(parts.to_pylist()), kind)
+
+
+def _bucket_bits(docs: DataFrame) -> int:
+    """Bits of a hash that say its bucket: some buckets for each shuffle partition."""
+    return (2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()
+
+
+def _bucket(key: np.ndarray, bits: int) -> np.ndarray:
+    return (key >> np.uint64(64 - bits)).astype(np.int32)
+
+
+def _cuts(*columns: np.ndarray) -> np.ndarray:
+    """Where runs of rows equal in all columns begin, and the end."""
+    size = len(columns[0])
+    differs = np.zeros(max(size - 1, 0), bool)
+    for x in columns:
+        differs |= x[1:] != x[:-1]
+    return np.concatenate([[0], np.flatnonzero(differs) + 1, [size]]) if size else np.zeros(1, np.int64)
+
+
+def _whole_buckets(batches):
+    """Tables of whole buckets from the rows of a task, which come by bucket."""
+    held, size, last = [], 0, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids = batch["bucket"].to_numpy()
+        if size >= MERGED_BYTES and ids[0] != last:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+        cut = _cuts(ids)[-2]  # where the last bucket begins
+        if cut and size + batch.nbytes >= MERGED_BYTES:
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+            held, size, batch = [], 0, batch.slice(cut)
+        held, size, last = [*held, batch], size + batch.nbytes, ids[-1]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _merged(rows: DataFrame, run, schema: str) -> DataFrame:
+    """``run`` over the rows, dealt and sorted by bucket."""
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
+
+
+class _Gathered:
+    """Phrases of n words with their counts, gathered from the blocks of a task."""
+
+    def __init__(self, n: int, bits: int):
+        self.n, self.bits, self.size, self.langs, self.held = n, bits, 0, {}, []
+
+    def add(self, w: Words, at: np.ndarray) -> None:
+        key = w.key(at, self.n)
+        # a second hash of other bases, so that two phrases never count as one
+        other = w.second(at, self.n)
+        first, c = _unique(key, other)
+        code = np.array([self.langs.setdefault(x, len(self.langs)) for x in w.names], np.int32)
+        self.held.append((key[first], other[first], c, code[w.lang[at[first]]], *w.phrases(at[first], self.n)))
+        self.size += len(first)
+
+    def packed(self):
+        """A row for each language and bucket, which holds arrays of the lengths in bytes, counts and hashes and the joined texts."""
+        if not self.size:
+            return
+        key, other, c, lang, text, size = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+        order = np.argsort(key)
+        if (same := key[order][1:] == key[order][:-1]).any() and (same & (other[order][1:] != other[order][:-1])).any():
+            order = np.lexsort((other, key))
+        cuts = _cuts(key[order], other[order])
+        c, i = np.add.reduceat(c[order], cuts[:-1]), order[cuts[:-1]]
+        by_lang = np.argsort(lang[i].astype(np.uint16 if len(self.langs) < 1 << 16 else np.int32), kind="stable")
+        c, i = c[by_lang], i[by_lang]
+        key, lang, size, bucket = key[i], lang[i], size[i], _bucket(key[i], self.bits)
+        cuts = _cuts(lang, bucket)
+        texts = pa.LargeStringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends), pa.py_buffer(text)).take(pa.array(i))
+        text = np.frombuffer(texts.buffers()[2], np.uint8)
+        yield pa.RecordBatch.from_pydict({
+            "bucket": pa.array(bucket[cuts[:-1]]), "lang": pa.array(list(self.langs), pa.string()).take(pa.array(lang[cuts[:-1]])),
+            "n": pa.array(np.full(len(cuts) - 1, self.n, np.int32)), "phrase": _parts(text, np.concatenate([[0], np.cumsum(size)])[cuts]),
+            "size": _parts(size.astype(np.uint32), cuts), "c": _parts(c.astype(np.uint32), cuts), "h": _parts(key, cuts)})
+        self.size, self.langs, self.held = 0, {}, []
+
+
+def _counted(n_range, words, phrases, bits: int):
+    """Rows of ``_Gathered``: phrases with their counts in some blocks."""
     def run(batches):
+        gathered = [_Gathered(n, bits) for n in n_range]
         for batch in batches:
             for _, _, w in _read(batch):
-                names = pa.array(w.names, pa.string())
-                for n in n_range:
-                    at = w.grams(n)
+                for g in gathered:
+                    at = w.grams(g.n)
                     if words is not None:
-                        at = w.frequent(at, n, words, None)
-                        at = at[numpy_test(phrases, w.key(at, n))]
-                    key = w.key(at, n)
-                    # a second, independent hash, so that two phrases of a block never count as one
-                    first, c = _unique(key, w.second(at, n))
-                    i = at[first]
-                    yield pa.RecordBatch.from_pydict({
-                        "lang": names.take(pa.array(w.lang[i])), "n": pa.array(np.full(len(i), n, np.int32)),
-                        "phrase": w.phrases(i, n), "c": pa.array(c.astype(np.int64))}
-                        | ({"h": pa.array(key[first].view(np.int64))} if words is None else {}))
+                        at = w.frequent(at, g.n, words, None)
+                        at = at[numpy_test(phrases, w.key(at, g.n))]
+                    g.add(w, at)
+                    if g.size >= HELD_PHRASES:
+                        yield from g.packed()
+        for g in gathered:
+            yield from g.packed()
     return run
 
 
-COUNTED = "lang string, n int, phrase string, c bigint"
+PACKED = "bucket int, lang string, n int, phrase binary, size binary, c binary, h binary"
+COUNTED = "lang string, n int, phrase string, c bigint, h bigint"
+
+
+def _summed(support: int):
+    """(lang, n, phrase, c, h): phrases by their text with their counts, of ``support`` or more; the
+    counts of the others come as a sum for each language and length, without a phrase."""
+    def run(batches):
+        for t in _whole_buckets(batches):
+            size, h = _joined(t["size"], np.uint32), _joined(t["h"], np.int64)
+            c = _joined(t["c"], np.uint32).astype(np.int64)
+            ends = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+            text = pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(ends), pa.py_buffer(_joined(t["phrase"], np.uint8)))
+            of = {}
+            kind = np.fromiter((of.setdefault(k, len(of)) for k in zip(t["lang"].to_pylist(), t["n"].to_pylist(), strict=True)), np.int32, t.num_rows)
+            kind = np.repeat(kind, pc.binary_length(t["size"]).to_numpy() // 4)
+
+            order = np.argsort(h)
+            cuts = _cuts(h[order])
+            in_order = text.take(pa.array(order))
+            alike = pc.equal(in_order.slice(1), in_order.slice(0, len(h) - 1)).to_numpy(zero_copy_only=False) & (kind[order][1:] == kind[order][:-1])
+            if (~alike & (h[order][1:] == h[order][:-1])).any():  # equal hashes of different phrases: by their texts
+                g = pa.table({"kind": kind, "phrase": text, "c": c, "h": h}).group_by(["kind", "phrase"], use_threads=False).aggregate([("c", "sum"), ("h", "min")])
+                kind, text, c, h = g["kind"].to_numpy(), g["phrase"].combine_chunks(), g["c_sum"].to_numpy(), g["h_min"].to_numpy()
+                first = np.arange(len(c))
+            else:
+                c, first = np.add.reduceat(c[order], cuts[:-1]), order[cuts[:-1]]
+
+            enough, rare = first[c >= support], first[c < support]
+            rest = np.zeros(len(of), np.int64)
+            np.add.at(rest, kind[rare], c[c < support])
+            others = np.flatnonzero(rest)
+            langs, lengths = zip(*of, strict=True)
+            at = np.concatenate([kind[enough], others])
+            yield pa.RecordBatch.from_pydict({
+                "lang": pa.array(langs, pa.string()).take(pa.array(at)), "n": pa.array(np.array(lengths, np.int32)[at]),
+                "phrase": pa.concat_arrays([text.take(pa.array(enough)).cast(pa.string()), pa.nulls(len(others), pa.string())]),
+                "c": pa.array(np.concatenate([c[c >= support], rest[others]])),
+                "h": pa.concat_arrays([pa.array(h[enough]), pa.nulls(len(others), pa.int64())])})
+    return run
+
 
+def _mined(n: int, words, pairs, local: int, bits: int):
+    """(bucket, shard, keys): arrays of phrases of n words that may be frequent, each as often as it
+    occurs in the texts gathered, but ``local`` times at most."""
+    def packed(held):
+        for s, parts in held.items():
+            key = np.sort(np.concatenate(parts))
+            enough = np.ones(len(key), bool)
+            enough[local:] = key[local:] != key[:-local]
+            key = key[enough]
+            cuts = _cuts(_bucket(key, bits))
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array(_bucket(key[cuts[:-1]], bits)),
+                                              "shard": pa.array(np.full(len(cuts) - 1, s, np.int32)), "keys": _parts(key, cuts)})
 
-def _mined(n: int, words, pairs):
-    """(shard, h, c): phrases of n words that may be frequent, with their counts in a block."""
     def run(batches):
+        held, size = defaultdict(list), 0
         for batch in batches:
             shard_of = batch["shard"].to_numpy()
             for lo, hi, w in _read(batch):
                 at = w.frequent(w.grams(n), n, words, pairs)
                 key, shard = w.key(at, n), shard_of[lo:hi][w.doc[at]]
                 for s in np.unique(shard):
-                    own = key[shard == s]
-                    first, c = _unique(own)
-                    yield pa.RecordBatch.from_pydict({"shard": pa.array(np.full(len(c), s, np.int32)),
-                                                      "h": pa.array(own[first].view(np.int64)), "c": pa.array(c.astype(np.int64))})
+                    held[s].append(key[shard == s])
+                size += len(key)
+                if size >= HELD_KEYS:
+                    yield from packed(held)
+                    held, size = defaultdict(list), 0
+        yield from packed(held)
+    return run
+
+
+def _frequent(local: int):
+    """h: the keys that a shard has ``local`` times or more, each once."""
+    def run(batches):
+        for t in _whole_buckets(batches):
+            shard, found = t["shard"].to_numpy(), []
+            for s in np.unique(shard):
+                key = np.sort(_joined(t["keys"].filter(pa.array(shard == s)), np.uint64))
+                first = key[: max(len(key) - local + 1, 0)]
+                found.append(first[first == key[local - 1:]])
+            yield pa.RecordBatch.from_pydict({"h": pa.array(np.unique(np.concatenate(found)).view(np.int64))})
     return run
 
 
@@ -182,24 +353,25 @@ def phrase_counts(docs: DataFrame, support: int = SUPPORT, shards: int = SHARDS,
         raise ValueError("phrases of one to three words")
     text = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text",
                        F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int").alias("shard"))
-    local = -(-support // shards)
+    local, bits = -(-support // shards), _bucket_bits(docs)
+
+    def counted(n_range, words, phrases, name):
+        rows = text.select("lang", "text").mapInArrow(_counted(n_range, words, phrases, bits), PACKED)
+        return hand_off(_merged(rows, _summed(support), COUNTED), name)
 
     by = ["lang", "n", "phrase"]
-    single = text.select("lang", "text").mapInArrow(_counted([1], None, None), f"{COUNTED}, h bigint")
-    single = hand_off(single.groupBy(*by).agg(F.sum("c").alias("c"), F.any_value("h").alias("h")), "words")
+    single = counted([1], None, None, "words")
     totals = single.groupBy("lang").agg(F.sum("c").alias("words"))
-    counts = single.where(F.col("c") >= support)
+    counts = single.where("phrase is not null")
     words, pairs, united = _filter(counts), None, None
     for n in range(2, longest + 1):
-        mined = (text.mapInArrow(_mined(n, words, pairs), "shard int, h bigint, c bigint")
-                 .groupBy("shard", "h").agg(F.sum("c").alias("c")).where(F.col("c") >= local).select("h").distinct())
-        mined = hand_off(mined, f"mined-{n}")
+        mined = text.mapInArrow(_mined(n, words, pairs, local, bits), "bucket int, shard int, keys binary")
+        mined = hand_off(_merged(mined, _frequent(local), "h bigint"), f"mined-{n}")
         pairs = _filter(mined) if n == 2 else pairs
         united = mined if united is None else united.unionByName(mined)
     if united is not None:
-        rows = text.select("lang", "text").mapInArrow(_counted(range(2, longest + 1), words, _filter(united)), COUNTED)
-        rows = hand_off(rows.groupBy(*by).agg(F.sum("c").alias("c")).where(F.col("c") >= support), "phrases")
-        return counts.select(*by, "c").unionByName(rows), totals
+        rows = counted(range(2, longest + 1), words, _filter(united), "phrases").where("phrase is not null")
+        return counts.select(*by, "c").unionByName(rows.select(*by, "c")), totals
     return counts.select(*by, "c"), totals
 
 
